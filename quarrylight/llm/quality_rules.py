@@ -5,7 +5,7 @@ covariance determinant (MCD) location and scatter of transformed statistics by c
 documents whose squared Mahalanobis distance is over a cutoff.
 
 Defined results. Null or empty text: no words, every count 0, base rule failed. Null lang or source: a group of its own.
-Groups under `min_group` documents borrow their language's estimate, and small languages that of the corpus. Repeated
+Sources with under `min_group` documents of a language are estimated together, and rests of languages under it likewise. Repeated
 rows count as often as they occur. Columns of the input keep their names; statistics are returned under the names below.
 """
 
@@ -108,24 +108,23 @@ def base_failed() -> Column:
     return (F.col("n_words") < 10) | (F.lit(100) * F.col("n_repeat_words") > F.lit(20) * F.col("n_words"))
 
 
-def _moments(xs: list[str], weight: Column | None = None) -> list[Column]:
-    on = (lambda c: c) if weight is None else (lambda c: F.when(weight, c))
-    out = [F.count(on(F.lit(1))).alias("n")]
-    out += [F.avg(on(F.col(x))).alias(f"m_{x}") for x in xs]
+def _moments(xs: list[str], weight: Column) -> list[Column]:
+    on = lambda c: F.when(weight, c)
+    out = [F.avg(on(F.col(x))).alias(f"m_{x}") for x in xs]
     out += [F.avg(on(F.col(x) * F.col(y))).alias(f"p_{x}_{y}") for i, x in enumerate(xs) for y in xs[: i + 1]]
     return out
 
 
-def _factor(df: DataFrame, xs: list[str], floors: list[float], inflate: float) -> DataFrame:
+def _factor(df: DataFrame, xs: list[str], floors: list[float]) -> DataFrame:
     """Cholesky factor l_i_j of the scatter, whose diagonal is at least the floors' squares."""
     for i, x in enumerate(xs):
         for j, y in enumerate(xs[: i + 1]):
-            c = (F.col(f"p_{x}_{y}") - F.col(f"m_{x}") * F.col(f"m_{y}")) * F.lit(inflate)
+            c = F.col(f"p_{x}_{y}") - F.col(f"m_{x}") * F.col(f"m_{y}")
             c = F.greatest(c, F.lit(0.0)) + F.lit(floors[i] ** 2) if i == j else c
             c = reduce(lambda a, k: a - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}"), range(j), c)
             c = F.sqrt(F.greatest(c, F.lit(floors[i] ** 2 / 4))) if i == j else c / F.col(f"l_{j}_{j}")
             df = df.withColumn(f"l_{i}_{j}", c)
-    return df.select("_lang", "_source", "n", *[f"m_{x}" for x in xs], *[f"l_{i}_{j}" for i in range(len(xs)) for j in range(i + 1)])
+    return df.select("_pool", *[f"m_{x}" for x in xs], *[f"l_{i}_{j}" for i in range(len(xs)) for j in range(i + 1)])
 
 
 def _distance(df: DataFrame, xs: list[str]) -> DataFrame:
@@ -141,41 +140,42 @@ def mcd_distances(stats: DataFrame, steps: int = 2, share: float = 0.75, min_gro
 
     Each concentration step is one grouped aggregate for the `share` quantile of the distances and one for the moments
     of the rows below it; both combine map-side, so a language or source that holds most rows is no bottleneck. The
-    per-group estimates (one row a group) are joined back; the optimizer broadcasts them only when measured as small.
+    estimates, one row a pool, are joined back; the optimizer broadcasts them only when measured as small.
     """
     xs, floors = list(FEATURES), [f for _, f in FEATURES.values()]
-    rows = stats.withColumns({"_lang": F.coalesce("lang", F.lit("\0")), "_source": F.coalesce("source", F.lit("\0"))})
-    rows = rows.withColumns({x: f() for x, (f, _) in FEATURES.items()})
-
-    def effective(groups: DataFrame) -> DataFrame:
-        """Own estimate where the group is large enough, else the language's, else the corpus's: summed bottom-up."""
-        cols = [c for c in groups.columns if c not in ("_lang", "_source", "n")]
-        sums = [F.sum("n").alias("n"), *[(F.sum(F.col(c) * F.col("n")) / F.greatest(F.sum("n"), F.lit(1))).alias(c) for c in cols]]
-        langs, all_ = groups.groupBy("_lang").agg(*sums), groups.agg(*sums)
-        j = groups.alias("g").join(langs.alias("l"), F.col("g._lang") == F.col("l._lang")).crossJoin(all_.alias("a"))
-        level = F.when(F.col("g.n") >= min_group, F.lit("g")).when(F.col("l.n") >= min_group, F.lit("l")).otherwise(F.lit("a"))
-        return j.select(
-            "g._lang", "g._source", F.col("g.n").alias("n"),
-            *[F.when(level == "g", F.col(f"g.{c}")).when(level == "l", F.col(f"l.{c}")).otherwise(F.col(f"a.{c}")).alias(c) for c in cols],
-        )
-
-    def estimate(from_rows: DataFrame, weight: Column | None) -> DataFrame:
-        groups = from_rows.groupBy("_lang", "_source").agg(*_moments(xs, weight)).fillna(0.0)
-        return settle(_factor(effective(groups), xs, floors, 1.0), "mcd")
-
-    keys = ["_lang", "_source"]
-    # start: rows whose statistics lie nearest the group's medians
-    medians = rows.groupBy(*keys).agg(*[F.percentile_approx(x, 0.5, 1000).alias(f"d_{x}") for x in xs])
-    near = rows.join(medians, keys).withColumn(
+    rows = settle(_pooled(stats, min_group).withColumns({x: f() for x, (f, _) in FEATURES.items()}), "features")
+
+    def estimate(from_rows: DataFrame, weight: Column) -> DataFrame:
+        return settle(_factor(from_rows.groupBy("_pool").agg(*_moments(xs, weight)).fillna(0.0), xs, floors), "mcd")
+
+    # start: rows whose statistics lie nearest the pool's medians
+    medians = rows.groupBy("_pool").agg(*[F.percentile_approx(x, 0.5, 1000).alias(f"d_{x}") for x in xs])
+    near = rows.join(medians, "_pool").withColumn(
         "_gap", reduce(lambda a, b: a + b, [F.abs(F.col(x) - F.col(f"d_{x}")) / F.lit(f) for x, f in zip(xs, floors, strict=True)])
     )
-    gap = near.groupBy(*keys).agg(F.percentile_approx("_gap", share, 1000).alias("_limit"))
-    now = estimate(near.join(gap, keys), F.col("_gap") <= F.col("_limit"))
+    gap = near.groupBy("_pool").agg(F.percentile_approx("_gap", share, 1000).alias("_limit"))
+    now = estimate(near.join(gap, "_pool"), F.col("_gap") <= F.col("_limit"))
     for _ in range(steps):
-        at = _distance(rows.join(now.drop("n"), keys), xs)
-        limit = at.groupBy(*keys).agg(F.percentile_approx("distance", share, 1000).alias("_limit"))
-        now = estimate(at.join(limit, keys), F.col("distance") <= F.col("_limit"))
-    return _distance(rows.join(now.drop("n"), keys), xs)
+        at = _distance(rows.join(now, "_pool"), xs)
+        limit = at.groupBy("_pool").agg(F.percentile_approx("distance", share, 1000).alias("_limit"))
+        now = estimate(at.join(limit, "_pool"), F.col("distance") <= F.col("_limit"))
+    return _distance(rows.join(now, "_pool"), xs)
+
+
+def _pooled(stats: DataFrame, min_group: int) -> DataFrame:
+    """stats with _pool: its language and source; small sources of a language together; small rests of languages together."""
+    keys = {"_lang": F.coalesce("lang", F.lit("\0")), "_source": F.coalesce("source", F.lit("\0"))}
+    counts = stats.groupBy(*[c.alias(k) for k, c in keys.items()]).agg(F.count(F.lit(1)).alias("_n"))
+    rest = counts.filter(F.col("_n") < min_group).groupBy("_lang").agg(F.sum("_n").alias("_rest"))
+    pools = counts.join(rest, "_lang", "left").select(
+        "_lang",
+        "_source",
+        F.when(F.col("_n") >= min_group, F.to_json(F.struct("_lang", "_source")))
+        .when(F.col("_rest") >= min_group, F.to_json(F.struct("_lang")))
+        .otherwise(F.lit("{}"))
+        .alias("_pool"),
+    )
+    return stats.withColumns(keys).join(pools, ["_lang", "_source"]).drop("_lang", "_source")
 
 
 def quality_rules(docs: DataFrame, cutoff: float = CUTOFF, **mcd) -> DataFrame:
