@@ -9,6 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from quarrylight.session import table, workers_find_us
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrylight.llm.warc import archive_pages
+
+    workers_find_us(spark)
+    return archive_pages(table(spark, sf_dir, "pages"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarrylight.llm.quality_rules import quality_rules
 
@@ -23,6 +30,7 @@ def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
     "op6_quality_rules": op6_quality_rules,
     "op9_licence_scan": op9_licence_scan,
 }
