@@ -29,9 +29,17 @@ def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licences(table(spark, sf_dir, "documents"))
 
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrylight.llm.minhash import near_duplicates
+
+    workers_find_us(spark)
+    return near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op6_quality_rules": op6_quality_rules,
+    "op10_minhash": op10_minhash,
     "op9_licence_scan": op9_licence_scan,
 }
 ORACLES: dict[str, str] = {}
