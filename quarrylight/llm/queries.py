@@ -16,6 +16,13 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(table(spark, sf_dir, "pages"))
 
 
+def op3_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrylight.llm.quality_model import score_quality
+
+    workers_find_us(spark)
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarrylight.llm.quality_rules import quality_rules
 
@@ -29,6 +36,13 @@ def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licences(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrylight.llm.toxicity import score_toxicity
+
+    workers_find_us(spark)
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarrylight.llm.minhash import near_duplicates
 
@@ -38,7 +52,9 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
+    "op3_quality_model": op3_quality_model,
     "op6_quality_rules": op6_quality_rules,
+    "op8_toxicity": op8_toxicity,
     "op10_minhash": op10_minhash,
     "op9_licence_scan": op9_licence_scan,
 }
