@@ -23,6 +23,13 @@ def op3_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrylight.llm.substrings import dedup_substrings
+
+    workers_find_us(spark)
+    return dedup_substrings(table(spark, sf_dir, "documents"), 50)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarrylight.llm.quality_rules import quality_rules
 
@@ -53,6 +60,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op3_quality_model": op3_quality_model,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_quality_rules": op6_quality_rules,
     "op8_toxicity": op8_toxicity,
     "op10_minhash": op10_minhash,
