@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylight.llm import kernels as K
+from quarrylight.llm.filters import runtime_filters
 from quarrylight.llm.graph import components
 from quarrylight.session import settle
 
@@ -144,15 +145,17 @@ def _confirm(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 def confirm(docs: DataFrame, pairs: DataFrame, k: int, percent: int, part_size: int = 256) -> DataFrame:
     """The pairs(a, b) with 100 * shared >= percent * total, decided on full sets.
 
-    b's text travels to a. A document with many partners is dealt over parts of about part_size of them, each with a copy
+    b's text travels to a; texts of neither never leave the scan (runtime Bloom filter). A document with many partners is dealt over parts of about part_size of them, each with a copy
     of its text, and a part streams through a task: no group is gathered.
     """
     parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / part_size).cast("int").alias("_parts"))
     own = parts.select(F.col("a"), F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("part"), F.lit(0).alias("own"), F.col("a").alias("_id"))
     rest = pairs.join(parts, "a").select("a", F.pmod(F.hash("b"), F.col("_parts")).alias("part"), F.lit(1).alias("own"), F.col("b").alias("_id"))
-    sent = settle(own.unionByName(rest), "sent").join(docs.select("doc_id", "text"), F.col("_id") == F.col("doc_id")).select("a", "part", "own", "doc_id", "text")
+    asked = settle(own.unionByName(rest), "sent").filter(F.col("own") >= 0)  # a filtered scan: lets the optimizer make a Bloom filter of it
+    sent = asked.join(docs.select("doc_id", "text"), F.col("_id") == F.col("doc_id")).select("a", "part", "own", "doc_id", "text")
     met = sent.repartition("a", "part").sortWithinPartitions("a", "part", "own").mapInArrow(partial(_confirm, k), "a long, b long, shared long, total long")
-    return met.filter(F.lit(100) * F.col("shared") >= F.lit(percent) * F.col("total"))
+    with runtime_filters(docs.sparkSession):
+        return settle(met.filter(F.lit(100) * F.col("shared") >= F.lit(percent) * F.col("total")), "links")
 
 
 def _explode_sets(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,7 +210,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     met = posted.join(lists.select("post", "a"), "post").filter(F.col("a") < F.col("doc_id")).groupBy("doc_id", "a").agg(F.count(F.lit(1)).alias("n"))
     best = met.filter(F.col("n") >= MATCHES).groupBy("doc_id").agg(F.max(F.struct("n", (-F.col("a")).alias("_a"))).alias("m"))
     tried = settle(best.select((-F.col("m._a")).alias("a"), F.col("doc_id").alias("b")), "star")
-    links = settle(confirm(docs, tried, k, percent).select("a", "b"), "links")
+    links = confirm(docs, tried, k, percent).select("a", "b")
     joined = components(links)
 
     # 2. pairs across components that still share posting lists
@@ -222,7 +225,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     across = left.join(right, (F.col("ka") == F.col("kb")) & (F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & enough).select("a", "b")
     crowd = settle(rest.filter("long").select("doc_id", "component").distinct(), "crowd")
     more = across.unionByName(prefix_pairs(docs, crowd, k, percent)).distinct().join(tried, ["a", "b"], "left_anti")
-    found = settle(confirm(docs, settle(more, "rest"), k, percent).select("a", "b"), "links")
+    found = confirm(docs, settle(more, "rest"), k, percent).select("a", "b")
     if not found.isEmpty():
         joined = components(links.unionByName(found))
 
