@@ -43,6 +43,13 @@ def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licences(table(spark, sf_dir, "documents"))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrylight.llm.decontaminate import decontaminate
+
+    workers_find_us(spark)
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarrylight.llm.toxicity import score_toxicity
 
@@ -62,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_model": op3_quality_model,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_quality_rules": op6_quality_rules,
+    "op7_decontaminate": op7_decontaminate,
     "op8_toxicity": op8_toxicity,
     "op10_minhash": op10_minhash,
     "op9_licence_scan": op9_licence_scan,
