@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quarrylight.llm.chat import ORACLE as CHAT_ORACLE
 from quarrylight.session import table, workers_find_us
 
 
@@ -16,6 +17,12 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(table(spark, sf_dir, "pages"))
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrylight.llm.chat import format_chats
+
+    return format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op3_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarrylight.llm.quality_model import score_quality
 
@@ -23,6 +30,13 @@ def op3_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrylight.llm.sentencepiece_lattice import encode_documents
+
+    workers_find_us(spark)
+    return encode_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarrylight.llm.substrings import dedup_substrings
 
@@ -66,7 +80,9 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
+    "op2_chat_format": op2_chat_format,
     "op3_quality_model": op3_quality_model,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_quality_rules": op6_quality_rules,
     "op7_decontaminate": op7_decontaminate,
@@ -74,4 +90,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_minhash": op10_minhash,
     "op9_licence_scan": op9_licence_scan,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_chat_format": CHAT_ORACLE}

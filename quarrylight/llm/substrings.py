@@ -208,7 +208,7 @@ def covered_ranges(docs: DataFrame, length: int = 50) -> DataFrame:
     return sure.unionByName(by_automaton).unionByName(by_window)
 
 
-def _cut(text_out: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(text_out: bool, keep: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         ranges = b.column("ranges").to_pylist()
         for i, j, data, offs in K.text_chunks(b.column("text")):
@@ -225,15 +225,18 @@ def _cut(text_out: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
                 digests.append(hashlib.sha256(kept).hexdigest())
                 texts.append(kept.decode() if removed[-1] else raw[offs[r - i] : offs[r - i + 1]].decode())
             cols = [b.column("doc_id").slice(i, j - i), pa.array(w.counts.astype(np.int64)), pa.array(removed, pa.int64()), pa.array(digests, pa.string())]
-            yield pa.record_batch(cols + [pa.array(texts, pa.string())] * text_out, names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"][: 4 + text_out])
+            cols += [pa.array(texts, pa.string())] * text_out + [b.column(c).slice(i, j - i) for c in keep]
+            yield pa.record_batch(cols, names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"][: 4 + text_out] + keep)
 
 
-def dedup_substrings(docs: DataFrame, length: int = 50, text_out: bool = False) -> DataFrame:
-    """One row per document: doc_id, n_words, n_removed, kept_sha256, and with text_out kept_text.
+def dedup_substrings(docs: DataFrame, length: int = 50, text_out: bool = False, keep: list[str] | None = None) -> DataFrame:
+    """One row per document: doc_id, n_words, n_removed, kept_sha256, with text_out kept_text, and the columns in keep.
 
     kept_text is the text itself where nothing was removed, else the kept words one space apart.
     """
     ranges = covered_ranges(docs, length).groupBy("doc_id").agg(F.collect_set(F.struct("start", "stop")).alias("ranges"))
+    keep = keep or []
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * text_out
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ranges, "doc_id", "left")
-    return rows.select("doc_id", "text", "ranges").mapInArrow(partial(_cut, text_out), schema)
+    schema += "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keep).join(ranges, "doc_id", "left")
+    return rows.select("doc_id", "text", "ranges", *keep).mapInArrow(partial(_cut, text_out, keep), schema)
