@@ -208,7 +208,7 @@ def covered_ranges(docs: DataFrame, length: int = 50) -> DataFrame:
     return sure.unionByName(by_automaton).unionByName(by_window)
 
 
-def _cut(text_out: bool, keep: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(text_out: bool, carried: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         ranges = b.column("ranges").to_pylist()
         for i, j, data, offs in K.text_chunks(b.column("text")):
@@ -225,8 +225,8 @@ def _cut(text_out: bool, keep: list[str], batches: Iterator[pa.RecordBatch]) ->
                 digests.append(hashlib.sha256(kept).hexdigest())
                 texts.append(kept.decode() if removed[-1] else raw[offs[r - i] : offs[r - i + 1]].decode())
             cols = [b.column("doc_id").slice(i, j - i), pa.array(w.counts.astype(np.int64)), pa.array(removed, pa.int64()), pa.array(digests, pa.string())]
-            cols += [pa.array(texts, pa.string())] * text_out + [b.column(c).slice(i, j - i) for c in keep]
-            yield pa.record_batch(cols, names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"][: 4 + text_out] + keep)
+            cols += [pa.array(texts, pa.string())] * text_out + [b.column(c).slice(i, j - i) for c in carried]
+            yield pa.record_batch(cols, names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"][: 4 + text_out] + carried)
 
 
 def dedup_substrings(docs: DataFrame, length: int = 50, text_out: bool = False, keep: list[str] | None = None) -> DataFrame:
