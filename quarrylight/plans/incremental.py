@@ -96,22 +96,22 @@ def single_active_violations(spark, sf_dir):
     return L.over_limit(table(spark, sf_dir, "orders"), "o_custkey", F.col("o_orderstatus") == "P", 1)
 
 
-_SPANS = "s AS (SELECT l_suppkey AS k, l_orderkey * 10 + l_linenumber AS id, (l_partkey % 900)::BIGINT AS lo, (l_partkey % 900 + l_quantity)::BIGINT AS hi FROM lineitem WHERE l_orderkey % 8 = 0)"
+_SPANS = "s AS (SELECT l_suppkey * 10 + l_linenumber AS k, l_orderkey * 10 + l_linenumber AS id, (l_partkey % 900)::BIGINT AS lo, (l_partkey % 900 + l_quantity)::BIGINT AS hi FROM lineitem)"
 
 
 def _spans(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").filter("l_orderkey % 8 = 0")
-    return li.select(F.col("l_suppkey").alias("k"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), (F.col("l_partkey") % 900).alias("lo"), (F.col("l_partkey") % 900 + F.col("l_quantity")).cast("long").alias("hi"))
+    li = table(spark, sf_dir, "lineitem")
+    return li.select((F.col("l_suppkey") * 10 + F.col("l_linenumber")).alias("k"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), (F.col("l_partkey") % 900).alias("lo"), (F.col("l_partkey") % 900 + F.col("l_quantity")).cast("long").alias("hi"))
 
 
-@register("narrowest_containing_interval", f"""WITH {_SPANS}, p AS (SELECT l_suppkey AS k, l_orderkey * 10 + l_linenumber AS point_id, (l_partkey % 900 + 2)::BIGINT AS at FROM lineitem WHERE l_orderkey % 8 = 1),
+@register("narrowest_containing_interval", f"""WITH {_SPANS}, p AS (SELECT l_suppkey * 10 + l_linenumber AS k, l_orderkey * 10 + l_linenumber AS point_id, (l_partkey % 900 + 2)::BIGINT AS at FROM lineitem),
 j AS (SELECT p.k, point_id, id, hi - lo AS width, lo FROM p JOIN s ON p.k = s.k AND lo <= at AND at <= hi),
-r AS (SELECT *, row_number() OVER (PARTITION BY k, point_id ORDER BY width, lo DESC, id) AS i, count(*) OVER (PARTITION BY k, point_id, width) = 1 AS uniq FROM j)
+r AS (SELECT *, row_number() OVER (PARTITION BY k, point_id ORDER BY width, lo DESC, id) AS i, min(id) OVER (PARTITION BY k, point_id, width) = max(id) OVER (PARTITION BY k, point_id, width) AS uniq FROM j)
 SELECT k, point_id, id, width, uniq AS "unique" FROM r WHERE i = 1""".replace(" AS at ", " AS spot ").replace("lo <= at AND at <= hi", "lo <= spot AND spot <= hi"))
 def narrowest_containing_interval(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").filter("l_orderkey % 8 = 1")
+    li = table(spark, sf_dir, "lineitem")
     at = F.col("l_partkey") % 900 + 2
-    points = li.select(F.col("l_suppkey").alias("k"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("point_id"), at.alias("start"), at.alias("stop"))
+    points = li.select((F.col("l_suppkey") * 10 + F.col("l_linenumber")).alias("k"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("point_id"), at.alias("start"), at.alias("stop"))
     return J.narrowest_container(points, _spans(spark, sf_dir), ["k"], "point_id", "id")
 
 
@@ -156,13 +156,13 @@ def step_digest_verify(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.sha2("text", 256) == receipt).alias("verified"))
 
 
-# ---- graphs: users' events give a layered graph of parts and suppliers; a sparse functional graph gives cycles
+# ---- graphs over the whole part table: each part points at one of 211 parts, which gives tails and cycles
 
-_EDGES = "e AS (SELECT DISTINCT p_partkey AS source, (p_partkey * 7 + p_size) % 211 AS target FROM part WHERE p_partkey < 211)"
+_EDGES = "e AS (SELECT DISTINCT p_partkey AS source, (p_partkey * 7 + p_size) % 211 AS target FROM part)"
 
 
 def _edges(spark, sf_dir):
-    return table(spark, sf_dir, "part").filter("p_partkey < 211").select(F.col("p_partkey").alias("source"), ((F.col("p_partkey") * 7 + F.col("p_size")) % 211).alias("target")).distinct()
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("source"), ((F.col("p_partkey") * 7 + F.col("p_size")) % 211).alias("target")).distinct()
 
 
 @register("impact_bfs", f"""WITH RECURSIVE {_EDGES}, w AS (SELECT 5::BIGINT AS node, 0 AS depth UNION SELECT e.source, w.depth + 1 FROM w JOIN e ON e.target = w.node WHERE w.depth < 8),
@@ -178,13 +178,13 @@ def scc_cycles(spark, sf_dir):
     return G.strongly_connected(_edges(spark, sf_dir))
 
 
-_DAG = "n AS (SELECT p_partkey AS node FROM part WHERE p_partkey < 120), e AS (SELECT p_partkey AS source, p_partkey // (2 + p_size % 3) AS target FROM part WHERE p_partkey < 120 AND p_partkey // (2 + p_size % 3) > 0)"
+_DAG = "n AS (SELECT p_partkey AS node FROM part), e AS (SELECT p_partkey AS source, p_partkey // (2 + p_size % 3) AS target FROM part WHERE p_partkey // (2 + p_size % 3) > 0)"
 
 
 @register("kahn_levels", f"""WITH RECURSIVE {_DAG}, w AS (SELECT node, 0 AS level FROM n UNION SELECT e.source, w.level + 1 FROM w JOIN e ON e.target = w.node)
 SELECT node, max(level) AS level FROM w GROUP BY 1""")
 def kahn_levels(spark, sf_dir):
-    p = table(spark, sf_dir, "part").filter("p_partkey < 120")
+    p = table(spark, sf_dir, "part")
     target = F.floor(F.col("p_partkey") / (2 + F.col("p_size") % 3))
     return G.kahn_levels(p.select(F.col("p_partkey").alias("node")), p.select(F.col("p_partkey").alias("source"), target.alias("target")).filter("target > 0"))
 

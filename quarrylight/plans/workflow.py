@@ -35,15 +35,16 @@ def queue_head(spark, sf_dir):
     return W.queue_head(q, ["o_orderdate", "o_orderkey"]).select("o_orderkey", "waiting", "over_depth")
 
 
-_FINDINGS = "f AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_partkey AS path, l_returnflag AS category, l_suppkey * 1000 + l_partkey % 7 AS endpoint, l_orderkey % 400 AS lo, l_orderkey % 400 + l_quantity::BIGINT AS hi FROM lineitem WHERE l_orderkey % 4 = 0)"
+_FINDINGS = "f AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_partkey * 10 + l_linenumber AS path, l_returnflag AS category, l_suppkey * 1000 + l_orderkey % 97 AS endpoint, l_orderkey % 400 AS lo, l_orderkey % 400 + l_quantity::BIGINT AS hi FROM lineitem)"
 
 
 @register("finding_relationships", f"""WITH {_FINDINGS}, p AS (SELECT a.id AS left_id, b.id AS right_id, CASE WHEN a.path = b.path AND a.category = b.category THEN 'SHARED_ROOT_CAUSE' WHEN a.path = b.path AND a.lo <= b.hi AND b.lo <= a.hi THEN 'SOURCE_OVERLAP'
-WHEN a.path = b.path THEN 'POTENTIAL_CONFLICT' ELSE 'VALIDATION_DEPENDENCY' END AS kind FROM f a JOIN f b ON a.id < b.id AND (a.path = b.path OR a.endpoint = b.endpoint))
-SELECT left_id, right_id, kind, CASE kind WHEN 'SHARED_ROOT_CAUSE' THEN 0.92 WHEN 'SOURCE_OVERLAP' THEN 0.88 WHEN 'POTENTIAL_CONFLICT' THEN 0.72 ELSE 0.66 END::DOUBLE AS confidence FROM p""")
+ELSE 'POTENTIAL_CONFLICT' END AS kind FROM f a JOIN f b ON a.id < b.id AND a.path = b.path UNION ALL SELECT a.id, b.id, 'VALIDATION_DEPENDENCY' FROM f a JOIN f b ON a.id < b.id AND a.endpoint = b.endpoint AND a.path <> b.path),
+q AS (SELECT *, CASE kind WHEN 'SHARED_ROOT_CAUSE' THEN 0.92 WHEN 'SOURCE_OVERLAP' THEN 0.88 WHEN 'POTENTIAL_CONFLICT' THEN 0.72 ELSE 0.66 END::DOUBLE AS c FROM p)
+SELECT left_id, right_id, arg_max(kind, c) AS kind, max(c) AS confidence FROM q GROUP BY 1, 2""")
 def finding_relationships(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").filter("l_orderkey % 4 = 0")
-    f = li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_partkey").alias("path"), F.col("l_returnflag").alias("category"), (F.col("l_suppkey") * 1000 + F.col("l_partkey") % 7).alias("endpoint"), (F.col("l_orderkey") % 400).alias("lo"), (F.col("l_orderkey") % 400 + F.col("l_quantity").cast("long")).alias("hi"))
+    li = table(spark, sf_dir, "lineitem")
+    f = li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), (F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("path"), F.col("l_returnflag").alias("category"), (F.col("l_suppkey") * 1000 + F.col("l_orderkey") % 97).alias("endpoint"), (F.col("l_orderkey") % 400).alias("lo"), (F.col("l_orderkey") % 400 + F.col("l_quantity").cast("long")).alias("hi"))
     return W.relationships(f)
 
 
@@ -94,12 +95,12 @@ def priority_plan(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", F.row_number().over(w).alias("ordinal"), F.lag("o_orderkey").over(w).alias("depends_on"))
 
 
-@register("multi_finding_overlap", """WITH r AS (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber) AS i FROM lineitem WHERE l_orderkey < 200)
+@register("multi_finding_overlap", """WITH r AS (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber, l_partkey) AS i FROM lineitem)
 SELECT l_partkey, count(DISTINCT l_orderkey) AS findings FROM r WHERE i <= 3 GROUP BY 1 HAVING findings > 1""")
 def multi_finding_overlap(spark, sf_dir):
     from quarrylight.operators.relational import top_per_key
 
-    top = top_per_key(table(spark, sf_dir, "lineitem").filter("l_orderkey < 200"), ["l_orderkey"], [F.desc("l_quantity"), F.col("l_linenumber")], 3)
+    top = top_per_key(table(spark, sf_dir, "lineitem"), ["l_orderkey"], [F.desc("l_quantity"), F.col("l_linenumber"), F.col("l_partkey")], 3)
     return top.groupBy("l_partkey").agg(F.countDistinct("l_orderkey").alias("findings")).filter("findings > 1")
 
 

@@ -47,6 +47,7 @@ def compare(spark_df, con, sql) -> str | None:
         return f"columns {sorted(got_cols)} != {sorted(want_cols)}"
     got, want = rows_of(got_cols, [tuple(r) for r in spark_df.collect()]), rows_of(want_cols, res.fetchall())
     if got != want:
-        extra, missing = [r for r in got if r not in set(want)][:3], [r for r in want if r not in set(got)][:3]
+        here, there = set(got), set(want)
+        extra, missing = list(here - there)[:3], list(there - here)[:3]
         return f"{len(got)} rows, expected {len(want)}; only here {extra}; only there {missing}"
     return None
