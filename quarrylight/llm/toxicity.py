@@ -70,9 +70,9 @@ def fit(examples: list[tuple[np.ndarray, int]], seed: int = 7) -> tuple[np.ndarr
     bias = 1 << DIM_BITS
     if not examples:
         return np.zeros(0, np.uint64), np.zeros(0)
-    names, at = np.unique(np.concatenate([f for f, _ in examples] + [np.array([bias], np.uint64)]), return_inverse=True)
-    ends = np.cumsum([0] + [len(f) for f, _ in examples])
-    rows = [np.append(at[a:b], at[-1]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    # 32-bit features and places: the sample's features are what a training task keeps in memory
+    names = np.unique(np.concatenate([f for f, _ in examples] + [np.array([bias], np.uint32)]))
+    rows = [np.append(np.searchsorted(names, f), len(names) - 1).astype(np.int32) for f, _ in examples]
     model = Ftrl(len(names))
     order = np.random.Generator(np.random.PCG64(seed))
     for _ in range(EPOCHS):
@@ -80,7 +80,7 @@ def fit(examples: list[tuple[np.ndarray, int]], seed: int = 7) -> tuple[np.ndarr
             model.learn(rows[i], examples[i][1])
     w = model.weights()
     keep = w != 0
-    return names[keep], w[keep]
+    return names[keep].astype(np.uint64), w[keep]
 
 
 def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,7 +91,7 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             doc, feat = feature_arrays(data, offs)
             at = np.searchsorted(np.sort(doc), np.arange(j - i + 1))
             feat = feat[np.argsort(doc, kind="stable")]
-            examples += [(int(ids[r]), np.unique(feat[at[r - i] : at[r - i + 1]]), int(ys[r])) for r in range(i, j)]
+            examples += [(int(ids[r]), np.unique(feat[at[r - i] : at[r - i + 1]].astype(np.uint32)), int(ys[r])) for r in range(i, j)]
     examples.sort(key=lambda e: e[0])
     names, weights = fit([e[1:] for e in examples])
     yield pa.record_batch([pa.array(names.astype(np.int64)), pa.array(weights)], names=["feature", "weight"])
