@@ -1,8 +1,10 @@
 """Quality rules with robust multivariate outliers, in DataFrame functions only.
 
-`text_statistics` derives per-document counts. `reject_outliers` estimates, for every language and source, a minimum
-covariance determinant (MCD) location and scatter of transformed statistics by concentration steps, and rejects
-documents whose squared Mahalanobis distance is over a cutoff.
+`text_statistics` derives per-document counts. `mcd_distances` estimates, for every language and source, a minimum
+covariance determinant (MCD) location and scatter of transformed statistics by concentration steps until the determinant
+settles, estimates both again from all documents within the cutoff, and `quality_rules` rejects documents whose squared
+Mahalanobis distance is over it. Variances are the estimates; a guard replaces one only where it is smaller, as where
+nearly no document of a pool holds a symbol.
 
 Defined results. Null or empty text: no words, every count 0, base rule failed. Null lang or source: a group of its own.
 Sources with under `min_group` documents of a language are estimated together, and rests of languages under it likewise. Repeated
@@ -22,12 +24,14 @@ from quarrylight.session import settle
 SPACE = r"[ \t\n\x0B\f\r]+"
 SYMBOLS = "[#*$%&|<>]"
 WINDOW = 5
-#: transformed statistics and the least standard deviation each is taken to have
+#: words, characters and lines at which a document's own statistics count half: averages over few units scatter more
+HALF_WORDS, HALF_CHARS, HALF_LINES = 400, 200, 10
+#: transformed statistics and a guard: the least standard deviation of each, for pools whose core has none at all
 FEATURES: dict[str, tuple[Callable[[], Column], float]] = {
-    "x_word": (lambda: F.log(F.lit(1.0) + F.col("word_chars") / F.greatest(F.col("n_words"), F.lit(1))), 0.15),
-    "x_symbol": (lambda: F.log(F.lit(0.02) + F.col("n_symbols") / F.greatest(F.col("word_chars"), F.lit(1))), 0.40),
-    "x_lines": (lambda: F.sqrt(F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1))), 0.12),
-    "x_repeat": (lambda: F.sqrt(F.col("n_repeat_words") / F.greatest(F.col("n_words"), F.lit(1))), 0.12),
+    "x_word": (lambda: F.log(F.lit(1.0) + F.col("word_chars") / F.greatest(F.col("n_words"), F.lit(1))), 0.005),
+    "x_symbol": (lambda: F.log(F.lit(0.02) + F.col("n_symbols") / (F.col("word_chars") + F.lit(HALF_CHARS))), 0.05),
+    "x_lines": (lambda: F.sqrt(F.col("n_dup_lines") / (F.col("n_lines") + F.lit(HALF_LINES))), 0.06),
+    "x_repeat": (lambda: F.sqrt(F.col("n_repeat_words") / (F.col("n_words") + F.lit(HALF_WORDS))), 0.06),
 }
 #: 99.999 % quantile of chi-squared with four degrees of freedom, a fixed value
 CUTOFF = 28.47
@@ -116,15 +120,16 @@ def _moments(xs: list[str], weight: Column) -> list[Column]:
 
 
 def _factor(df: DataFrame, xs: list[str], floors: list[float]) -> DataFrame:
-    """Cholesky factor l_i_j of the scatter, whose diagonal is at least the floors' squares."""
+    """Cholesky factor l_i_j of the scatter and its log determinant; a variance under its floor's square is replaced by that."""
     for i, x in enumerate(xs):
         for j, y in enumerate(xs[: i + 1]):
             c = F.col(f"p_{x}_{y}") - F.col(f"m_{x}") * F.col(f"m_{y}")
-            c = F.greatest(c, F.lit(0.0)) + F.lit(floors[i] ** 2) if i == j else c
+            c = F.greatest(c, F.lit(floors[i] ** 2)) if i == j else c
             c = reduce(lambda a, k: a - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}"), range(j), c)
             c = F.sqrt(F.greatest(c, F.lit(floors[i] ** 2 / 4))) if i == j else c / F.col(f"l_{j}_{j}")
             df = df.withColumn(f"l_{i}_{j}", c)
-    return df.select("_pool", *[f"m_{x}" for x in xs], *[f"l_{i}_{j}" for i in range(len(xs)) for j in range(i + 1)])
+    determinant = reduce(lambda a, b: a + b, [F.log(f"l_{i}_{i}") for i in range(len(xs))]) * 2
+    return df.select("_pool", determinant.alias("_det"), *[f"m_{x}" for x in xs], *[f"l_{i}_{j}" for i in range(len(xs)) for j in range(i + 1)])
 
 
 def _distance(df: DataFrame, xs: list[str]) -> DataFrame:
@@ -135,15 +140,21 @@ def _distance(df: DataFrame, xs: list[str]) -> DataFrame:
     return df.withColumn("distance", reduce(lambda a, b: a + b, [F.col(f"z_{i}") * F.col(f"z_{i}") for i in range(len(xs))]))
 
 
-def mcd_distances(stats: DataFrame, steps: int = 2, share: float = 0.75, min_group: int = 100) -> DataFrame:
+def mcd_distances(stats: DataFrame, cutoff: float = CUTOFF, share: float = 0.75, min_group: int = 100) -> DataFrame:
     """stats with a column distance. stats must be cheap to read again (settled): each step reads it twice.
 
     Each concentration step is one grouped aggregate for the `share` quantile of the distances and one for the moments
     of the rows below it; both combine map-side, so a language or source that holds most rows is no bottleneck. The
-    estimates, one row a pool, are joined back; the optimizer broadcasts them only when measured as small.
+    estimates, one row a pool, are joined back; the optimizer broadcasts them only when measured as small. Steps end when
+    no pool's determinant falls by over 1 % (the quantiles' own error); guards bound it, so they do end. The last
+    estimate is from the rows within the cutoff.
     """
     xs, floors = list(FEATURES), [f for _, f in FEATURES.values()]
     rows = settle(_pooled(stats, min_group).withColumns({x: f() for x, (f, _) in FEATURES.items()}), "features")
+    # a mean word length counts from its pool's median, the less the fewer words it is a mean of
+    middle = rows.groupBy("_pool").agg(F.percentile_approx("x_word", 0.5, 1000).alias("_middle"))
+    weight = F.sqrt(F.col("n_words") / (F.col("n_words") + F.lit(HALF_WORDS)))
+    rows = settle(rows.join(middle, "_pool").withColumn("x_word", (F.col("x_word") - F.col("_middle")) * weight).drop("_middle"), "features")
 
     def estimate(from_rows: DataFrame, weight: Column) -> DataFrame:
         return settle(_factor(from_rows.groupBy("_pool").agg(*_moments(xs, weight)).fillna(0.0), xs, floors), "mcd")
@@ -155,10 +166,18 @@ def mcd_distances(stats: DataFrame, steps: int = 2, share: float = 0.75, min_gro
     )
     gap = near.groupBy("_pool").agg(F.percentile_approx("_gap", share, 1000).alias("_limit"))
     now = estimate(near.join(gap, "_pool"), F.col("_gap") <= F.col("_limit"))
-    for _ in range(steps):
+    falls = True
+    while falls:
         at = _distance(rows.join(now, "_pool"), xs)
         limit = at.groupBy("_pool").agg(F.percentile_approx("distance", share, 1000).alias("_limit"))
-        now = estimate(at.join(limit, "_pool"), F.col("distance") <= F.col("_limit"))
+        new = estimate(at.join(limit, "_pool"), F.col("distance") <= F.col("_limit"))
+        lower = new.join(now.select("_pool", F.col("_det").alias("_was")), "_pool").filter(F.col("_det") < F.col("_was") - 0.01)
+        # a pool that has settled keeps its estimate, so its determinant never rises and falls again
+        falls = not lower.isEmpty()
+        if falls:
+            kept = now.join(lower.select("_pool"), "_pool", "left_anti")
+            now = settle(kept.unionByName(lower.drop("_was")), "mcd")
+    now = estimate(_distance(rows.join(now, "_pool"), xs), F.col("distance") <= F.lit(cutoff))
     return _distance(rows.join(now, "_pool"), xs)
 
 
@@ -181,7 +200,7 @@ def _pooled(stats: DataFrame, min_group: int) -> DataFrame:
 def quality_rules(docs: DataFrame, cutoff: float = CUTOFF, **mcd) -> DataFrame:
     """One row per document: statistics, base_failed, distance and kept."""
     stats = settle(text_statistics(docs), "statistics")
-    out = mcd_distances(stats, **mcd).withColumn("base_failed", base_failed())
+    out = mcd_distances(stats, cutoff, **mcd).withColumn("base_failed", base_failed())
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & (F.col("distance") <= F.lit(cutoff))).alias("kept"), "distance",

@@ -1,3 +1,4 @@
+import random
 import re
 
 from quarrylight.llm.quality_rules import quality_rules, text_statistics
@@ -49,3 +50,24 @@ def test_outliers_go_and_clean_stay(spark, sf_dir):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string, lang string, source string")
     assert quality_rules(df).collect() == []
+
+
+def test_symbols_after_many_words_go_and_one_symbol_stays(spark):
+    """A share of 0.1 symbols a word character is far outside a pool without any."""
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(3, 9)))
+    texts = [[word() for _ in range(r.randint(60, 300))] for _ in range(240)]
+    marked = lambda t: " ".join(w + " |" * (k % 3 > 0) for k, w in enumerate(t))
+    rows = [(i, marked(t) if i < 12 else " ".join(t) + " #" * (i < 20), "en", "s") for i, t in enumerate(texts)]
+    out = {x["doc_id"]: x["kept"] for x in quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert {i for i, kept in out.items() if not kept} == set(range(12))
+
+
+def test_the_estimate_rules_where_there_is_a_spread(spark):
+    """The same mean word length is an outlier of a source with even words and none of a source with uneven ones."""
+    r = random.Random(7)
+    text = lambda mean: " ".join("".join(r.choice("abcdefghij") for _ in range(max(2, round(r.gauss(mean, 1))))) for _ in range(300))
+    rows = [(i, text(6), "en", "even") for i in range(200)] + [(1000 + i, text(r.uniform(4, 9)), "en", "uneven") for i in range(200)]
+    rows += [(5000, text(8), "en", "even"), (5001, text(8), "en", "uneven")]
+    out = {x["doc_id"]: x["kept"] for x in quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not out[5000] and out[5001] and sum(out.values()) == len(rows) - 1
