@@ -95,3 +95,16 @@ def test_documents(spark, sf_dir):
 def test_empty(spark):
     d, b = (spark.createDataFrame([], f"{n}_id long, text string") for n in ("doc", "item"))
     assert D.decontaminate(d, b).collect() == []
+
+
+def test_verbatim_copies_of_any_item(spark):
+    items = [
+        (1, "Zugspitze"), (2, "one two"), (3, "What is 17 + 25 * 3 - 4?"), (4, "NAME THE LARGEST PLANET OF THE SOLAR SYSTEM"),
+        (5, "Which Of These Cities Is The Capital Of France: Paris, Lyon, Nice"), (6, "水の沸点は何度ですか。"), (7, "中国的首都是哪个城市"), (8, "What colour is grass today"), (9, "สวัสดีครับ"), (10, "12 * 7"),
+    ]
+    docs = [(i, f"so they asked, and then {t} was written down") for i, t in items if i not in (6, 7, 9)]
+    docs += [(6, "問題、水の沸点は何度ですか。答えは百度です"), (7, "请问中国的首都是哪个城市呢abc"), (9, "กขสวัสดีครับคง")]
+    docs += [(100, "What is 17 - 25 * 3 + 4?"), (101, "水の沸点は何度でした"), (102, "one, three, two"), (103, "12 * 8"), (104, ""), (105, None)]
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["item_ids"] for r in D.decontaminate(d, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {i: [i] if i < 100 else [] for i, _ in docs}
