@@ -215,34 +215,34 @@ class Encoder:
         self.model, self.hot = model, {w[1:]: self._bytes(ids) for w, ids in hot.items()}
         self.marked, self.bare = dict(self.hot), {}
         self.newline = self._bytes(model.encode_word("\n"))
-        self.exact = True
+        self.raw = pa.array(model.raw, pa.large_binary())
 
     @staticmethod
     def _bytes(ids: list[int]) -> bytes:
         return array("i", ids).tobytes()
 
     def _word(self, unit: str) -> bytes:
-        ids = self.model.encode_word(unit)
-        self.exact &= b"".join([self.model.raw[i] for i in ids]) == unit.replace(MARK, " ").encode()
-        return self._bytes(ids)
+        return self._bytes(self.model.encode_word(unit))
 
     def _missing(self, known: dict[str, bytes], mark: str, word: str) -> bytes:
         got = known.get(word)
         if got is None:
             got = self._word(mark + word)
-            if len(word) <= 64 and self.exact:
+            if len(word) <= 64:
                 if len(known) > len(self.hot) + CACHE:
                     known.clear()
                     known.update(self.hot if mark else {})
                 known[word] = got
         return got
 
-    def encode(self, text: str) -> tuple[bytes, bool]:
-        """(int32 ids, whether decoding gives the text back: checked word by word as words are encoded)."""
-        plain = MARK not in text
-        if not plain:
-            text = text.replace(MARK, " ")
-        self.exact, out = True, []
+    def decoded(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """(bytes of the pieces of ids one after another, where each id's bytes start, and the end): one take over the pieces' bytes."""
+        _, ends, raw = self.raw.take(pa.array(ids)).buffers()
+        return (raw.to_pybytes() if raw is not None else b""), np.frombuffer(ends, np.int64)[: len(ids) + 1]
+
+    def encode(self, text: str) -> bytes:
+        """int32 ids."""
+        text, out = text.replace(MARK, " "), []
         for k, line in enumerate(text.split("\n")) if text else ():
             if k:
                 out.append(self.newline)
@@ -259,7 +259,7 @@ class Encoder:
             if None in got:
                 got = [g if g is not None else self._missing(self.marked, MARK, w) for g, w in zip(got, words, strict=True)]
             out += got
-        return b"".join(out), plain and self.exact
+        return b"".join(out)
 
 
 def units_after_newline(line: str) -> Iterator[str]:
@@ -279,11 +279,16 @@ def _encode(shared, rows: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa
     for whole in batches:
         for at in range(0, whole.num_rows, rows):
             b = whole.slice(at, rows)
-            done = [encoder.encode(text or "") for text in b.column("text").to_pylist()]
-            sizes = np.array([len(ids) // 4 for ids, _ in done], np.int64)
-            ids = pa.array(np.frombuffer(b"".join([ids for ids, _ in done]), np.int32))
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), ids)
-            yield pa.record_batch([b.column("doc_id"), pa.array(sizes), lists, pa.array([same for _, same in done])], schema=_OUT)
+            texts = [text or "" for text in b.column("text").to_pylist()]
+            done = [encoder.encode(text) for text in texts]
+            sizes = np.array([len(ids) // 4 for ids in done], np.int64)
+            ids, offs = np.frombuffer(b"".join(done), np.int32), np.concatenate(([0], np.cumsum(sizes)))
+            raw, ends = encoder.decoded(ids)
+            at = ends[offs].tolist()
+            # decode() leaves out the first byte, the space before the first word
+            same = [raw[i + 1 : j] == text.encode() and raw[i : i + 1] in (b" ", b"") for i, j, text in zip(at[:-1], at[1:], texts, strict=True)]
+            lists = pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(ids))
+            yield pa.record_batch([b.column("doc_id"), pa.array(sizes), lists, pa.array(same)], schema=_OUT)
 
 
 def decode(model: Model, ids: list[int]) -> str:

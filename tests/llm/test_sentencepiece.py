@@ -1,6 +1,7 @@
 import itertools
 import random
 
+import pyarrow as pa
 import pytest
 
 from quarrylight.llm import sentencepiece_lattice as L
@@ -69,3 +70,17 @@ def test_unigram_viterbi_equals_brute_force(spark):
 
 def test_empty(spark):
     assert L.encode_documents(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_round_trip_is_decoded(spark, monkeypatch):
+    """Without byte pieces an unknown character is lost, also in a hot word; so is a word whose hot row is wrong."""
+    letters = [(c, i + 1, -1.0) for i, c in enumerate(L.MARK + "abc")]
+    model = L.Model(letters, None, 0)
+    monkeypatch.setattr(L.Model, "load", lambda path=None: model)
+    rows = [(1, "ab abc"), (2, "ab xé xé"), (3, ""), (4, None), (5, "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for hot in (100, 1):
+        assert {r["doc_id"]: r["round_trip"] for r in L.encode_documents(df, hot=hot).collect()} == {1: True, 2: False, 3: True, 4: True, 5: True}
+    shared = type("Shared", (), {"value": (model, {L.MARK + "ab": [1, 2, 4]})})
+    out = next(L._encode(shared, 256, iter([pa.record_batch([pa.array([1, 2]), pa.array(["ab", "ba"])], names=["doc_id", "text"])])))
+    assert out.column("round_trip").to_pylist() == [False, True]
