@@ -1,7 +1,9 @@
-"""Graph analytics by frontier joins. Rounds are bounded and settled in shared storage; only counts reach the driver."""
+"""Graph analytics by frontier joins. Rounds are settled in shared storage; only counts reach the driver."""
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,13 +32,13 @@ def impact(edges: DataFrame, roots: DataFrame, max_depth: int = 8, limit: int |
     return kept.withColumn("_n", n).withColumn("_i", F.row_number().over(Window.orderBy("depth", "node"))).filter(F.col("_i") <= limit).select("node", "depth", "via", (F.col("_n") > limit).alias("truncated"))
 
 
-def kahn_levels(nodes: DataFrame, edges: DataFrame, max_levels: int = 100) -> DataFrame:
+def kahn_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, level) by repeated peeling of nodes without unpeeled prerequisites; edges(source, target): source needs target.
 
-    Nodes on or behind a cycle get level null.
+    Nodes on or behind a cycle get level null. There is a round a level, whatever the depth.
     """
     left, e, done = nodes.select("node").distinct(), settle(edges.select("source", "target").distinct(), "kahn"), None
-    for level in range(max_levels):
+    for level in itertools.count():
         ready = settle(left.join(e.select(F.col("source").alias("node")).distinct(), "node", "left_anti").withColumn("level", F.lit(level)), "kahn")
         if ready.isEmpty():
             break
@@ -47,18 +49,19 @@ def kahn_levels(nodes: DataFrame, edges: DataFrame, max_levels: int = 100) -> Da
     return rest if done is None else done.unionByName(rest)
 
 
-def strongly_connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def strongly_connected(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node of each cycle's component; nodes on no cycle are left out.
 
     Nodes without an edge in or out are trimmed. Then each pass spreads the smallest label forward to its fixpoint, and
     backward from the label's own node inside its colour: what both reach is one component, and leaves the graph.
+    Passes go on until no edge is left; each takes at least one component, so they end.
     """
     e = settle(edges.select("source", "target").distinct(), "scc")
     loops = e.filter("source = target").select(F.col("source").alias("node"), F.col("source").alias("component"))
     e = settle(e.filter("source <> target"), "scc")
     found = []
-    for _ in range(rounds):
-        for _ in range(rounds):  # trim
+    while True:
+        while True:  # trim
             both = settle(e.select(F.col("source").alias("n")).intersect(e.select(F.col("target").alias("n"))), "scc")
             smaller = settle(e.join(both.select(F.col("n").alias("source")), "source", "left_semi").join(both.select(F.col("n").alias("target")), "target", "left_semi"), "scc")
             trimmed = smaller.count() < e.count()
@@ -68,7 +71,7 @@ def strongly_connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if e.isEmpty():
             break
         colour = settle(e.select(F.explode(F.array("source", "target")).alias("node")).distinct().withColumn("colour", F.col("node")), "scc")
-        for _ in range(10_000):
+        while True:
             come = e.join(colour.withColumnRenamed("node", "source"), "source").groupBy(F.col("target").alias("node")).agg(F.min("colour").alias("_c"))
             new = settle(colour.join(come, "node", "left").select("node", F.col("colour").alias("_was"), F.least("colour", F.coalesce("_c", "colour")).alias("colour")), "scc")
             changed = not new.filter("colour <> _was").isEmpty()

@@ -38,6 +38,21 @@ def test_impact_limit_and_cycles(spark):
     assert {r["node"]: r["level"] for r in G.kahn_levels(nodes, e).collect()}["d"] is None
 
 
+def test_levels_of_a_deep_chain(spark):
+    n = 104
+    nodes = spark.createDataFrame([(i,) for i in range(n)], "node int").coalesce(1)
+    e = spark.createDataFrame([(i, i - 1) for i in range(1, n)], "source int, target int").coalesce(1)
+    assert {r["node"]: r["level"] for r in G.kahn_levels(nodes, e).collect()} == {i: i for i in range(n)}
+
+
+def test_cycles_that_take_a_pass_each(spark):
+    """Cycle i reaches every later one, so all have one colour until it is taken."""
+    n = 62
+    edges = [(2 * i, 2 * j) for i in range(n) for j in range(i + 1, n)] + [p for i in range(n) for p in ((2 * i, 2 * i + 1), (2 * i + 1, 2 * i))]
+    got = {tuple(r) for r in G.strongly_connected(spark.createDataFrame(edges, "source int, target int").coalesce(1)).collect()}
+    assert got == {(2 * i + k, 2 * i) for i in range(n) for k in (0, 1)}
+
+
 def test_report_and_pages(spark, tmp_path):
     out = report({"t": spark.createDataFrame([(1, "a|b"), (2, "<x>")], "n int, s string")})
     assert '"s": "a|b"' in out["json"] and "a\\|b" in out["md"] and "&lt;x&gt;" in out["html"]
