@@ -7,7 +7,8 @@ scores gives other ids than the model's own, so the merge rule replaces it there
 encoded independently of each other.)
 
 `encode_documents` encodes whole texts: the HOT most frequent words of the corpus go through the lattice, and their ids,
-a bounded dictionary, are broadcast; other words are folded where they occur. No text is shuffled.
+a dictionary of at most HOT entries, are broadcast; the rest, rare words, are folded by the same rule where they occur. No
+text is shuffled.
 
 Defined results. Null or empty text: no pieces. Characters without a piece become their UTF-8 bytes' pieces. A space run
 keeps every space. A text that has the escape mark U+2581 itself is encoded as if it were a space, as the model does, and
@@ -30,7 +31,7 @@ from quarrylight.llm.quality_rules import bound
 
 MARK = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-HOT, HOT_CHARS, CACHE = 1 << 15, 24, 200_000
+HOT, HOT_CHARS, CACHE = 1 << 19, 24, 100_000
 
 
 class Model:
