@@ -31,7 +31,7 @@ from quarrylight.llm.quality_rules import bound
 
 MARK = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-HOT, HOT_CHARS, CACHE = 1 << 19, 24, 100_000
+HOT, HOT_CHARS, CACHE = 1 << 17, 24, 200_000
 
 
 class Model:
@@ -209,30 +209,26 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("n_pieces", pa.int64()), ("ids", pa.l
 OUT_SCHEMA = "doc_id long, n_pieces long, ids array<int>, round_trip boolean"
 
 
-class Encoder:
-    """Encodes texts with a bounded cache. An encoded word is kept as its int32 ids' bytes, so a text is one join."""
+def as_bytes(ids: list[int]) -> bytes:
+    return array("i", ids).tobytes()
 
-    def __init__(self, model: Model, hot: dict[str, list[int]]):
-        self.model, self.hot = model, {w[1:]: self._bytes(ids) for w, ids in hot.items()}
-        self.marked, self.bare = dict(self.hot), {}
-        self.newline = self._bytes(model.encode_word("\n"))
-        self.raw = pa.array(model.raw, pa.large_binary())
 
-    @staticmethod
-    def _bytes(ids: list[int]) -> bytes:
-        return array("i", ids).tobytes()
+class Encoder:
+    """Encodes texts with the lattice's words and a bounded cache. A word is kept as its int32 ids' bytes, so a text is one join."""
 
-    def _word(self, unit: str) -> bytes:
-        return self._bytes(self.model.encode_word(unit))
+    def __init__(self, model: Model, hot: dict[str, bytes]):
+        self.model, self.hot = model, hot
+        self.marked, self.bare = {}, {}
+        self.newline = as_bytes(model.encode_word("\n"))
+        self.raw = pa.array(model.raw, pa.large_binary())
 
     def _missing(self, known: dict[str, bytes], mark: str, word: str) -> bytes:
-        got = known.get(word)
+        got = (self.hot.get(word) if mark else None) or known.get(word)
         if got is None:
-            got = self._word(mark + word)
+            got = as_bytes(self.model.encode_word(mark + word))
             if len(word) <= 64:
-                if len(known) > len(self.hot) + CACHE:
+                if len(known) > CACHE:
                     known.clear()
-                    known.update(self.hot if mark else {})
                 known[word] = got
         return got
 
@@ -256,7 +252,7 @@ class Encoder:
             if k:
                 out.append(self._missing(self.bare, "", words[0]))
                 words = words[1:]
-            got = list(map(self.marked.get, words))
+            got = list(map(self.hot.get, words))
             if None in got:
                 got = [g if g is not None else self._missing(self.marked, MARK, w) for g, w in zip(got, words, strict=True)]
             out += got
@@ -301,7 +297,7 @@ def encode_documents(docs: DataFrame, model_path: str = DEFAULT_MODEL, hot: int
     """One row per document: doc_id, n_pieces, ids, round_trip (whether decoding gives the text back)."""
     model = Model.load(model_path)
     got = encode_words(hot_words(docs, hot), model).toArrow()
-    table = dict(zip(got["word"].to_pylist(), got["ids"].to_pylist(), strict=True))
+    table = {word[1:]: as_bytes(ids) for word, ids in zip(got["word"].to_pylist(), got["ids"].to_pylist(), strict=True)}
     shared = docs.sparkSession.sparkContext.broadcast((model, table))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(partial(_encode, shared, 256), OUT_SCHEMA)
 

@@ -81,6 +81,6 @@ def test_round_trip_is_decoded(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     for hot in (100, 1):
         assert {r["doc_id"]: r["round_trip"] for r in L.encode_documents(df, hot=hot).collect()} == {1: True, 2: False, 3: True, 4: True, 5: True}
-    shared = type("Shared", (), {"value": (model, {L.MARK + "ab": [1, 2, 4]})})
+    shared = type("Shared", (), {"value": (model, {"ab": L.as_bytes([1, 2, 4])})})
     out = next(L._encode(shared, 256, iter([pa.record_batch([pa.array([1, 2]), pa.array(["ab", "ba"])], names=["doc_id", "text"])])))
     assert out.column("round_trip").to_pylist() == [False, True]
