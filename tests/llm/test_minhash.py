@@ -1,3 +1,5 @@
+import math
+import random
 import re
 import string
 
@@ -59,17 +61,39 @@ def test_documents(spark):
     check(spark, rows + [(50_000 + i, t) for i, t in enumerate(odd)])
 
 
-@pytest.mark.parametrize("limit", [4, 64])
-def test_crowd_of_copies_with_own_edits(spark, monkeypatch, limit):
-    monkeypatch.setattr(minhash, "LIST", limit)
-    rows = [(i, edited(200, i % 12, i)) for i in range(90)] + [(900 + i, edited(200, 5, i)) for i in range(5)]
+@pytest.mark.parametrize("first_word", [0, 60])
+def test_crowd_of_copies_with_own_edits(spark, first_word):
+    rows = [(i, edited(200, i % 12, i)) for i in range(90)] + [(900 + i, edited(200 + first_word, 5, i)) for i in range(5)]
     check(spark, rows)
 
 
+def test_families_around_the_threshold_keep_every_link(spark):
+    """Families whose members are more and less similar than asked for: at least 0.9 of the true links, here all of them."""
+    r = random.Random(11)
+    rows = []
+    for family in range(40):
+        base = [f"f{family}w{i}" for i in range(r.randint(20, 160))]
+        for _ in range(6):
+            rows.append((len(rows), " ".join(f"x{r.random()}" if r.random() < 0.004 * (family % 16) else w for w in base)))
+    check(spark, rows)
+    check(spark, rows, 5, 80)
+
+
+def test_edges(spark):
+    """Null ids, repeated rows, ties, very long texts and clashing columns."""
+    text = edited(300, 0, 0)
+    rows = [(7, text), (7, text), (3, text + " more"), (None, text), (None, None), (5, "long " * 100_000), (4, "long " * 100_001), (9, None)]
+    df = spark.createDataFrame([(*r, "x", "y", "z") for r in rows], "doc_id int, text string, component_id string, rep string, h string").repartition(3)
+    got = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(df, 3, 85).collect()), key=str)
+    assert got == sorted([(7, 3, False), (7, 3, False), (3, 3, True), (None, None, True), (None, None, True), (5, 4, False), (4, 4, True), (9, 9, True)], key=str)
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert minhash.near_duplicates(df).collect() == []
 
 
 def test_threshold_misses_next_to_nothing():
-    assert minhash.miss_probability(0.85) < 1e-6 and minhash.match_threshold(0.85) == 86
+    for s in (0.8, 0.85):
+        t, n = minhash.match_threshold(s), minhash.COORDS
+        assert sum(math.comb(n, k) * s**k * (1 - s) ** (n - k) for k in range(t)) < 1e-6 and t > n // 2 - 2
