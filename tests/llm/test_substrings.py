@@ -38,10 +38,11 @@ def test_documents(spark):
     check(spark, rows + [(50_000 + i, t) for i, t in enumerate(odd)])
 
 
-@pytest.mark.parametrize("hot", [3, 2048])
-def test_passages_edits_and_shifts(spark, monkeypatch, hot):
-    monkeypatch.setattr(substrings, "HOT", hot)
-    r = random.Random(hot)
+@pytest.mark.parametrize("shard", [1, 3, 2048])
+def test_passages_edits_and_shifts(spark, monkeypatch, shard):
+    """Also with shards so small that they are dealt again and again."""
+    monkeypatch.setattr(substrings, "SHARD", shard)
+    r = random.Random(shard)
     words = [f"w{i}" for i in range(40)]
     passages = [[r.choice(words) for _ in range(n)] for n in (50, 51, 64, 90, 200)]
     rows = []
@@ -70,3 +71,16 @@ def test_automaton_matching_statistics():
     q = [r.choice("abc") for _ in range(200)]
     want = [max([0] + [n for n in range(1, min(31, i + 2)) if tuple(q[i + 1 - n : i + 1]) in have]) for i in range(200)]
     assert list(a.matches(q)) == want
+
+
+def test_edges(spark):
+    """Null ids stay whole; repeated rows of an id agree; ties, long texts; carried columns of any name."""
+    text = " ".join(f"w{i}" for i in range(80))
+    rows = [(7, text), (7, text), (3, text), (None, text), (None, None), (9, None), (4, "long " * 60_000), (5, "long " * 60_000 + "end")]
+    names = ["ranges", "n_words", "kept_text", "odd.name", "_row", "pick"]
+    df = spark.createDataFrame([(*r, *range(6)) for r in rows], "doc_id int, text string, " + ", ".join(f"`{n}` int" for n in names))
+    got = substrings.dedup_substrings(df.repartition(3), 50, text_out=True, keep=names).collect()
+    assert sorted(str((r["doc_id"], r["n_words"], r["n_removed"])) for r in got) == sorted(
+        str(x) for x in [(7, 80, 80), (7, 80, 80), (3, 80, 0), (None, 80, 0), (None, 0, 0), (9, 0, 0), (4, 60_000, 0), (5, 60_001, 60_000)]
+    )
+    assert all([r["carried"][n] for n in names] == list(range(6)) for r in got)
