@@ -2,18 +2,20 @@
 
 A document's signature has COORDS MinHash coordinates; each (coordinate, value) pair is a token. A pair of documents of the
 similarity asked for agrees in at least T = `match_threshold` coordinates, but for a probability under MISS. So documents are
-posted only under their COORDS - T + 1 rarest tokens (prefix filter: two that agree in T coordinates share one of these, in
-whatever order tokens stand, as long as it is one order for all). The order is by how many documents have the shingle that
-made the token, read from a count sketch of all documents' shingles: 2**SKETCH_BITS counters, whatever the input, so it can
-be broadcast. Hash collisions in it change the order, never the result.
+posted only under their COORDS - T + SHARE rarest tokens (prefix filter: two that agree in T coordinates share SHARE of
+these, in whatever order tokens stand, as long as it is one order for all). The order is by how many documents have the
+shingle that made the token, read from a count sketch of all documents' shingles: 2**SKETCH_BITS counters, whatever the
+input, so it can be broadcast. Hash collisions in it change the order, never the result.
 
 Documents with equal sets are one class; only class representatives are posted. Collisions are then counted and merged:
 
+0. Count: a document that stands in fewer than SHARE posting lists with others can't collide often enough with any, and
+   leaves the lists (`peel`).
 1. Star: in every posting list each document meets the list's smallest document. Collisions are counted per pair, a document
    keeps the partner it meets in the most lists, and pairs that agree in T coordinates are confirmed. A list of n copies gives
    n - 1 pairs.
-2. Skip: a list whose documents are now in one component can't change any component and is skipped. Documents of the other
-   lists, of whatever length, meet by a prefix merge of their shingles, rarest first by the same sketch, which is exact
+2. Skip: a list whose documents are now in one component can't change any component and is skipped. Documents in SHARE or more
+   of the other lists, of whatever length, meet by a prefix merge of their shingles, rarest first by the same sketch, which is exact
    (`prefix_pairs`); the pairs that agree in T coordinates are confirmed. So no list makes all its pairs.
 
 Confirmation decides on full sets: 100 * intersection >= percent * union.
@@ -39,7 +41,7 @@ from quarrylight.llm.filters import runtime_filters
 from quarrylight.llm.graph import components
 from quarrylight.session import settle
 
-COORDS, MISS, SKETCH_BITS = 64, 1e-7, 18
+COORDS, MISS, SHARE, SKETCH_BITS = 64, 1e-6, 12, 18
 _RNG = np.random.Generator(np.random.PCG64(20_240_501))
 _A = _RNG.integers(0, 1 << 63, COORDS, np.uint64) * K.U(2) + K.U(1)
 _ADD = _RNG.integers(0, 1 << 63, COORDS, np.uint64)
@@ -129,7 +131,7 @@ _SIG = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("s1", pa.
 
 
 def _signatures(k: int, threshold: int, sketch, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    mask, prefix = K.U((1 << SKETCH_BITS) - 1), COORDS - threshold + 1
+    mask, prefix = K.U((1 << SKETCH_BITS) - 1), min(COORDS, COORDS - threshold + SHARE)
     for b in batches:
         for i, j, data, offs in K.text_chunks(b.column("text")):
             sets, at = shingle_sets(data, offs, k)
@@ -250,6 +252,13 @@ def alike(pairs: DataFrame, reps: DataFrame, threshold: int) -> DataFrame:
     return pairs.filter(agreements(F.col("_a"), F.col("_b")) >= threshold).select("a", "b")
 
 
+def peel(posted: DataFrame) -> DataFrame:
+    """Of posted(doc_id, token) what is in lists of two documents or more, with the list's smallest as a; documents with SHARE such rows or more."""
+    lists = posted.groupBy("token").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("_last")).filter(F.col("a") < F.col("_last"))
+    shared = posted.join(lists.select("token", "a"), "token").groupBy("doc_id").agg(F.collect_list(F.struct("token", "a")).alias("_t"))  # at most COORDS a document
+    return settle(shared.filter(F.size("_t") >= SHARE).select("doc_id", F.explode("_t").alias("_t")).select("doc_id", "_t.*"), "postings")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     threshold = match_threshold(percent / 100)
@@ -266,9 +275,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     reps = member.filter(F.col("posts").isNotNull()).select("doc_id", "posts", "packed").dropDuplicates(["doc_id"])
     posted = reps.select("doc_id", F.explode("posts").alias("token"))
 
-    # 1. star: tokens of one document alone, most of them, end here
-    lists = posted.groupBy("token").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("_last")).filter(F.col("a") < F.col("_last"))
-    shared = settle(posted.join(lists.select("token", "a"), "token"), "postings")
+    # 0. count: tokens of one document alone, and documents without enough others, end here
+    shared = peel(peel(posted).select("doc_id", "token"))
+
+    # 1. star
     met = shared.filter(F.col("a") < F.col("doc_id")).groupBy("doc_id", "a").agg(F.count(F.lit(1)).alias("n"))
     best = met.groupBy("doc_id").agg(F.max(F.struct("n", (-F.col("a")).alias("_a"))).alias("m"))
     tried = settle(alike(best.select((-F.col("m._a")).alias("a"), F.col("doc_id").alias("b")), reps, threshold), "star")
@@ -278,7 +288,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     # 2. lists across components
     labelled = shared.join(joined, F.col("doc_id") == F.col("node"), "left").select("token", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     mixed = labelled.groupBy("token").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).filter(F.col("_lo") != F.col("_hi"))
-    crowd = settle(labelled.join(mixed.select("token"), "token").select("doc_id", "component").distinct(), "crowd")
+    meets = labelled.join(mixed.select("token"), "token").groupBy("doc_id", "component").agg(F.count(F.lit(1)).alias("n"))
+    crowd = settle(meets.filter(F.col("n") >= SHARE).select("doc_id", "component"), "crowd")
     more = prefix_pairs(docs, crowd, k, percent, sketch).join(tried, ["a", "b"], "left_anti")
     found = confirm(docs, settle(alike(more, reps, threshold), "rest"), k, percent).select("a", "b")
     if not found.isEmpty():
