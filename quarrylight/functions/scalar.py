@@ -72,16 +72,30 @@ def is_placeholder(text: Column) -> Column:
     return reduce(lambda a, b: a | b, tests)
 
 
+#: fixed values: texts of labels, names of languages
+TRUE_LABELS = ["1", "true", "yes", "vulnerable", "vuln", "insecure", "bad", "unsafe"]
+FALSE_LABELS = ["0", "false", "no", "safe", "secure", "benign", "clean", "good", "not vulnerable", "non vulnerable", "fixed"]
+LANGUAGE_NAMES = {
+    "C": "c", "C++": "c++ cpp cxx cc", "Python": "python py python3", "JavaScript": "javascript js node nodejs", "TypeScript": "typescript ts", "TypeScript TSX": "tsx",
+    "Go": "go golang", "Rust": "rust rs", "PHP": "php", "Java": "java", "C#": "c# csharp cs", "Ruby": "ruby rb", "Kotlin": "kotlin kt", "Swift": "swift",
+}
+
+
 def parse_label(text: Column) -> Column:
-    t = F.trim(F.translate(F.lower(text), "-_", "  "))
-    return F.when(t.isin("1", "true", "yes", "vulnerable", "unsafe", "insecure", "bad", "positive"), True).when(
-        t.isin("0", "false", "no", "safe", "secure", "not vulnerable", "non vulnerable", "good", "negative", "benign"), False
-    )
+    t = F.translate(F.lower(F.trim(text)), "-_", "  ")
+    return F.when(t.isin(TRUE_LABELS), True).when(t.isin(FALSE_LABELS), False)
 
 
 def parse_cwes(text: Column) -> Column:
-    """Sorted distinct CWE-n of a text."""
-    return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(F.upper(text), F.lit("CWE[-_ ]?0*([0-9]+)"), 1), lambda n: F.concat(F.lit("CWE-"), n))))
+    """Sorted distinct CWE-n of a text: its alphanumeric tokens of up to five digits, with or without CWE before them."""
+    digits = F.transform(F.split(text, "[^A-Za-z0-9]+"), lambda t: F.regexp_extract(t, r"^(?:CWE|cwe)?([0-9]{1,5})$", 1))
+    numbers = F.filter(F.transform(F.filter(digits, lambda d: d != ""), lambda d: d.cast("int")), lambda n: n > 0)
+    return F.array_sort(F.array_distinct(F.transform(numbers, lambda n: F.concat(F.lit("CWE-"), n.cast("string")))))
+
+
+def normalize_language(text: Column) -> Column:
+    low = F.lower(F.trim(text))
+    return reduce(lambda w, kv: w.when(low.isin(kv[1].split()), kv[0]), LANGUAGE_NAMES.items(), F.when(F.lit(False), "")).otherwise(F.trim(text))
 
 
 def normalize_name(ecosystem: Column, name: Column) -> Column:
@@ -104,21 +118,30 @@ def version_key(version: Column) -> Column:
     return F.struct(kept.alias("release"), F.when(released, 1).otherwise(0).alias("final"), pre.alias("pre"))
 
 
-def version_affected(version: Column, events: Column) -> Column:
-    """Whether version lies in an interval of events array<struct<kind, value>>, folded in their order."""
-    key = version_key(version)
+def keyed_events(events: Column) -> Column:
+    """events array<struct<kind, value>> with each value's version_key, made once."""
+    return F.transform(events, lambda e: F.struct(e["kind"].alias("kind"), e["value"].alias("value"), version_key(e["value"]).alias("key")))
+
 
-    def after(start: Column) -> Column:
-        return (start == "0") | (key >= version_key(start))
+def key_affected(key: Column, events: Column) -> Column:
+    """Whether a version_key lies in an interval of keyed_events, folded in their order."""
+    none = lambda x: F.when(F.lit(False), x)
+    after = lambda e: (e["value"] == "0") | (key >= e["key"])
 
     def step(acc: Column, e: Column) -> Column:
-        opens, shut = e["kind"] == "introduced", acc["open"].isNotNull()
-        below = F.when(e["kind"] == "last_affected", key <= version_key(e["value"])).otherwise(key < version_key(e["value"]))
-        inside = acc["hit"] | F.coalesce(shut & after(acc["open"]) & below, F.lit(False))
-        return F.when(opens, F.struct(acc["hit"].alias("hit"), e["value"].alias("open"))).otherwise(F.struct(inside.alias("hit"), F.lit(None).cast("string").alias("open")))
+        below = F.when(e["kind"] == "last_affected", key <= e["key"]).otherwise(key < e["key"])
+        hit = acc["hit"] | F.coalesce(acc["open"].isNotNull() & after(acc["open"]) & below, F.lit(False))
+        opens = e["kind"] == "introduced"
+        return F.struct(F.when(opens, acc["hit"]).otherwise(hit).alias("hit"), F.when(opens, e).otherwise(none(e)).alias("open"))
+
+    start = F.struct(F.lit(False).alias("hit"), none(F.element_at(events, 1)).alias("open"))
+    state = F.aggregate(events, start, step)
+    return F.when(F.size(events) == 0, False).otherwise(let(state, lambda s: s["hit"] | (s["open"].isNotNull() & F.coalesce(after(s["open"]), F.lit(False)))))
+
 
-    state = F.aggregate(events, F.struct(F.lit(False).alias("hit"), F.lit(None).cast("string").alias("open")), step)
-    return let(state, lambda s: s["hit"] | (s["open"].isNotNull() & F.coalesce(after(s["open"]), F.lit(False))))
+def version_affected(version: Column, events: Column) -> Column:
+    """Whether version lies in an interval of events array<struct<kind, value>>."""
+    return let(version_key(version), lambda k: let(keyed_events(events), lambda e: key_affected(k, e)))
 
 
 def cvss3_base_score(vector: Column) -> Column:
@@ -216,6 +239,76 @@ def softmax(logits: Column) -> Column:
 
 
 def image_is_mutable(image: Column) -> Column:
-    """An image without a tag or with :latest, not pinned by digest and not parameterised."""
+    """An image without a tag, with an empty one or with latest in any case, not pinned by digest and not parameterised."""
     last = F.element_at(F.split(image, "/"), -1)
-    return ~F.contains(image, F.lit("@sha256:")) & ~F.contains(image, F.lit("${")) & (~F.contains(last, F.lit(":")) | last.endswith(":latest"))
+    return ~F.contains(image, F.lit("@sha256:")) & ~F.contains(image, F.lit("${")) & last.rlike("(?i)^[^:]*(:|:latest)?$")
+
+
+def normalize_url(url: Column) -> Column:
+    """Lower-case scheme and host, no default port, no fragment, / for an empty path."""
+    parts = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?"
+    part = lambda k: F.regexp_extract(url, parts, k)
+    scheme, host = F.lower(part(1)), F.lower(part(2))
+    host = F.when(scheme == "https", F.regexp_replace(host, ":443$", "")).when(scheme == "http", F.regexp_replace(host, ":80$", "")).otherwise(host)
+    return F.when(url.rlike(parts), F.concat(scheme, F.lit("://"), host, F.when(part(3) == "", "/").otherwise(part(3)), part(4)))
+
+
+def cwe_numbers(text: Column) -> Column:
+    return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(F.upper(text), F.lit("CWE-([0-9]{1,9})"), 1), lambda n: n.cast("long"))))
+
+
+def severity_name(text: Column) -> Column:
+    """critical, high, medium (or moderate), low, none; anything else is unknown."""
+    low = F.lower(F.trim(text))
+    return F.when(low == "moderate", "medium").when(low.isin("critical", "high", "medium", "low", "none"), low).otherwise("unknown")
+
+
+def strip_router_prefix(path: Column, prefix: Column) -> Column:
+    """A route without a leading router prefix, whole segments only."""
+    at = F.concat(F.rtrim(prefix, F.lit("/")), F.lit("/"))
+    return F.when(F.rtrim(path, F.lit("/")) == F.rtrim(prefix, F.lit("/")), "/").when(path.startswith(at), F.concat(F.lit("/"), F.substr(path, F.length(at) + 1))).otherwise(path)
+
+
+def declaration_head(source: Column) -> Column:
+    """What stands before a declaration's body, on one line; null if nothing does."""
+    head = F.trim(F.regexp_replace(F.regexp_extract(source, r"(?s)^([^{;]*)", 1), r"\s+", " "))
+    return F.nullif(F.rtrim(head, F.lit(": ")), F.lit(""))
+
+
+def ip_class(ip: Column) -> Column:
+    v4 = F.transform(F.split(ip, r"\."), lambda x: x.cast("int"))
+    private = (v4[0] == 10) | ((v4[0] == 172) & v4[1].between(16, 31)) | ((v4[0] == 192) & (v4[1] == 168))
+    six = F.contains(ip, F.lit(":"))
+    return (
+        F.when(six, F.when(ip.rlike("^(0*:){2,}0*1$"), "loopback").when(F.lower(ip).rlike("^f[cd][0-9a-f]{2}:"), "private").otherwise("public"))
+        .when(v4[0] == 127, "loopback").when(private, "private").otherwise("public")
+    )
+
+
+def title_case(text: Column) -> Column:
+    """First letter in upper case, the rest as it is; Root for an empty text."""
+    return F.when(text == "", "Root").otherwise(F.concat(F.upper(F.substring(text, 1, 1)), F.substr(text, F.lit(2))))
+
+
+#: fixed values: parts of parameter names
+REDIRECT_NAMES = ["next", "url", "redirect", "redirect_uri", "return", "return_to", "callback"]
+PATH_NAMES = ["file", "path", "template", "page", "download", "folder"]
+URL_NAMES = ["url", "uri", "endpoint", "webhook", "callback", "image", "avatar", "feed"]
+OBJECT_NAMES = ["id", "user", "account", "order", "document", "file", "record"]
+
+
+def named_like(name: Column, parts: list[str]) -> Column:
+    return F.lower(name).rlike("|".join(parts))
+
+
+def object_specific(names: Column, path: Column) -> Column:
+    """A parameter named like an object, or a path segment of two or more digits."""
+    return F.exists(names, lambda n: named_like(n, OBJECT_NAMES)) | path.rlike("(^|/)[0-9]{2,}(/|$)")
+
+
+#: fixed values: what databases' error messages hold
+SQL_ERRORS = ["sql syntax", "sqlstate", "sqlite error", "sqliteexception", "postgresql error", "pg::syntaxerror", "mysql_fetch", "mysqli_sql_exception", "ora-", "unclosed quotation mark", "syntax error at or near", "database query failed"]
+
+
+def has_sql_error(body: Column) -> Column:
+    return F.lower(body).rlike("|".join(SQL_ERRORS))

@@ -65,3 +65,10 @@ def skip_reason(label: Column, text: Column, language: Column, languages: list[s
         .when(F.octet_length(text) > limit, "oversize")
         .when(~F.coalesce(language.isin(languages), F.lit(False)), "unsupported_language")
     )
+
+
+def cwe_recall(rows: DataFrame) -> DataFrame:
+    """rows(vulnerable, labelled array, observed array): per labelled weakness of vulnerable rows, how often anything and how often the same was observed."""
+    e = rows.filter("vulnerable").select(F.explode(F.array_distinct("labelled")).alias("cwe"), "observed")
+    g = e.groupBy("cwe").agg(F.count(F.lit(1)).alias("samples"), F.count_if(F.size("observed") > 0).alias("_any"), F.count_if(F.array_contains("observed", F.col("cwe"))).alias("_same"))
+    return g.select("cwe", "samples", ratio(F.col("_any"), F.col("samples")).alias("recall_any"), ratio(F.col("_same"), F.col("samples")).alias("recall_same_cwe"))

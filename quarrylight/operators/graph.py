@@ -102,17 +102,60 @@ def strongly_connected(edges: DataFrame) -> DataFrame:
     return best
 
 
-def ancestor_depth(parents: DataFrame, max_depth: int = 32) -> DataFrame:
-    """(node, depth): number of ancestors over parents(node, parent); chains that reach themselves stop."""
-    cur = settle(parents.select("node", F.col("parent").alias("at"), F.lit(0).alias("depth")), "depth")
-    out = []
-    for _ in range(max_depth):
-        out.append(cur.filter("at IS NULL OR at = node").select("node", "depth"))
-        go = cur.filter("at IS NOT NULL AND at <> node")
-        cur = settle(go.join(parents.select(F.col("node").alias("at"), F.col("parent").alias("_up")), "at", "left").select("node", F.col("_up").alias("at"), (F.col("depth") + 1).alias("depth")), "depth")
-        if cur.isEmpty():
-            break
-    done = cur.select("node", "depth")
-    for o in out:
-        done = done.unionByName(o)
-    return done.groupBy("node").agg(F.max("depth").alias("depth"))
+def _climb(parents: DataFrame) -> DataFrame:
+    """(node, at, steps, low, top): chains of parents(node, parent) followed by doubling, a round for each power of two.
+
+    at: null where the chain has ended, else, for chains that run into a cycle, a node of it; steps: edges passed; low: the
+    smallest node met; top: the last node of an ended chain.
+    """
+    cur = settle(parents.select("node", F.col("parent").alias("at"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("steps"), F.col("node").alias("low"), F.coalesce("parent", "node").alias("top")), "climb")
+    covered, n = 1, cur.count()
+    while covered <= n and not cur.filter("at IS NOT NULL").isEmpty():
+        up = cur.select(F.col("node").alias("at"), F.col("at").alias("_at"), F.col("steps").alias("_steps"), F.col("low").alias("_low"), F.col("top").alias("_top"))
+        cur = settle(cur.join(up, "at", "left").select("node", F.col("_at").alias("at"), (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"), F.least("low", "_low").alias("low"), F.coalesce("_top", "top").alias("top")), "climb")
+        covered *= 2
+    return cur
+
+
+def ancestor_depth(parents: DataFrame) -> DataFrame:
+    """(node, depth): parents followed from a node over parents(node, parent), until there is none or one comes again.
+
+    So a node on a cycle has the cycle's length, and one before it the way there and that length. Rounds are logarithmic in
+    the longest chain.
+    """
+    cur = _climb(parents)
+    loops = cur.filter("at IS NOT NULL")
+    if loops.isEmpty():
+        return cur.select("node", "steps").withColumnRenamed("steps", "depth")
+    ring = settle(cur.join(loops.select(F.col("at").alias("node")).distinct(), "node").select("node", "low"), "ring")
+    ring = ring.join(ring.groupBy("low").agg(F.count(F.lit(1)).alias("_n")), "low").select(F.col("node").alias("top"), "_n")
+    opened = parents.join(ring.select(F.col("top").alias("node"), F.lit(True).alias("_ring")), "node", "left").select("node", F.when(F.col("_ring").isNull(), F.col("parent")).alias("parent"))
+    return _climb(opened).join(ring, "top", "left").select("node", (F.col("steps") + F.coalesce("_n", F.lit(0))).alias("depth"))
+
+
+def shortest_paths(edges: DataFrame, start: DataFrame, max_depth: int = 64) -> DataFrame:
+    """(node, depth, path) of what edges(source, target) lead to from start(node); of paths of one length the smallest.
+
+    Raises if max_depth rounds don't reach everything.
+    """
+    seen = settle(start.select("node", F.lit(0).alias("depth"), F.array("node").alias("path")).dropDuplicates(["node"]), "paths")
+    frontier = seen
+    for depth in range(1, max_depth + 1):
+        step = edges.join(frontier.select(F.col("node").alias("source"), "path"), "source").groupBy(F.col("target").alias("node")).agg(F.min(F.concat("path", F.array("target"))).alias("path"))
+        frontier = settle(step.join(seen.select("node"), "node", "left_anti").select("node", F.lit(depth).alias("depth"), "path"), "paths")
+        if frontier.isEmpty():
+            return seen
+        seen = seen.unionByName(frontier)
+    raise RuntimeError(f"paths of more than {max_depth} edges")
+
+
+def inference(nodes: DataFrame, edges: DataFrame, position: int) -> DataFrame:
+    """(relation, node, path) around one node: ancestors and descendants with their shortest paths, orphans (not reachable from any root), cyclic nodes."""
+    start = nodes.filter(F.col("node") == position)
+    down = shortest_paths(edges, start).filter("depth > 0").select(F.lit("descendant").alias("relation"), "node", "path")
+    up = shortest_paths(edges.select(F.col("target").alias("source"), F.col("source").alias("target")), start).filter("depth > 0").select(F.lit("ancestor").alias("relation"), "node", "path")
+    roots = nodes.join(edges.select(F.col("target").alias("node")).distinct(), "node", "left_anti")
+    none = F.lit(None).cast(f"array<{nodes.schema['node'].dataType.simpleString()}>").alias("path")
+    orphan = nodes.join(shortest_paths(edges, roots).select("node"), "node", "left_anti").select(F.lit("orphan").alias("relation"), "node", none)
+    cyclic = strongly_connected(edges).select(F.lit("cyclic").alias("relation"), "node", none)
+    return down.unionByName(up).unionByName(orphan).unionByName(cyclic)

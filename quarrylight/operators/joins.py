@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrylight.functions.scalar import normalize_path
+
 
 def dependencies_done(items: DataFrame, deps: DataFrame, key: str, done: str) -> DataFrame:
     """Items none of whose dependencies is unfinished (no dependency: ready)."""
@@ -20,20 +22,34 @@ def buckets(start: Column, stop: Column, width: int) -> Column:
     return F.sequence(F.floor(start / width), F.floor(stop / width))
 
 
-def narrowest_container(points: DataFrame, spans: DataFrame, keys: list[str], point_id: str, span_id: str, width: int = 64) -> DataFrame:
+def size_class(length: Column) -> Column:
+    """k for spans of at most 2**k: spans of one class touch at most two buckets of 2**k, so no span is copied often."""
+    return F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(length, F.lit(1)).cast("double")))).cast("int")
+
+
+def _classed(spans: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(spans with _k and each bucket _b that they touch, the classes that a key has: at most one row a power of two)."""
+    s = spans.withColumn("_k", size_class(F.col("hi") - F.col("lo")))
+    at = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("_k"))).cast("long")
+    return s.withColumn("_b", F.explode(F.sequence(at("lo"), at("hi")))), s.select(*keys, "_k").distinct()
+
+
+def _placed(points: DataFrame, classes: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """points once for every class of their key, with the bucket of `column` there."""
+    return points.join(classes, keys).withColumn("_b", F.floor(F.col(column) / F.pow(F.lit(2.0), F.col("_k"))).cast("long"))
+
+
+def narrowest_container(points: DataFrame, spans: DataFrame, keys: list[str], point_id: str, span_id: str) -> DataFrame:
     """points(keys, point_id, start, stop) with the narrowest span(keys, span_id, lo, hi) that contains them.
 
-    Ties go to the later lo, then the smaller id. unique says whether only one span has that width.
+    Ties go to the later lo, then the smaller id. unique says whether only one span has that width. Spans meet points in
+    buckets of their own size, and of a point's spans only the best and a count are kept.
     """
-    s = spans.withColumn("_b", F.explode(buckets(F.col("lo"), F.col("hi"), width)))
-    p = points.withColumn("_b", F.floor(F.col("start") / width))
-    hit = p.join(s, [*keys, "_b"]).filter((F.col("lo") <= F.col("start")) & (F.col("stop") <= F.col("hi")))
-    best = hit.groupBy(*keys, point_id).agg(
-        F.min(F.struct((F.col("hi") - F.col("lo")).alias("w"), (-F.col("lo")).alias("l"), F.col(span_id).alias("id"))).alias("_best"),
-        F.collect_set(F.struct((F.col("hi") - F.col("lo")).alias("w"), F.col(span_id).alias("id"))).alias("_all"),
-    )
-    ties = F.size(F.filter("_all", lambda x: x["w"] == F.col("_best")["w"]))
-    return best.select(*keys, point_id, F.col("_best.id").alias(span_id), F.col("_best.w").alias("width"), (ties == 1).alias("unique"))
+    s, classes = _classed(spans, keys)
+    hit = _placed(points, classes, keys, "start").join(s, [*keys, "_k", "_b"]).filter((F.col("lo") <= F.col("start")) & (F.col("stop") <= F.col("hi")))
+    by_width = hit.withColumn("w", F.col("hi") - F.col("lo")).groupBy(*keys, point_id, "w").agg(F.min(F.struct((-F.col("lo")).alias("l"), F.col(span_id).alias("id"))).alias("b"), F.countDistinct(span_id).alias("n"))
+    best = by_width.groupBy(*keys, point_id).agg(F.min(F.struct("w", "b", "n")).alias("m"))
+    return best.select(*keys, point_id, F.col("m.b.id").alias(span_id), F.col("m.w").alias("width"), (F.col("m.n") == 1).alias("unique"))
 
 
 def overlaps(spans: DataFrame, keys: list[str], span_id: str, width: int = 64) -> DataFrame:
@@ -85,16 +101,58 @@ def resolve_unique(refs: DataFrame, names: DataFrame, keys: list[str], ref_id: s
 
 
 def structural_parent(spans: DataFrame, keys: list[str], span_id: str) -> DataFrame:
-    """The smallest strictly enclosing span of each span (null: none)."""
-    a, b = spans.alias("a"), spans.alias("b")
-    on = (F.col("b.lo") <= F.col("a.lo")) & (F.col("a.hi") <= F.col("b.hi")) & ((F.col("b.hi") - F.col("b.lo")) > (F.col("a.hi") - F.col("a.lo")))
-    for k in keys:
-        on = on & (F.col(f"a.{k}") == F.col(f"b.{k}"))
-    best = a.join(b, on, "left").groupBy(*[F.col(f"a.{k}").alias(k) for k in keys], F.col(f"a.{span_id}").alias(span_id))
-    width = F.when(F.col(f"b.{span_id}").isNotNull(), F.struct((F.col("b.hi") - F.col("b.lo")).alias("w"), F.col(f"b.{span_id}").alias("id")))
-    return best.agg(F.min(width).alias("_m")).select(*keys, span_id, F.col("_m.id").alias("parent_id"))
+    """The smallest strictly enclosing span of each span (null: none). Enclosing spans are met in buckets of their own size."""
+    s, classes = _classed(spans.select(*keys, F.col(span_id).alias("_id"), "lo", "hi"), keys)
+    inner = _placed(spans.select(*keys, span_id, F.col("lo").alias("_lo"), F.col("hi").alias("_hi")), classes, keys, "_lo")
+    wider = (F.col("lo") <= F.col("_lo")) & (F.col("_hi") <= F.col("hi")) & ((F.col("hi") - F.col("lo")) > (F.col("_hi") - F.col("_lo")))
+    best = inner.join(s, [*keys, "_k", "_b"]).filter(wider).groupBy(*keys, span_id).agg(F.min(F.struct((F.col("hi") - F.col("lo")).alias("w"), F.col("_id").alias("id"))).alias("_m"))
+    return spans.select(*keys, span_id).distinct().join(best, [*keys, span_id], "left").select(*keys, span_id, F.col("_m.id").alias("parent_id"))
 
 
 def adjacent(steps: DataFrame, run: str, position: str, columns: list[str]) -> DataFrame:
     w = Window.partitionBy(run).orderBy(position)
     return steps.withColumns({f"next_{c}": F.lead(c).over(w) for c in columns})
+
+
+#: fixed values: what may follow an import's path, by language
+CANDIDATE_ENDS = {
+    "JavaScript": ["", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", "/index.ts", "/index.tsx", "/index.js", "/index.jsx"],
+    "Python": [".py", "/__init__.py"],
+}
+
+
+def import_candidates(source: Column, language: Column, specifier: Column) -> Column:
+    """Paths that a relative import may mean, in the order they are tried; null for imports from outside, empty if the path leaves the root.
+
+    Python's leading dots go up a folder each after the first.
+    """
+    folder = F.regexp_replace(source, "(^|/)[^/]*$", "")
+    dots = F.length(F.regexp_extract(specifier, r"^(\.+)", 1))
+    steps = F.concat(F.repeat(F.lit("../"), F.greatest(dots - 1, F.lit(0))), F.translate(F.regexp_replace(specifier, r"^\.+", ""), ".", "/"))
+    base = normalize_path(F.concat(folder, F.when(folder == "", "").otherwise("/"), F.when(language == "Python", steps).otherwise(specifier)))
+    ends = F.when(language == "Python", F.array(*map(F.lit, CANDIDATE_ENDS["Python"]))).otherwise(F.array(*map(F.lit, CANDIDATE_ENDS["JavaScript"])))
+    inside = F.when(language == "Python", specifier.startswith(".")).otherwise(specifier.rlike(r"^\.\.?/"))
+    return F.when(inside, F.transform(F.when(base.isNull(), F.array().cast("array<string>")).otherwise(ends), lambda e: F.concat(base, e)))
+
+
+def resolve_bindings(routes: DataFrame, bindings: DataFrame, handlers: DataFrame) -> DataFrame:
+    """routes(route_id, file, handler), bindings(file, ordinal, local, imported, target_file), handlers(file, name, handler_id): route_id, handler_id, state.
+
+    The first binding of the local name counts. A named import means the handler of that name in the target file; default and
+    * mean its only handler. state: resolved, ambiguous (several handlers under default or *), unresolved or unbound.
+    """
+    first = bindings.groupBy("file", F.col("local").alias("handler")).agg(F.min(F.struct("ordinal", "imported", "target_file")).alias("b"))
+    bound = routes.join(first, ["file", "handler"], "left").select("route_id", F.col("b.imported").alias("imported"), F.col("b.target_file").alias("target_file"))
+    whole = F.col("imported").isin("default", "*")
+    named = handlers.groupBy(F.col("file").alias("target_file"), F.col("name").alias("imported")).agg(F.min("handler_id").alias("_named"))
+    only = handlers.groupBy(F.col("file").alias("target_file")).agg(F.min("handler_id").alias("_only"), F.countDistinct("handler_id").alias("_n"))
+    j = bound.join(named, ["target_file", "imported"], "left").join(only, "target_file", "left")
+    found = F.when(whole, F.when(F.col("_n") == 1, F.col("_only"))).otherwise(F.col("_named"))
+    state = F.when(F.col("imported").isNull(), "unbound").when(found.isNotNull(), "resolved").when(whole & (F.col("_n") > 1), "ambiguous").otherwise("unresolved")
+    return j.select("route_id", found.alias("handler_id"), state.alias("state"))
+
+
+def parameter_overlap(a: Column, b: Column) -> Column:
+    """Names in both lists, whatever their case, sorted."""
+    low = lambda x: F.transform(x, lambda v: F.lower(v))
+    return F.array_sort(F.array_intersect(low(a), low(b)))

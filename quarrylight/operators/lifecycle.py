@@ -78,3 +78,73 @@ def orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str
 def over_limit(df: DataFrame, key: str, active: Column, most: int) -> DataFrame:
     """Keys with more than `most` active rows."""
     return df.groupBy(key).agg(F.count_if(active).alias("n")).filter(F.col("n") > most)
+
+
+def symbol_delta(old: DataFrame, new: DataFrame) -> DataFrame:
+    """old, new(fingerprint, start_line, end_line, signature, parent): fingerprint and added, updated, unchanged or removed."""
+    facts = F.struct("start_line", "end_line", "signature", "parent")
+    a, b = old.select("fingerprint", facts.alias("_a")), new.select("fingerprint", facts.alias("_b"))
+    state = F.when(F.col("_a").isNull(), "added").when(F.col("_b").isNull(), "removed").when(F.col("_a").eqNullSafe(F.col("_b")), "unchanged").otherwise("updated")
+    return a.join(b, "fingerprint", "full_outer").select("fingerprint", state.alias("state"))
+
+
+def replace_children(children: DataFrame, observed: DataFrame, parent: str, id_of: Column) -> DataFrame:
+    """children with those of every parent in observed replaced by its rows, which get the id `id_of`; other parents keep theirs."""
+    kept = children.join(observed.select(parent).distinct(), parent, "left_anti")
+    return kept.unionByName(observed.withColumn("id", id_of).select(*kept.columns))
+
+
+def current_reviews(reviews: DataFrame, findings: DataFrame) -> DataFrame:
+    """reviews(review_id, finding_id, scan_run, content_hash) with `current`: the finding is open, seen by the same run, and its file's hash is the same.
+
+    findings(finding_id, status, run, last_run, content_hash); the run is last_run, or run without one. Hashes may both be null.
+    """
+    f = findings.select("finding_id", "status", F.coalesce("last_run", "run").alias("_run"), F.col("content_hash").alias("_hash"))
+    same = (F.col("status") == "open") & (F.col("scan_run") == F.col("_run")) & F.col("content_hash").eqNullSafe(F.col("_hash"))
+    return reviews.join(f, "finding_id", "left").select("review_id", "finding_id", F.coalesce(same, F.lit(False)).alias("current"))
+
+
+RETEST_RESULTS = ("retest_passed", "still_vulnerable", "unable_to_verify")
+
+
+def apply_retests(lifecycle: DataFrame, retests: DataFrame) -> DataFrame:
+    """lifecycle(finding_id, state) after retests(finding_id, rowid, status): the first known result after fix_applied becomes the state."""
+    known = retests.filter(F.col("status").isin(*RETEST_RESULTS)).groupBy("finding_id").agg(F.min(F.struct("rowid", "status"))["status"].alias("_result"))
+    moved = (F.col("state") == "fix_applied") & F.col("_result").isNotNull()
+    return lifecycle.join(known, "finding_id", "left").select("finding_id", F.when(moved, F.col("_result")).otherwise(F.col("state")).alias("state"), moved.alias("transitioned"))
+
+
+def without_fresh_retest(findings: DataFrame, retests: DataFrame, floor: int) -> DataFrame:
+    """findings(finding_id, session_id, ordinal) of a campaign with no retest of their session above the floor."""
+    fresh = retests.filter(F.col("rowid") > floor).select("finding_id", "session_id")
+    return findings.join(fresh, ["finding_id", "session_id"], "left_anti").select("finding_id", "ordinal")
+
+
+def materialise_graph(project: str, files: DataFrame, symbols: DataFrame, imports: DataFrame, calls: DataFrame, before: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of a project's index: project, file and symbol nodes; contains, defines, imports and calls edges, each once.
+
+    files(file_id), symbols(symbol_id, file_id), imports(source_file, target_file), calls(source_symbol, target_symbol).
+    With the node table before, nodes that are gone stay in it as inactive.
+    """
+    text = lambda c: F.col(c).cast("string")
+    nodes = reduce(DataFrame.unionByName, [
+        files.sparkSession.createDataFrame([("project", project)], "kind string, id string"), files.select(F.lit("file").alias("kind"), text("file_id").alias("id")), symbols.select(F.lit("symbol").alias("kind"), text("symbol_id").alias("id")),
+    ]).distinct().withColumn("is_active", F.lit(True))
+    if before is not None:
+        gone = before.join(nodes.select("kind", "id"), ["kind", "id"], "left_anti").withColumn("is_active", F.lit(False))
+        nodes = nodes.unionByName(gone.select("kind", "id", "is_active"))
+    edge = lambda df, kind, a, b: df.select(F.lit(kind).alias("kind"), a.cast("string").alias("source"), b.cast("string").alias("target"))
+    edges = reduce(DataFrame.unionByName, [
+        edge(files, "contains", F.lit(project), F.col("file_id")), edge(symbols, "defines", F.col("file_id"), F.col("symbol_id")),
+        edge(imports, "imports", F.col("source_file"), F.col("target_file")), edge(calls, "calls", F.col("source_symbol"), F.col("target_symbol")),
+    ])
+    return nodes, edges.filter("source IS NOT NULL AND target IS NOT NULL").distinct()
+
+
+def recover_interrupted(jobs: DataFrame, steps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(jobs, steps) after a restart: running jobs(job_id, status) and their running or pending steps(job_id, position, status) are interrupted."""
+    running = jobs.filter("status = 'running'").select("job_id").withColumn("_hit", F.lit(True))
+    s = steps.join(running, "job_id", "left")
+    cut = F.coalesce(F.col("_hit"), F.lit(False)) & F.col("status").isin("running", "pending")
+    after = F.when(F.col("status") == "running", "interrupted").otherwise(F.col("status"))
+    return jobs.withColumn("status", after), s.withColumn("status", F.when(cut, "interrupted").otherwise(F.col("status"))).drop("_hit")

@@ -66,3 +66,26 @@ def insert_ignore(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 def guarded_append(log: DataFrame, key: str, seq: str, cap: int) -> DataFrame:
     """Keys whose next sequence number is still allowed, with that number."""
     return log.groupBy(key).agg((F.coalesce(F.max(seq), F.lit(0)) + 1).alias("next_seq")).filter(F.col("next_seq") <= cap)
+
+
+def not_in(df: DataFrame, key: str, other: DataFrame) -> DataFrame:
+    """Rows of df whose key is NOT IN other(key), with SQL's nulls: none if other has a null, null keys only if other is empty.
+
+    An anti join by equality, which needs no broadcast, and one row of counts.
+    """
+    o = other.select(F.col(key))
+    facts = o.agg(F.count(F.lit(1)).alias("_rows"), F.count_if(F.col(key).isNull()).alias("_nulls"))
+    rest = df.join(o.filter(F.col(key).isNotNull()).distinct(), key, "left_anti").join(F.broadcast(facts))
+    return rest.filter((F.col("_nulls") == 0) & (F.col(key).isNotNull() | (F.col("_rows") == 0))).select(*df.columns)
+
+
+def block_digest(rows: DataFrame, by: str, key: str, item: Column, fan: int = 4096) -> DataFrame:
+    """(by, digest): a SHA-256 tree over rows in key order. Items are joined in blocks of `fan` keys, block digests in blocks of `fan` blocks, then all.
+
+    So no group holds more than `fan` items, or one digest a fan * fan keys.
+    """
+    joined = lambda order: F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, "_h"))), lambda r: r["_h"]), "\n"), 256)
+    out = rows.select(by, F.col(key).alias("_at"), item.alias("_h"))
+    for _ in range(2):
+        out = out.withColumn("_block", F.floor(F.col("_at") / fan)).groupBy(by, "_block").agg(joined("_at").alias("_h")).withColumnRenamed("_block", "_at")
+    return out.groupBy(by).agg(joined("_at").alias("digest"))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylight.functions.scalar import image_is_mutable
-from quarrylight.sources.repository import lines_of
+from quarrylight.sources.repository import language_of, lines_of
 
 # ------------------------------------------------------------------ SQL scripts
 
@@ -113,20 +113,40 @@ def compose_findings(files: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ line rules and taint
 
+#: fixed values: what reads a request, what takes SQL, and the rules (name, suffixes or all, pattern), patterns in any case
+REQUEST = r"(?:request\.(?:args|form|json|values|GET|POST|query_params|path_params)|req\.(?:query|body|params)|ctx\.request|\$_(?:GET|POST|REQUEST)|params\[|request\[)"
+SQL_CALL = r"(?:execute|executemany|query|raw|\$queryRawUnsafe|\$executeRawUnsafe|mysqli_query|->query)"
+_JS, _CODE = (".js", ".jsx", ".ts", ".tsx"), (".py", ".js", ".jsx", ".ts", ".tsx", ".php")
 LINE_RULES = [
-    ("py.eval", (".py",), r"\b(eval|exec)\s*\("), ("py.shell", (".py",), r"shell\s*=\s*True"), ("py.os_system", (".py",), r"\bos\.(system|popen)\s*\("),
-    ("py.yaml_load", (".py",), r"yaml\.load\s*\((?!.*Safe)"), ("py.pickle", (".py",), r"\bpickle\.loads?\s*\("), ("py.verify_off", (".py",), r"verify\s*=\s*False"),
-    ("hash.weak", (".py", ".js", ".ts"), r"(?i)\b(md5|sha1)\s*\("), ("js.eval", (".js", ".ts", ".jsx", ".tsx"), r"\b(eval|Function)\s*\("),
-    ("js.inner_html", (".js", ".ts", ".jsx", ".tsx"), r"\.innerHTML\s*=|dangerouslySetInnerHTML"), ("js.document_write", (".js", ".ts"), r"document\.write\s*\("),
-    ("c.unsafe_copy", (".c", ".h"), r"\b(strcpy|strcat|sprintf|gets)\s*\("), ("debug.enabled", (".py",), r"(?i)\bdebug\s*=\s*True"),
+    ("web.sql.dynamic_query", (".py", *_JS), r"""(?:execute|executemany|query|raw)\s*\(\s*(?:f["']|[^\n;]*(?:\+|\.format\(|%\s*\())"""),
+    ("web.sql.request_to_query", _CODE, SQL_CALL + r"\s*\([^\n;]*" + REQUEST),
+    ("web.xss.request_to_html", (*_JS, ".php"), r"(?:dangerouslySetInnerHTML|\.innerHTML\s*=|document\.write\s*\(|echo\s+|print\s+)[^\n;]*" + REQUEST),
+    ("web.ssrf.request_url", (".py", *_JS), r"(?:requests\.(?:get|post|put|delete)|httpx\.(?:get|post|put|delete)|urllib\.request\.urlopen|fetch\s*\(|axios\.(?:get|post|put|delete))[^\n;]*" + REQUEST),
+    ("web.command.request_to_process", (".py", *_JS), r"(?:os\.system|subprocess\.(?:run|Popen|call|check_output)|child_process\.(?:exec|execSync)|\bexecSync\s*\()[^\n;]*" + REQUEST),
+    ("web.path.request_to_file", (".py", *_JS), r"(?:open\s*\(|send_file\s*\(|FileResponse\s*\(|fs\.(?:readFile|readFileSync)\s*\()[^\n;]*" + REQUEST),
+    ("web.deserialize.untrusted", (".py", ".php"), r"(?:pickle\.(?:loads|load)|yaml\.load\s*\(|unserialize\s*\()[^\n;]*" + REQUEST),
+    ("web.cors.wildcard", None, r"""(?:allow_origins\s*=\s*\[\s*["']\*["']|Access-Control-Allow-Origin[^\n]*\*|origin\s*:\s*["']\*["'])"""),
+    ("web.csrf.disabled", None, r"(?:@csrf_exempt|WTF_CSRF_ENABLED\s*=\s*False|verify_csrf_token\s*=\s*False|csrf\s*:\s*false)"),
+    ("web.session.insecure_cookie", None, r"(?:SESSION_COOKIE_SECURE\s*=\s*False|SESSION_COOKIE_HTTPONLY\s*=\s*False|secure\s*:\s*false[^\n]*cookie)"),
+    ("web.jwt.verification_disabled", None, r"""(?:verify_signature["']?\s*[:=]\s*False|jwt\.decode\([^\n]*verify\s*=\s*False|algorithms?\s*=\s*\[["']none["']\])"""),
+    ("web.debug.enabled", (".py",), r"(?:app\.run\([^\n]*debug\s*=\s*True|\bDEBUG\s*=\s*True\b)"),
+    ("web.sql.orm_unsafe_raw", _JS, r"(?:\$queryRawUnsafe|\$executeRawUnsafe|sequelize\.literal|knex\.raw|db\.raw)\s*\([^\n;]*" + REQUEST),
+    ("web.sql.dynamic_identifier", _CODE, SQL_CALL + r"\s*\([^\n;]*(?:FROM|JOIN|ORDER\s+BY|GROUP\s+BY|UPDATE|INTO)\s+[^\n;]*" + REQUEST),
+    ("web.sql.multistatement_enabled", (".py", *_JS), r"(?:multipleStatements|allowMultiQueries|multiStatements)\s*[:=]\s*true"),
+    ("database.sql.dynamic_exec", (".sql",), r"\b(?:EXEC(?:UTE)?(?:\s+IMMEDIATE)?|PREPARE)\b[^\n;]*(?:\+|\|\||CONCAT\s*\()"),
+    ("database.sql.dynamic_prepare", (".sql",), r"\bPREPARE\s+[A-Za-z_][A-Za-z0-9_]*\s+FROM\s+[@:$]?[A-Za-z_][A-Za-z0-9_]*"),
+    ("web.database.connection_tls_disabled", None, r"(?:DATABASE_URL|DB_URL|connectionString|connection_string)[^\n;]*(?:sslmode\s*=\s*disable|ssl\s*=\s*false|ssl=false)"),
+    ("web.header.request_to_response", _CODE, r"(?:res\.(?:setHeader|header|set)\s*\(|header\s*\(|response\.headers\[[^\]]+\]\s*=)[^\n;]*" + REQUEST),
 ]
 
 
 def line_findings(files: DataFrame) -> DataFrame:
     """Every rule on every line of its suffixes, comment lines left out: one projection and one explode."""
     suffix = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
-    code = ~F.col("source").rlike(r"^\s*(#|//|\*|/\*)")
-    hits = F.array_compact(F.array(*[F.when(code & suffix.isin(*s) & F.col("source").rlike(p), F.lit(n)) for n, s, p in LINE_RULES]))
+    comment = F.when(suffix == ".py", "^\\s*#").when(suffix.isin(*_JS, ".php"), r"^\s*(//|\*)").when(suffix == ".sql", r"^\s*--").otherwise("(?!)")
+    code = ~F.expr("source").rlike("^$") & ~F.regexp("source", comment)
+    applies = lambda s: code if s is None else code & suffix.isin(*s)
+    hits = F.array_compact(F.array(*[F.when(applies(s) & F.col("source").rlike("(?i)" + p), F.lit(n)) for n, s, p in LINE_RULES]))
     return lines_of(files).select("path", "line", F.explode(hits).alias("rule"))
 
 
@@ -216,6 +236,30 @@ def routes(files: DataFrame) -> DataFrame:
 
 
 def test_frameworks(files: DataFrame) -> DataFrame:
-    hits = F.array_compact(F.array(*[F.when(F.col("text").rlike(p), F.lit(n)) for n, p in FRAMEWORKS.items()]))
+    """files(path, text): test frameworks a file shows, by its text; test files that show none count as <language>_unknown."""
+    named = F.array_compact(F.array(*[F.when(F.col("text").rlike(p), F.lit(n)) for n, p in FRAMEWORKS.items()]))
+    file = F.element_at(F.split("path", "/"), -1)
+    unknown = F.when(file.rlike(r"^test_.*\.py$|_test\.py$"), "python_unknown").when(file.rlike(r"\.(test|spec)\.[jt]sx?$"), "javascript_unknown").when(file.rlike("Tests?[.]java$"), "java_unknown")
+    hits = F.when(F.size(named) > 0, named).otherwise(F.array_compact(F.array(unknown)))
     config = F.col("path").rlike(r"(?i)(pytest\.ini|jest\.config|vitest\.config|playwright\.config|cypress\.config)")
     return files.select("path", F.explode(hits).alias("framework"), F.when(config, "config").otherwise("test").alias("evidence"))
+
+
+#: fixed values: manifests of package managers
+MANAGERS = {"package.json": "npm", "Cargo.toml": "cargo", "pyproject.toml": "pip", "requirements.txt": "pip", "go.mod": "go", "composer.json": "composer", "Gemfile": "bundler", "pom.xml": "maven", "build.gradle": "gradle"}
+
+
+def stack_profile(files: DataFrame) -> DataFrame:
+    """files(path): per top folder its languages and package managers, each once and sorted."""
+    name = F.element_at(F.split("path", "/"), -1)
+    manager = reduce(lambda w, kv: w.when(name == kv[0], F.lit(kv[1])), MANAGERS.items(), F.when(F.lit(False), F.lit("")))
+    language = F.nullif(language_of(F.col("path")), F.lit(""))
+    return files.groupBy(F.split_part("path", F.lit("/"), F.lit(1)).alias("root")).agg(F.array_sort(F.collect_set(language)).alias("languages"), F.array_sort(F.collect_set(manager)).alias("managers"))
+
+
+def references(files: DataFrame) -> DataFrame:
+    """files(path, text) of JavaScript and TypeScript: direct calls and constructors by name, methods and keywords left out."""
+    code = F.regexp_replace(F.regexp_replace("text", r"(?s)/\*.*?\*/|//[^\n]*", " "), r"""\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'""", "''")
+    pattern = F.lit(r"(?<![.\w$])(new\s+)?(?!(?:if|for|while|switch|catch|function|return|typeof|await|super|import)\b)([A-Za-z_$][\w$]*)\s*\(")
+    rows = files.filter(F.col("path").rlike(r"\.[jt]sx?$")).select("path", F.explode(F.arrays_zip(F.regexp_extract_all(code, pattern, 1).alias("n"), F.regexp_extract_all(code, pattern, 2).alias("f"))).alias("r"))
+    return rows.select("path", F.col("r.f").alias("name"), F.when(F.col("r.n") != "", "constructor").otherwise("call").alias("kind"))

@@ -39,23 +39,27 @@ def queue_head(queue: DataFrame, order: list[str], most_waiting: int = 8) -> Dat
     return head.join(F.broadcast(state)).filter("_busy = 0").withColumn("over_depth", F.col("waiting") > most_waiting).drop("_busy")
 
 
-#: relationship kinds of two findings, strongest first: (kind, confidence, equal columns)
-RELATIONS = [("SHARED_ROOT_CAUSE", 0.92, ["path", "category"]), ("POTENTIAL_CONFLICT", 0.72, ["path"]), ("VALIDATION_DEPENDENCY", 0.66, ["endpoint"])]
+#: fixed values: confidence of each relationship of two findings
+RELATIONS = {"SHARED_ROOT_CAUSE": 0.92, "SOURCE_OVERLAP": 0.88, "RETEST_DEPENDENCY": 0.75, "POTENTIAL_CONFLICT": 0.72, "VALIDATION_DEPENDENCY": 0.66}
 
 
-def relationships(findings: DataFrame) -> DataFrame:
-    """findings(id, path, category, endpoint, lo, hi): ordered pairs with their strongest relationship.
+def relationships(findings: DataFrame, validation: list[str]) -> DataFrame:
+    """findings(id, path, category, endpoint, lo, hi): left_id, right_id, kind, confidence of every related pair, left id smaller.
 
-    Every kind is an equi-join on its columns; overlapping lines of one path count as SOURCE_OVERLAP (0.88).
+    Of one path: a shared root cause if the category is the same, else an overlap of lines, else a possible conflict; and a
+    validation dependency if a category of `validation` is among them. Of one endpoint: both are to be tested again. Two equi-joins;
+    the result is pairs by what it means, so callers group findings by root cause first where a path has very many.
     """
     a, b = findings.alias("a"), findings.alias("b")
-    parts = []
-    for kind, confidence, keys in RELATIONS:
-        on = reduce(lambda x, y: x & y, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]) & (F.col("a.id") < F.col("b.id"))
-        parts.append(a.join(b, on).select(F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id"), F.struct(F.lit(confidence).alias("confidence"), F.lit(kind).alias("kind")).alias("r")))
-    overlap = (F.col("a.path") == F.col("b.path")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.lo") <= F.col("b.hi")) & (F.col("b.lo") <= F.col("a.hi"))
-    parts.append(a.join(b, overlap).select(F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id"), F.struct(F.lit(0.88).alias("confidence"), F.lit("SOURCE_OVERLAP").alias("kind")).alias("r")))
-    return reduce(lambda x, y: x.unionByName(y), parts).groupBy("left_id", "right_id").agg(F.max("r").alias("r")).select("left_id", "right_id", "r.kind", "r.confidence")
+    pair = [F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id")]
+    later = F.col("a.id") < F.col("b.id")
+    overlap = (F.col("a.lo") <= F.col("b.hi")) & (F.col("b.lo") <= F.col("a.hi"))
+    kind = F.when(F.col("a.category") == F.col("b.category"), "SHARED_ROOT_CAUSE").when(overlap, "SOURCE_OVERLAP").otherwise("POTENTIAL_CONFLICT")
+    checks = F.when(F.col("a.category").isin(validation) | F.col("b.category").isin(validation), "VALIDATION_DEPENDENCY")
+    of_path = a.join(b, (F.col("a.path") == F.col("b.path")) & later).select(*pair, F.explode(F.array_compact(F.array(kind, checks))).alias("kind"))
+    of_endpoint = a.join(b, (F.col("a.endpoint") == F.col("b.endpoint")) & later).select(*pair, F.lit("RETEST_DEPENDENCY").alias("kind"))
+    confidence = reduce(lambda w, kv: w.when(F.col("kind") == kv[0], kv[1]), RELATIONS.items(), F.when(F.lit(False), 0.0))
+    return of_path.unionByName(of_endpoint).withColumn("confidence", confidence)
 
 
 def risk_graph(findings: DataFrame, actor: str, endpoint: str, finding: str) -> tuple[DataFrame, DataFrame]:
@@ -81,10 +85,26 @@ def expand_mounts(routes: DataFrame, mounts: DataFrame, depth: int = 8) -> DataF
     return reduce(lambda a, b: a.unionByName(b), ends).select("route_id", norm.alias("full")).distinct()
 
 
+#: fixed values: weights of a source candidate's evidence, its base, cap and floor
+CANDIDATE_WEIGHTS = {"terminal": 0.28, "parent": 0.16, "parameter": 0.16, "path": 0.10, "method": 0.06, "exact": 0.04, "language": 0.02}
+CANDIDATE_BASE, CANDIDATE_CAP, CANDIDATE_FLOOR, CANDIDATES_KEPT = 0.20, 0.94, 0.38, 8
+
+
+def best_candidates(pairs: DataFrame) -> DataFrame:
+    """pairs(finding_id, candidate, route_confidence, one boolean per evidence of CANDIDATE_WEIGHTS): finding_id, candidate, score, place.
+
+    A route's own confidence replaces a lower sum; candidates under the floor go; the best eight of a finding stay, equal ones by name.
+    """
+    score = candidate_score(*[F.col(c) for c in CANDIDATE_WEIGHTS])
+    scored = pairs.select("finding_id", "candidate", F.greatest(score, F.coalesce("route_confidence", F.lit(0.0))).alias("score")).filter(F.col("score") >= CANDIDATE_FLOOR)
+    place = F.row_number().over(Window.partitionBy("finding_id").orderBy(F.desc("score"), "candidate"))
+    return scored.withColumn("place", place).filter(F.col("place") <= CANDIDATES_KEPT)
+
+
 def candidate_score(terminal: Column, parent: Column, parameter: Column, path: Column, method: Column, exact: Column, language: Column) -> Column:
     """Additive confidence of a source candidate, at most 0.94."""
-    weights = [(terminal, 0.28), (parent, 0.16), (parameter, 0.16), (path, 0.10), (method, 0.06), (exact, 0.04), (language, 0.02)]
-    return F.round(F.least(reduce(lambda a, cw: a + F.when(cw[0], cw[1]).otherwise(0.0), weights, F.lit(0.20)), F.lit(0.94)), 4)
+    evidence = zip((terminal, parent, parameter, path, method, exact, language), CANDIDATE_WEIGHTS.values(), strict=True)
+    return F.round(F.least(reduce(lambda a, cw: a + F.when(cw[0], cw[1]).otherwise(0.0), evidence, F.lit(CANDIDATE_BASE)), F.lit(CANDIDATE_CAP)), 4)
 
 
 def eligibility(evidence: Column, best: Column, open_: Column) -> Column:

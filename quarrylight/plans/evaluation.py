@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from quarrylight.operators import evaluation as E
 from quarrylight.registry import register
-from quarrylight.session import table
+from quarrylight.session import settle, table
 
 TOKEN = 'token = "[0-9a-f]{40}"'
 _JOINED = f"""WITH j AS (SELECT d.lang, d.source, (l.quality = 0 OR l.toxic = 1) AS a,
@@ -112,7 +112,8 @@ SELECT lang, count(*) AS pairs, count(*) FILTER (nb > 0) AS flagged_before, coun
   count(*) FILTER (new > 0) AS introduced, sum(gone)::BIGINT AS rules_cleared, sum(new)::BIGINT AS rules_introduced FROM q GROUP BY 1""",
 )
 def eval_repair_pairs(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", rules_of(F.col("text")).alias("rules"))
+    # the rules run once over the texts; the pairs are joined from what they found
+    rows = settle(table(spark, sf_dir, "documents").select("doc_id", "lang", rules_of(F.col("text")).alias("rules")), "rules")
     pairs = rows.alias("a").join(rows.select((F.col("doc_id") - 1).alias("_prev"), F.col("rules").alias("after")), F.col("a.doc_id") == F.col("_prev"))
     return E.repair_pairs(pairs, F.col("rules"), F.col("after"), ["lang"])
 

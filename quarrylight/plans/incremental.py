@@ -46,14 +46,15 @@ def snapshot_diff(spark, sf_dir):
     return L.snapshot_diff(*halves(spark, sf_dir), _KEYS, "value")
 
 
-_OLD_NEW = """WITH a AS (SELECT doc_id, sha256(text) AS h FROM documents WHERE doc_id % 7 <> 0),
-b AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN sha256(text || 'x') ELSE sha256(text) END AS h FROM documents WHERE doc_id % 5 <> 0)"""
+_OLD_NEW = """WITH a AS (SELECT doc_id, sha256(text) AS h FROM documents WHERE lang <> 'es'),
+b AS (SELECT doc_id, CASE WHEN n_chars < 300 THEN sha256(text || 'x') ELSE sha256(text) END AS h FROM documents WHERE lang <> 'de')"""
 
 
 def two_scans(spark, sf_dir):
+    """Spanish documents are new in the second scan, German ones gone, short ones changed; every document is in one scan at least."""
     d = table(spark, sf_dir, "documents")
-    changed = F.when(F.col("doc_id") % 11 == 0, F.sha2(F.concat("text", F.lit("x")), 256)).otherwise(F.sha2("text", 256))
-    return d.filter("doc_id % 7 <> 0").select("doc_id", F.sha2("text", 256).alias("h")), d.filter("doc_id % 5 <> 0").select("doc_id", changed.alias("h"))
+    changed = F.when(F.col("n_chars") < 300, F.sha2(F.concat("text", F.lit("x")), 256)).otherwise(F.sha2("text", 256))
+    return d.filter("lang <> 'es'").select("doc_id", F.sha2("text", 256).alias("h")), d.filter("lang <> 'de'").select("doc_id", changed.alias("h"))
 
 
 @register("incremental_hash_delta", _OLD_NEW + """SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.doc_id IS NULL THEN 'added' WHEN b.doc_id IS NULL THEN 'deleted' WHEN a.h = b.h THEN 'unchanged' ELSE 'modified' END AS state
@@ -150,12 +151,6 @@ def template_join(spark, sf_dir):
     return J.template_join(pages, spark.createDataFrame(_ROUTES, "template_id long, method string, template string"), "page_id", "template_id")
 
 
-@register("step_digest_verify", """SELECT conv_id, turn, sha256(text) = sha256(CASE WHEN turn % 4 = 3 THEN text || '!' ELSE text END) AS verified FROM conversations""")
-def step_digest_verify(spark, sf_dir):
-    receipt = F.sha2(F.when(F.col("turn") % 4 == 3, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256)
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.sha2("text", 256) == receipt).alias("verified"))
-
-
 # ---- graphs over the whole part table: each part points at one of 211 parts, which gives tails and cycles
 
 _EDGES = "e AS (SELECT DISTINCT p_partkey AS source, (p_partkey * 7 + p_size) % 211 AS target FROM part)"

@@ -34,10 +34,10 @@ def search_modes(spark, sf_dir):
     return reduce(lambda a, b: a.unionByName(b), [c.agg(F.lit(m).alias("mode"), F.count_if(p).alias("n")) for m, p in parts])
 
 
-@register("search_escaped", "SELECT doc_id FROM documents WHERE contains(text, '100%') OR contains(text, '_')")
+@register("search_escaped", "SELECT doc_id FROM documents WHERE contains(text, '%%%') OR contains(text, '$_')")
 def search_escaped(spark, sf_dir):
     text = F.col("text")
-    return table(spark, sf_dir, "documents").filter(text.like("%" + R.escape_like("100%") + "%") | text.like("%" + R.escape_like("_") + "%")).select("doc_id")
+    return table(spark, sf_dir, "documents").filter(text.like("%" + R.escape_like("%%%") + "%") | text.like("%" + R.escape_like("$_") + "%")).select("doc_id")
 
 
 @register("contains_ignoring_case", "SELECT page_id FROM pages WHERE instr(lower(url), lower('EXAMPLE.NET')) > 0")
@@ -84,12 +84,22 @@ def semi_anti_counts(spark, sf_dir):
     return has.agg(F.count_if("has").alias("with_orders"), F.count_if(F.col("has").isNull()).alias("without_orders"))
 
 
-@register("not_in_baseline", """SELECT user_id, event_type, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-16'
-AND (user_id * 100 + length(event_type)) NOT IN (SELECT user_id * 100 + length(event_type) FROM events WHERE ts < TIMESTAMP '2024-01-16') GROUP BY 1, 2""")
+@register("not_in_baseline", "SELECT o_custkey, count(*) AS n FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') GROUP BY 1")
 def not_in_baseline(spark, sf_dir):
-    table(spark, sf_dir, "events").withColumn("key", F.col("user_id") * 100 + F.length("event_type")).createOrReplaceTempView("_events_keyed")
-    return spark.sql("""SELECT user_id, event_type, count(*) AS n FROM _events_keyed WHERE ts >= TIMESTAMP '2024-01-16'
-        AND key NOT IN (SELECT key FROM _events_keyed WHERE ts < TIMESTAMP '2024-01-16') GROUP BY user_id, event_type""")
+    o = table(spark, sf_dir, "orders")
+    return R.not_in(o, "o_custkey", o.filter("o_orderstatus = 'P'")).groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("not_in_with_nulls", """SELECT (SELECT count(*) FROM orders WHERE o_custkey NOT IN (SELECT nullif(c_custkey, 7) FROM customer WHERE c_acctbal < 0)) AS with_null,
+(SELECT count(*) FROM orders WHERE nullif(o_custkey, 7) NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)) AS null_left, (SELECT count(*) FROM orders WHERE nullif(o_custkey, 7) NOT IN (SELECT c_custkey FROM customer WHERE c_custkey < 0)) AS none_right""")
+def not_in_with_nulls(spark, sf_dir):
+    o, c = table(spark, sf_dir, "orders").select("o_custkey"), table(spark, sf_dir, "customer")
+    blank = o.select(F.nullif("o_custkey", F.lit(7)).alias("o_custkey"))
+    poor = c.filter("c_acctbal < 0")
+    parts = {"with_null": R.not_in(o, "o_custkey", poor.select(F.nullif("c_custkey", F.lit(7)).alias("o_custkey"))), "null_left": R.not_in(blank, "o_custkey", poor.select(F.col("c_custkey").alias("o_custkey"))),
+             "none_right": R.not_in(blank, "o_custkey", c.filter("c_custkey < 0").select(F.col("c_custkey").alias("o_custkey")))}
+    counts = [d.agg(F.count(F.lit(1)).alias(n)) for n, d in parts.items()]
+    return counts[0].join(F.broadcast(counts[1])).join(F.broadcast(counts[2]))
 
 
 @register("earliest_per_fingerprint", "SELECT user_id, event_type, min(struct_pack(ts := ts, id := event_id)).id AS event_id FROM events GROUP BY 1, 2")
@@ -180,8 +190,11 @@ def merge_by_priority(spark, sf_dir):
 @register("finding_dedup", f"""WITH r AS (SELECT o_custkey, {_RANK_SQL} AS k, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders)
 SELECT o_custkey, min(k) AS severity_rank, string_agg(o_orderkey, ',' ORDER BY o_orderkey) FILTER (i <= 8) AS evidence FROM r GROUP BY 1""")
 def finding_dedup(spark, sf_dir):
-    kept = F.slice(F.sort_array(F.collect_list("o_orderkey")), 1, 8)
-    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min(ranked("o_orderpriority")).alias("severity_rank"), F.array_join(kept.cast("array<string>"), ",").alias("evidence"))
+    """Only the eight of a key that are kept are gathered."""
+    o = table(spark, sf_dir, "orders")
+    worst = o.groupBy("o_custkey").agg(F.min(ranked("o_orderpriority")).alias("severity_rank"))
+    kept = R.top_per_key(o.select("o_custkey", "o_orderkey"), ["o_custkey"], [F.col("o_orderkey")], 8).groupBy("o_custkey").agg(F.sort_array(F.collect_list("o_orderkey")).alias("e"))
+    return worst.join(kept, "o_custkey").select("o_custkey", "severity_rank", F.array_join(F.col("e").cast("array<string>"), ",").alias("evidence"))
 
 
 @register("project_overview", """SELECT n_name, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS customers,
@@ -302,9 +315,9 @@ def insert_ignore(spark, sf_dir):
     return R.insert_ignore(*halves(spark, sf_dir), ["user_id", "event_type"])
 
 
-@register("set_difference", """SELECT l_partkey FROM (SELECT DISTINCT l_partkey FROM lineitem WHERE l_returnflag = 'R') EXCEPT SELECT DISTINCT l_partkey FROM lineitem WHERE l_returnflag = 'A'""")
+@register("set_difference", """SELECT DISTINCT l_orderkey FROM lineitem WHERE l_returnflag = 'R' EXCEPT SELECT DISTINCT l_orderkey FROM lineitem WHERE l_returnflag = 'A'""")
 def set_difference(spark, sf_dir):
-    p = lambda f: table(spark, sf_dir, "lineitem").filter(F.col("l_returnflag") == f).select("l_partkey")
+    p = lambda f: table(spark, sf_dir, "lineitem").filter(F.col("l_returnflag") == f).select("l_orderkey")
     return p("R").subtract(p("A"))
 
 

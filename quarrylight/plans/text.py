@@ -41,30 +41,9 @@ def redacted_urls(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", S.redact_url(F.col("url")).alias("url"))
 
 
-@register("app_map_groups", """WITH p AS (SELECT regexp_extract(url, '^[a-z]+://[^/]+/([^/?#]*)', 1) AS s, url FROM pages)
-SELECT CASE WHEN s = '' THEN 'Root' ELSE upper(s[1]) || lower(s[2:]) END AS area, count(*) AS pages, count(*) FILTER (contains(url, '?')) AS with_parameters FROM p GROUP BY 1""")
-def app_map_groups(spark, sf_dir):
-    s = F.regexp_extract("url", "^[a-z]+://[^/]+/([^/?#]*)", 1)
-    p = table(spark, sf_dir, "pages").select(F.when(s == "", "Root").otherwise(F.initcap(s)).alias("area"), "url")
-    return p.groupBy("area").agg(F.count(F.lit(1)).alias("pages"), F.count_if(F.contains("url", F.lit("?"))).alias("with_parameters"))
-
-
-@register("html_link_inventory", """WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '<(?:a|link|script|img|form)\\b[^>]*?\\s(?:href|src|action)\\s*=\\s*["'']?([^"''\\s>]+)', 1, 'si')) AS u FROM pages)
-SELECT page_id, count(DISTINCT split_part(u, '#', 1)) AS n_links FROM l WHERE regexp_matches(u, '^https?://') OR starts_with(u, '/') GROUP BY 1""")
-def html_link_inventory(spark, sf_dir):
-    absolute = F.regexp_extract_all("html", F.lit(H.ATTRIBUTE), 1)
-    wanted = F.array_distinct(F.transform(F.filter(absolute, lambda u: u.rlike("^(https?://|/)")), lambda u: F.split_part(u, F.lit("#"), F.lit(1))))
-    return table(spark, sf_dir, "pages").select("page_id", F.size(wanted).cast("long").alias("n_links")).filter("n_links > 0")
-
-
-@register("resolved_links")
-def resolved_links(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.explode(H.links(F.col("html"), F.col("url"))).alias("link"))
-
-
-@register("mixed_content", """SELECT split_part(url, ':', 1) AS scheme, count(*) AS pages, count(*) FILTER (starts_with(url, 'https://') AND contains(html, '="http://')) AS mixed, count(*) FILTER (regexp_matches(html, '<form')) AS with_forms FROM pages GROUP BY 1""")
+@register("mixed_content", """SELECT split_part(url, ':', 1) AS scheme, count(*) AS pages, count(*) FILTER (starts_with(url, 'https://') AND contains(lower(html), 'http://')) AS mixed, count(*) FILTER (regexp_matches(html, '<form')) AS with_forms FROM pages GROUP BY 1""")
 def mixed_content(spark, sf_dir):
-    mixed = F.col("url").startswith("https://") & F.contains("html", F.lit('="http://'))
+    mixed = F.col("url").startswith("https://") & F.contains(F.lower("html"), F.lit("http://"))
     return table(spark, sf_dir, "pages").groupBy(F.split_part("url", F.lit(":"), F.lit(1)).alias("scheme")).agg(F.count(F.lit(1)).alias("pages"), F.count_if(mixed).alias("mixed"), F.count_if(F.size(H.forms(F.col("html"))) > 0).alias("with_forms"))
 
 
@@ -102,16 +81,6 @@ def lexical_vectors(spark, sf_dir):
     return v.filter("w > 0").select("item_id", "dimension", F.round("w", 6).alias("weight"))
 
 
-@register("secret_scan")
-def secret_scan(spark, sf_dir):
-    from quarrylight.operators.secrets import scan_secrets
-    from quarrylight.session import workers_find_us
-
-    workers_find_us(spark)
-    d = table(spark, sf_dir, "documents").select(F.concat(F.lit("corpus/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), "text")
-    return scan_secrets(d)
-
-
 @register("package_inventory", """SELECT p_brand AS name, p_size::VARCHAR || '.0' AS version, count(*) AS parts FROM part GROUP BY 1, 2""")
 def package_inventory(spark, sf_dir):
     return table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("name"), F.concat(F.col("p_size").cast("string"), F.lit(".0")).alias("version")).agg(F.count(F.lit(1)).alias("parts"))
@@ -128,11 +97,3 @@ def advisory_range_join(spark, sf_dir):
     rows = [(i, None, [((("PyPI", n)), [], [("ECOSYSTEM", [("introduced", lo)] + ([("fixed", hi)] if hi else []))])]) for i, n, lo, hi in _ADVISORIES]
     inventory = table(spark, sf_dir, "part").select(F.lit("PyPI").alias("ecosystem"), F.col("p_brand").alias("name"), F.concat(F.col("p_size").cast("string"), F.lit(".0")).alias("version"))
     return match_advisories(inventory, spark.createDataFrame(rows, ADVISORY_SCHEMA)).select("name", "version", "advisory", "basis")
-
-
-@register("bill_of_materials")
-def bill_of_materials(spark, sf_dir):
-    from quarrylight.operators.advisories import bill_of_materials as bom
-
-    p = table(spark, sf_dir, "part").select(F.lit("npm").alias("ecosystem"), F.lower("p_brand").alias("name"), F.concat(F.col("p_size").cast("string"), F.lit(".1.0")).alias("version"), (F.col("p_partkey") % 2 == 0).alias("is_dev"), F.lit("lock").alias("manifest_path"))
-    return bom(p)

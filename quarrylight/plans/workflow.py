@@ -38,14 +38,14 @@ def queue_head(spark, sf_dir):
 _FINDINGS = "f AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_partkey * 10 + l_linenumber AS path, l_returnflag AS category, l_suppkey * 1000 + l_orderkey % 97 AS endpoint, l_orderkey % 400 AS lo, l_orderkey % 400 + l_quantity::BIGINT AS hi FROM lineitem)"
 
 
-@register("finding_relationships", f"""WITH {_FINDINGS}, p AS (SELECT a.id AS left_id, b.id AS right_id, CASE WHEN a.path = b.path AND a.category = b.category THEN 'SHARED_ROOT_CAUSE' WHEN a.path = b.path AND a.lo <= b.hi AND b.lo <= a.hi THEN 'SOURCE_OVERLAP'
-ELSE 'POTENTIAL_CONFLICT' END AS kind FROM f a JOIN f b ON a.id < b.id AND a.path = b.path UNION ALL SELECT a.id, b.id, 'VALIDATION_DEPENDENCY' FROM f a JOIN f b ON a.id < b.id AND a.endpoint = b.endpoint AND a.path <> b.path),
-q AS (SELECT *, CASE kind WHEN 'SHARED_ROOT_CAUSE' THEN 0.92 WHEN 'SOURCE_OVERLAP' THEN 0.88 WHEN 'POTENTIAL_CONFLICT' THEN 0.72 ELSE 0.66 END::DOUBLE AS c FROM p)
-SELECT left_id, right_id, arg_max(kind, c) AS kind, max(c) AS confidence FROM q GROUP BY 1, 2""")
+@register("finding_relationships", f"""WITH {_FINDINGS}, j AS (SELECT a.id AS left_id, b.id AS right_id, a.category AS ca, b.category AS cb, a.lo <= b.hi AND b.lo <= a.hi AS o FROM f a JOIN f b ON a.id < b.id AND a.path = b.path),
+p AS (SELECT left_id, right_id, CASE WHEN ca = cb THEN 'SHARED_ROOT_CAUSE' WHEN o THEN 'SOURCE_OVERLAP' ELSE 'POTENTIAL_CONFLICT' END AS kind FROM j UNION ALL SELECT left_id, right_id, 'VALIDATION_DEPENDENCY' FROM j WHERE ca = 'A' OR cb = 'A'
+UNION ALL SELECT a.id, b.id, 'RETEST_DEPENDENCY' FROM f a JOIN f b ON a.id < b.id AND a.endpoint = b.endpoint)
+SELECT *, CASE kind WHEN 'SHARED_ROOT_CAUSE' THEN 0.92 WHEN 'SOURCE_OVERLAP' THEN 0.88 WHEN 'RETEST_DEPENDENCY' THEN 0.75 WHEN 'POTENTIAL_CONFLICT' THEN 0.72 ELSE 0.66 END::DOUBLE AS confidence FROM p""")
 def finding_relationships(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     f = li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), (F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("path"), F.col("l_returnflag").alias("category"), (F.col("l_suppkey") * 1000 + F.col("l_orderkey") % 97).alias("endpoint"), (F.col("l_orderkey") % 400).alias("lo"), (F.col("l_orderkey") % 400 + F.col("l_quantity").cast("long")).alias("hi"))
-    return W.relationships(f)
+    return W.relationships(f, ["A"])
 
 
 @register("risk_graph_edges", """SELECT DISTINCT user_id::VARCHAR AS source, event_type AS target, 'reaches' AS kind FROM events UNION SELECT DISTINCT event_type, event_id::VARCHAR, 'exposes' FROM events""")
@@ -53,11 +53,18 @@ def risk_graph_edges(spark, sf_dir):
     return W.risk_graph(table(spark, sf_dir, "events"), "user_id", "event_type", "event_id")[1]
 
 
-@register("candidate_scores", """WITH c AS (SELECT p_partkey, p_size % 2 = 0 AS a, p_size % 3 = 0 AS b, p_size % 5 = 0 AS c, p_size > 10 AS d, p_size > 20 AS e, p_size > 30 AS f, p_size > 40 AS g FROM part)
-SELECT p_partkey, round(least(0.20::DOUBLE + CASE WHEN a THEN 0.28 ELSE 0 END + CASE WHEN b THEN 0.16 ELSE 0 END + CASE WHEN c THEN 0.16 ELSE 0 END + CASE WHEN d THEN 0.10 ELSE 0 END + CASE WHEN e THEN 0.06 ELSE 0 END + CASE WHEN f THEN 0.04 ELSE 0 END + CASE WHEN g THEN 0.02 ELSE 0 END, 0.94), 4) AS score FROM c""")
+@register("candidate_scores", """WITH c AS (SELECT o_orderkey AS finding_id, p_partkey AS candidate, l_quantity > 30 AS terminal, l_linenumber = 1 AS parent, l_discount > 0.05 AS parameter, p_size > 25 AS path, l_returnflag = 'N' AS method, l_tax > 0.04 AS exact, p_brand = 'Brand#11' AS language,
+CASE WHEN o_orderpriority = '1-URGENT' THEN 0.9 END::DOUBLE AS route FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey),
+s AS (SELECT finding_id, candidate, greatest(round(least(0.20::DOUBLE + CASE WHEN terminal THEN 0.28 ELSE 0 END + CASE WHEN parent THEN 0.16 ELSE 0 END + CASE WHEN parameter THEN 0.16 ELSE 0 END + CASE WHEN path THEN 0.10 ELSE 0 END + CASE WHEN method THEN 0.06 ELSE 0 END
++ CASE WHEN exact THEN 0.04 ELSE 0 END + CASE WHEN language THEN 0.02 ELSE 0 END, 0.94), 4), coalesce(route, 0)) AS score FROM c)
+SELECT *, row_number() OVER (PARTITION BY finding_id ORDER BY score DESC, candidate) AS place FROM s WHERE score >= 0.38 QUALIFY place <= 8""")
 def candidate_scores(spark, sf_dir):
-    s = F.col("p_size")
-    return table(spark, sf_dir, "part").select("p_partkey", W.candidate_score(s % 2 == 0, s % 3 == 0, s % 5 == 0, s > 10, s > 20, s > 30, s > 40).alias("score"))
+    """Findings (orders) and the candidates that their lines name; evidence and routes come from the joined rows."""
+    li = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    j = table(spark, sf_dir, "orders").join(li, F.col("o_orderkey") == F.col("l_orderkey"))
+    evidence = {"terminal": F.col("l_quantity") > 30, "parent": F.col("l_linenumber") == 1, "parameter": F.col("l_discount") > 0.05, "path": F.col("p_size") > 25, "method": F.col("l_returnflag") == "N", "exact": F.col("l_tax") > 0.04, "language": F.col("p_brand") == "Brand#11"}
+    route = F.when(F.col("o_orderpriority") == "1-URGENT", 0.9)
+    return W.best_candidates(j.select(F.col("o_orderkey").alias("finding_id"), F.col("p_partkey").alias("candidate"), route.alias("route_confidence"), *[c.alias(n) for n, c in evidence.items()]))
 
 
 @register("eligibility_decisions", """WITH e AS (SELECT o_orderkey, o_orderstatus = 'O' AS live, count(l_orderkey) AS evidence, max(1 - l_discount * 5) AS best FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2)
@@ -69,13 +76,13 @@ def eligibility_decisions(spark, sf_dir):
     return o.groupBy(decision.alias("decision")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("repair_rollup", """WITH c AS (SELECT l_orderkey AS repair_id, CASE WHEN l_partkey % 97 = 0 THEN 'missing' WHEN l_quantity > 45 THEN 'mismatch' ELSE 'matched' END AS s FROM lineitem),
+@register("repair_rollup", """WITH c AS (SELECT l_orderkey AS repair_id, CASE WHEN p_type LIKE 'PROMO%' THEN 'missing' WHEN l_quantity > 45 THEN 'mismatch' ELSE 'matched' END AS s FROM lineitem JOIN part ON p_partkey = l_partkey),
 g AS (SELECT repair_id, count(*) FILTER (s = 'matched') AS matched, count(*) FILTER (s = 'mismatch') AS mismatch, count(*) FILTER (s = 'missing') AS missing FROM c GROUP BY 1)
 SELECT g.*, CASE WHEN missing > 0 THEN 'incomplete' WHEN mismatch > 0 THEN 'mismatch' WHEN o_orderstatus = 'O' THEN 'applied_finding_open' ELSE 'verified' END AS status FROM g JOIN orders ON o_orderkey = repair_id""")
 def repair_rollup(spark, sf_dir):
     after = F.when(F.col("l_quantity") > 45, "old").otherwise("new")
     changes = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("repair_id"), F.col("l_partkey").alias("path"), after.alias("after_hash"))
-    current = table(spark, sf_dir, "part").filter("p_partkey % 97 <> 0").select(F.col("p_partkey").alias("path"), F.lit("new").alias("content_hash"))
+    current = table(spark, sf_dir, "part").filter("p_type NOT LIKE 'PROMO%'").select(F.col("p_partkey").alias("path"), F.lit("new").alias("content_hash"))
     return W.repair_rollup(changes, current, table(spark, sf_dir, "orders").filter("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("repair_id")))
 
 
@@ -104,10 +111,12 @@ def multi_finding_overlap(spark, sf_dir):
     return top.groupBy("l_partkey").agg(F.countDistinct("l_orderkey").alias("findings")).filter("findings > 1")
 
 
-@register("snapshot_digest", "SELECT lang, sha256(string_agg(doc_id || ':' || sha256(text), chr(10) ORDER BY doc_id)) AS digest FROM documents GROUP BY 1")
+@register("snapshot_digest", """WITH a AS (SELECT lang, doc_id // 4096 AS b, sha256(string_agg(doc_id || ':' || sha256(text), chr(10) ORDER BY doc_id)) AS h FROM documents GROUP BY 1, 2),
+c AS (SELECT lang, b // 4096 AS b, sha256(string_agg(h, chr(10) ORDER BY a.b)) AS h FROM a GROUP BY lang, a.b // 4096) SELECT lang, sha256(string_agg(h, chr(10) ORDER BY b)) AS digest FROM c GROUP BY 1""")
 def snapshot_digest(spark, sf_dir):
-    rows = F.transform(F.sort_array(F.collect_list(F.struct("doc_id", F.sha2("text", 256).alias("h")))), lambda r: F.concat(r["doc_id"].cast("string"), F.lit(":"), r["h"]))
-    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.sha2(F.array_join(rows, "\n"), 256).alias("digest"))
+    from quarrylight.operators.relational import block_digest
+
+    return block_digest(table(spark, sf_dir, "documents"), "lang", "doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.sha2("text", 256)))
 
 
 @register("run_history", "SELECT o_orderkey, o_orderstatus, coalesce(n, 0) AS findings, coalesce(q, 0) AS quantity FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n, sum(l_quantity) AS q FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 100")

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -32,6 +33,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def columns(df: DataFrame, names: list[str]) -> DataFrame:
+    """The named columns of df; one that it lacks is null, as a string."""
+    return df.select(*[F.col(n) if n in df.columns else F.lit(None).cast("string").alias(n) for n in names])
+
+
 def workers_find_us(spark: SparkSession) -> None:
     """Put this checkout on the Python workers' path (a no-op where it is installed there)."""
     env = spark.sparkContext.environment
@@ -40,13 +46,17 @@ def workers_find_us(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, have)])
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of our own only where the session names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="quarrylight-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+    """The folder in spark.checkpoint.dir; where that is unset, one of our own for the application, which only a local session can share."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if base:
+        return base.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="quarrylight-"))
 
 
 def scratch(spark: SparkSession, name: str) -> str:

@@ -60,3 +60,27 @@ def integrity(files: DataFrame, stored: DataFrame) -> DataFrame:
     have = stored.select("path", F.octet_length("content").cast("long").alias("_n"), F.sha2("content", 256).alias("_h"))
     state = F.when(F.col("_h").isNull(), "not_installed").when((F.col("_n") != F.col("size_bytes")) | (F.col("_h") != F.lower("sha256")), "integrity_failed").otherwise("ready")
     return files.join(have, "path", "left").select(*files.columns, state.alias("status"))
+
+
+#: fixed values: names that columns of labelled code go by, in order of preference
+COLUMN_NAMES = {
+    "code": ["func", "code", "source_code", "source", "snippet", "function", "content", "code_snippet", "vulnerable_code", "text"],
+    "label": ["target", "label", "is_vulnerable", "vulnerable", "vul", "is_vuln", "labels", "vulnerability"],
+    "cwe": ["cwe", "cwe_id", "cwe_ids", "cwes", "cwe_type", "CWE ID"],
+    "language": ["language", "lang", "programming_language"],
+}
+
+
+def resolve_columns(columns: list[str], hints: dict[str, str], required: tuple[str, ...] = ()) -> dict[str, str | None]:
+    """Column of each role: the hint if the table has it, else the first known name in any case. Runs where the query is planned.
+
+    Raises ValueError with the table's columns if a required role has none.
+    """
+    lower = {}
+    for c in columns:
+        lower.setdefault(c.lower(), c)
+    found = {role: hints[role] if hints.get(role) in columns else next((lower[n.lower()] for n in names if n.lower() in lower), None) for role, names in COLUMN_NAMES.items()}
+    for role in required:
+        if not found[role]:
+            raise ValueError(f"could not find a {role} column; available columns: {', '.join(columns)}")
+    return found

@@ -16,6 +16,17 @@ def write_components(components: DataFrame, path: str) -> None:
     components.select(F.col("component").alias("value")).write.mode("overwrite").text(path)
 
 
+def write_bill_of_materials(components: DataFrame, project: str, path: str) -> None:
+    """A CycloneDX 1.5 document in two parts, each JSON lines: header (one line) and components (one a component, written by every task).
+
+    Joined as header + components they are the document; no task holds it whole.
+    """
+    spark = components.sparkSession
+    head = {"bomFormat": "CycloneDX", "specVersion": "1.5", "version": 1, "metadata": {"component": {"type": "application", "name": project}}}
+    spark.createDataFrame([(json.dumps(head),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/header")
+    write_components(components, f"{path}/components")
+
+
 def report(tables: dict[str, DataFrame], top: int = 25) -> dict[str, str]:
     """json, md and html of named result tables, of each the first `top` rows as it is ordered (at most REPORT_ROWS)."""
     top = min(max(top, 1), REPORT_ROWS)

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarrylight.operators.lifecycle import merge_findings
 from quarrylight.session import scratch
@@ -32,25 +33,33 @@ def first_seen_only(events: DataFrame, late: str = "1 day") -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def maintain_findings(events: DataFrame, keys: list[str], checkpoint: str | None = None) -> tuple[Callable[[], str], object]:
+def maintain_findings(events: DataFrame, keys: list[str], checkpoint: str | None = None) -> tuple[Callable[[], str | None], object]:
     """Start a query that merges every micro-batch's keys into a findings snapshot; (path of the latest snapshot, query).
 
-    A batch writes a snapshot of its own number, so a batch that runs again writes the same one. Coverage is never
-    complete in a stream, so nothing is resolved.
+    Snapshots live beside the checkpoint, named by batch. A batch starts from the newest snapshot before its own, so after a
+    restart from the checkpoint nothing is lost, and a batch that runs again writes the same one. Coverage is never complete
+    in a stream, so nothing is resolved.
     """
     spark = events.sparkSession
-    base = scratch(spark, "findings")
-    state = {"latest": None}
+    checkpoint = checkpoint or scratch(spark, "stream")
+    base = f"{checkpoint.rstrip('/')}-findings"
+
+    def snapshots() -> list[int]:
+        """Numbers of the finished snapshots, from the folder's listing."""
+        found = spark.read.format("binaryFile").option("pathGlobFilter", "_SUCCESS").option("recursiveFileLookup", "true")
+        folder = spark._jvm.org.apache.hadoop.fs.Path(base)
+        if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+            return []
+        return sorted(int(r["path"].rstrip("/").split("/")[-2]) for r in found.load(base + "/*/").select("path").collect())
 
     def merge(batch: DataFrame, number: int) -> None:
         s = batch.sparkSession
         seen = batch.groupBy(*keys).agg(F.max("ts").alias("_at"))
-        empty = f"{', '.join(f'`{k}` {batch.schema[k].dataType.simpleString()}' for k in keys)}, status string, first_seen timestamp, last_seen timestamp"
-        old = s.read.parquet(state["latest"]) if state["latest"] else s.createDataFrame([], empty)
+        empty = T.StructType([*[T.StructField(k, batch.schema[k].dataType) for k in keys], *T.StructType.fromDDL("status string, first_seen timestamp, last_seen timestamp")])
+        before = [n for n in snapshots() if n < number]
+        old = s.read.parquet(f"{base}/{before[-1]:08d}") if before else s.createDataFrame([], empty)
         now = seen.agg(F.max("_at")).first()[0]
-        path = f"{base}/{number:08d}"
-        merge_findings(old, seen, keys, F.lit(now).cast("timestamp"), False).drop("change").write.mode("overwrite").parquet(path)
-        state["latest"] = path
+        merge_findings(old, seen, keys, F.lit(now).cast("timestamp"), False).drop("change").write.mode("overwrite").parquet(f"{base}/{number:08d}")
 
-    query = events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint or scratch(spark, "stream")).trigger(availableNow=True).start()
-    return (lambda: state["latest"]), query
+    query = events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return (lambda: f"{base}/{snapshots()[-1]:08d}" if snapshots() else None), query

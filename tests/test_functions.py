@@ -49,22 +49,13 @@ def test_bill_of_materials(spark):
     assert got == {"pkg:npm/%40a/b@1.0": "required", "pkg:pypi/a-b@2": "optional"}
 
 
-def test_secrets():
+def test_secrets_by_place(spark):
+    """A value that also stands earlier in its match, two matches of one rule, and an overlap that an earlier rule wins."""
     token = "ghp_" + "a1B2" * 9
-    found = secrets.scan_text("src/app.py", f'x\nkey = "{token}"\n')
-    assert found == [("secret.github_token", 2, 0.97, "ghp_…B2", False)]
-    assert secrets.scan_text("tests/app.py", f"t={token}")[0][2] == 0.58
-    assert secrets.scan_text("a.py", 'password = "changeme123"\npassword = "displayName"') == []
-    assert [f[0] for f in secrets.scan_text("a.py", 'api_key = "q9Zr7Lk2Xv8Tn4"')] == ["secret.generic_assignment"]
-    assert [f[0] for f in secrets.scan_text(".env", "DB_PASSWORD=q9Zr7Lk2Xv8T")] == ["secret.env_file_assignment"]
-    assert secrets.scan_text(".env.example", "DB_PASSWORD=q9Zr7Lk2Xv8T") == []
-    assert secrets.scan_text("a.py", f"t={token} # {secrets.SUPPRESS}") == [] and secrets.scan_text("a.py", f"t={token}" + "x" * 5000) == []
-
-
-def test_placeholders(spark):
-    values = ["changeme1", "Password", "{x}", "${A}", "aaaa", "$v", "<v>", "q9Zr7Lk2", "os.environ[1]", "100%s"]
-    df = spark.createDataFrame([(v,) for v in values], "x string").select("x", S.is_placeholder(F.col("x")).alias("y"))
-    assert {r["x"]: r["y"] for r in df.collect()} == {v: secrets.placeholder(v) for v in values}
+    texts = [('password = "q9Zr7Lk2Xv8Tn4", pwd = "w8Yq6Kj1Wu7Sm3"', 2), (f'api_key="{token}"', 1), (f"{token} {token}", 2), (None, 0)]
+    df = spark.createDataFrame([(str(i), t) for i, (t, _) in enumerate(texts)], "path string, text string")
+    got = [r["path"] for r in secrets.scan_secrets(df).collect()]
+    assert [got.count(str(i)) for i in range(len(texts))] == [n for _, n in texts]
 
 
 def test_html(spark):

@@ -16,6 +16,15 @@ def test_agrees_with_sql(name, spark, con):
     assert compare(registry.QUERIES[name](spark, SF), con, registry.ORACLES[name]) is None
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
-def test_runs(name, spark):
-    assert registry.QUERIES[name](spark, SF).count() >= 0
+def test_every_query_has_sql():
+    assert sorted(set(registry.QUERIES) - set(registry.ORACLES)) == []
+
+
+#: results that are rightly empty on the given tables
+EMPTY = {"secret_scan_documents"}
+
+
+@pytest.mark.parametrize("name", sorted(set(registry.ORACLES) - EMPTY))
+def test_sql_gives_rows(name, con):
+    """A comparison of nothing with nothing proves nothing."""
+    assert con.execute(registry.ORACLES[name]).fetchone() is not None

@@ -1,6 +1,7 @@
 import hashlib
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from quarrylight.sources import catalog as C
@@ -68,3 +69,25 @@ def test_streams(spark, sf_dir, tmp_path):
     latest, q = E.maintain_findings(stream, ["user_id", "event_type"])
     q.awaitTermination(120)
     assert spark.read.parquet(latest()).count() == batch.select("user_id", "event_type").distinct().count()
+
+
+def test_stream_goes_on_after_a_restart(spark, sf_dir, tmp_path):
+    """A second query on the same checkpoint starts from what the first one left."""
+    batch = spark.read.parquet(f"{sf_dir}/events.parquet")
+    folder, checkpoint = str(tmp_path / "in"), str(tmp_path / "check")
+    keys = ["user_id", "event_type"]
+    for half in ("ts < TIMESTAMP '2024-01-08'", "ts >= TIMESTAMP '2024-01-08'"):
+        batch.filter(half).coalesce(1).write.mode("append").parquet(folder)
+        latest, q = E.maintain_findings(E.read_events(spark, folder), keys, checkpoint)
+        q.awaitTermination(120)
+    assert spark.read.parquet(latest()).count() == batch.select(*keys).distinct().count()
+
+
+def test_a_tree_over_the_bounds_is_refused(spark, tmp_path, monkeypatch):
+    for n in range(3):
+        (tmp_path / f"{n}.py").write_bytes(b"x" * 10)
+    monkeypatch.setattr(R, "MAX_FILE", 5)
+    assert {r["state"] for r in R.walk(spark, str(tmp_path)).collect()} == {"oversize"}
+    monkeypatch.setattr(R, "MAX_FILES", 2)
+    with pytest.raises(OverflowError):
+        R.walk(spark, str(tmp_path))
