@@ -1,20 +1,24 @@
 """Quality rules with robust multivariate outliers, in DataFrame functions only.
 
 `text_statistics` derives per-document counts. `mcd_distances` estimates, for every language and source, a minimum
-covariance determinant (MCD) location and scatter of transformed statistics by concentration steps until the determinant
-settles, estimates both again from all documents within the cutoff, and `quality_rules` rejects documents whose squared
-Mahalanobis distance is over it. Variances are the estimates; a guard replaces one only where it is smaller, as where
-nearly no document of a pool holds a symbol.
+covariance determinant (MCD) location and scatter of transformed statistics: from several starts, concentration steps go on
+until no determinant falls, and the estimate of the lowest determinant is taken, scaled to be consistent for normal data.
+Location and scatter are estimated again from all documents within the cutoff, and `quality_rules` rejects documents whose
+squared Mahalanobis distance is over it. Variances are the estimates; a guard stands in only where an estimate is smaller, as
+where nearly no document of a pool holds a symbol.
 
 Defined results. Null or empty text: no words, every count 0, base rule failed. Null lang or source: a group of its own.
-Sources with under `min_group` documents of a language are estimated together, and rests of languages under it likewise. Repeated
-rows count as often as they occur. Columns of the input keep their names; statistics are returned under the names below.
+Sources with under `min_group` documents of a language, too few for a scatter of their own, are estimated together, and rests
+of languages under it likewise. Repeated rows count as often as they occur; rows with equal statistics get equal distances.
+Columns of the input that are not needed are not read; statistics are returned under the names below. An empty table gives
+none.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from math import exp, factorial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -112,88 +116,116 @@ def base_failed() -> Column:
     return (F.col("n_words") < 10) | (F.lit(100) * F.col("n_repeat_words") > F.lit(20) * F.col("n_words"))
 
 
-def _moments(xs: list[str], weight: Column) -> list[Column]:
+def consistency(share: float) -> float:
+    """Factor that makes the scatter of the innermost `share` of normal data, in four dimensions, that of all of it."""
+    inside = lambda x, terms: 1 - exp(-x / 2) * sum((x / 2) ** k / factorial(k) for k in range(terms))
+    low, high = 0.0, 200.0
+    for _ in range(200):  # the quantile by bisection
+        middle = (low + high) / 2
+        low, high = (middle, high) if inside(middle, 2) < share else (low, middle)
+    return share / inside(low, 3)
+
+
+def _moments(xs: list[str], weight: Column, s: int) -> list[Column]:
     on = lambda c: F.when(weight, c)
-    out = [F.avg(on(F.col(x))).alias(f"m_{x}") for x in xs]
-    out += [F.avg(on(F.col(x) * F.col(y))).alias(f"p_{x}_{y}") for i, x in enumerate(xs) for y in xs[: i + 1]]
+    out = [F.avg(on(F.col(x))).alias(f"m{s}_{x}") for x in xs]
+    out += [F.avg(on(F.col(x) * F.col(y))).alias(f"p{s}_{x}_{y}") for i, x in enumerate(xs) for y in xs[: i + 1]]
     return out
 
 
-def _factor(df: DataFrame, xs: list[str], floors: list[float]) -> DataFrame:
-    """Cholesky factor l_i_j of the scatter and its log determinant; a variance under its floor's square is replaced by that."""
-    for i, x in enumerate(xs):
-        for j, y in enumerate(xs[: i + 1]):
-            c = F.col(f"p_{x}_{y}") - F.col(f"m_{x}") * F.col(f"m_{y}")
-            c = F.greatest(c, F.lit(floors[i] ** 2)) if i == j else c
-            c = reduce(lambda a, k: a - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}"), range(j), c)
-            c = F.sqrt(F.greatest(c, F.lit(floors[i] ** 2 / 4))) if i == j else c / F.col(f"l_{j}_{j}")
-            df = df.withColumn(f"l_{i}_{j}", c)
-    determinant = reduce(lambda a, b: a + b, [F.log(f"l_{i}_{i}") for i in range(len(xs))]) * 2
-    return df.select("_pool", determinant.alias("_det"), *[f"m_{x}" for x in xs], *[f"l_{i}_{j}" for i in range(len(xs)) for j in range(i + 1)])
-
+def _estimate(rows: DataFrame, xs: list[str], floors: list[float], weights: list[Column], scale: float = 1.0) -> DataFrame:
+    """Per pool and start s: means m, Cholesky factor l of the scatter times scale, log determinant det; one settled row a pool.
 
-def _distance(df: DataFrame, xs: list[str]) -> DataFrame:
+    A variance under its floor's square is replaced by that.
+    """
+    df = rows.groupBy("_pool").agg(*[c for s, w in enumerate(weights) for c in _moments(xs, w, s)]).fillna(0.0)
+    out = [F.col("_pool")]
+    for s in range(len(weights)):
+        for i, x in enumerate(xs):
+            for j, y in enumerate(xs[: i + 1]):
+                c = (F.col(f"p{s}_{x}_{y}") - F.col(f"m{s}_{x}") * F.col(f"m{s}_{y}")) * scale
+                c = F.greatest(c, F.lit(floors[i] ** 2)) if i == j else c
+                c = reduce(lambda a, k, i=i, j=j: a - F.col(f"l{s}_{i}_{k}") * F.col(f"l{s}_{j}_{k}"), range(j), c)
+                c = F.sqrt(F.greatest(c, F.lit(floors[i] ** 2 / 4))) if i == j else c / F.col(f"l{s}_{j}_{j}")
+                df = df.withColumn(f"l{s}_{i}_{j}", c)
+        det = reduce(lambda a, b: a + b, [F.log(f"l{s}_{i}_{i}") for i in range(len(xs))]) * 2
+        out += [det.alias(f"det{s}"), *[F.col(c) for c in _facts(xs, s)[1:]]]
+    return settle(df.select(*out), "mcd")
+
+
+def _facts(xs: list[str], s: int) -> list[str]:
+    return [f"det{s}", *[f"m{s}_{x}" for x in xs], *[f"l{s}_{i}_{j}" for i in range(len(xs)) for j in range(i + 1)]]
+
+
+def _distance(df: DataFrame, xs: list[str], s: int, name: str) -> DataFrame:
     """Squared Mahalanobis distance by forward substitution."""
+    z = []
     for i, x in enumerate(xs):
-        z = reduce(lambda a, k: a - F.col(f"l_{i}_{k}") * F.col(f"z_{k}"), range(i), F.col(x) - F.col(f"m_{x}"))
-        df = df.withColumn(f"z_{i}", z / F.col(f"l_{i}_{i}"))
-    return df.withColumn("distance", reduce(lambda a, b: a + b, [F.col(f"z_{i}") * F.col(f"z_{i}") for i in range(len(xs))]))
+        z.append(reduce(lambda a, k, i=i: a - F.col(f"l{s}_{i}_{k}") * z[k], range(i), F.col(x) - F.col(f"m{s}_{x}")) / F.col(f"l{s}_{i}_{i}"))
+    return df.withColumn(name, reduce(lambda a, b: a + b, [v * v for v in z]))
 
 
 def mcd_distances(stats: DataFrame, cutoff: float = CUTOFF, share: float = 0.75, min_group: int = 100) -> DataFrame:
     """stats with a column distance. stats must be cheap to read again (settled): each step reads it twice.
 
-    Each concentration step is one grouped aggregate for the `share` quantile of the distances and one for the moments
-    of the rows below it; both combine map-side, so a language or source that holds most rows is no bottleneck. The
-    estimates, one row a pool, are joined back; the optimizer broadcasts them only when measured as small. Steps end when
-    no pool's determinant falls by over 1 % (the quantiles' own error); guards bound it, so they do end. The last
-    estimate is from the rows within the cutoff.
+    Starts: the rows nearest the pool's medians by summed gaps in units of the guards, the same in units of the pool's
+    median gaps, and all rows. Each concentration step is one grouped aggregate for the `share` quantile of the distances and
+    one for the moments of the rows below it, for all starts at once; both combine map-side, so a language or source that
+    holds most rows is no bottleneck. Quantiles and estimates, one row a pool, are settled before they are joined back, so
+    the optimizer knows their size and broadcasts them while they are small. Steps end when no determinant falls by over
+    1 % (the quantiles' own error); guards bound it, so they do end.
     """
     xs, floors = list(FEATURES), [f for _, f in FEATURES.values()]
+    quantile = lambda c, q: F.percentile_approx(c, q, 1000)
+    by_pool = lambda df, *aggregates: settle(df.groupBy("_pool").agg(*aggregates), "quantiles")
     rows = settle(_pooled(stats, min_group).withColumns({x: f() for x, (f, _) in FEATURES.items()}), "features")
     # a mean word length counts from its pool's median, the less the fewer words it is a mean of
-    middle = rows.groupBy("_pool").agg(F.percentile_approx("x_word", 0.5, 1000).alias("_middle"))
     weight = F.sqrt(F.col("n_words") / (F.col("n_words") + F.lit(HALF_WORDS)))
+    middle = by_pool(rows, quantile("x_word", 0.5).alias("_middle"))
     rows = settle(rows.join(middle, "_pool").withColumn("x_word", (F.col("x_word") - F.col("_middle")) * weight).drop("_middle"), "features")
 
-    def estimate(from_rows: DataFrame, weight: Column) -> DataFrame:
-        return settle(_factor(from_rows.groupBy("_pool").agg(*_moments(xs, weight)).fillna(0.0), xs, floors), "mcd")
-
-    # start: rows whose statistics lie nearest the pool's medians
-    medians = rows.groupBy("_pool").agg(*[F.percentile_approx(x, 0.5, 1000).alias(f"d_{x}") for x in xs])
-    near = rows.join(medians, "_pool").withColumn(
-        "_gap", reduce(lambda a, b: a + b, [F.abs(F.col(x) - F.col(f"d_{x}")) / F.lit(f) for x, f in zip(xs, floors, strict=True)])
-    )
-    gap = near.groupBy("_pool").agg(F.percentile_approx("_gap", share, 1000).alias("_limit"))
-    now = estimate(near.join(gap, "_pool"), F.col("_gap") <= F.col("_limit"))
-    falls = True
-    while falls:
-        at = _distance(rows.join(now, "_pool"), xs)
-        limit = at.groupBy("_pool").agg(F.percentile_approx("distance", share, 1000).alias("_limit"))
-        new = estimate(at.join(limit, "_pool"), F.col("distance") <= F.col("_limit"))
-        lower = new.join(now.select("_pool", F.col("_det").alias("_was")), "_pool").filter(F.col("_det") < F.col("_was") - 0.01)
-        # a pool that has settled keeps its estimate, so its determinant never rises and falls again
-        falls = not lower.isEmpty()
-        if falls:
-            kept = now.join(lower.select("_pool"), "_pool", "left_anti")
-            now = settle(kept.unionByName(lower.drop("_was")), "mcd")
-    now = estimate(_distance(rows.join(now, "_pool"), xs), F.col("distance") <= F.lit(cutoff))
-    return _distance(rows.join(now, "_pool"), xs)
+    medians = by_pool(rows, *[quantile(x, 0.5).alias(f"d_{x}") for x in xs])
+    gaps = {x: F.abs(F.col(x) - F.col(f"d_{x}")) for x in xs}
+    near = rows.join(medians, "_pool")
+    near = near.join(by_pool(near, *[quantile(gaps[x], 0.5).alias(f"u_{x}") for x in xs]), "_pool")
+    summed = lambda units: reduce(lambda a, b: a + b, [gaps[x] / u for x, u in zip(xs, units, strict=True)])
+    near = near.withColumns({"_g0": summed([F.lit(f) for f in floors]), "_g1": summed([F.greatest(F.col(f"u_{x}"), F.lit(f)) for x, f in zip(xs, floors, strict=True)])})
+    limits = by_pool(near, *[quantile(g, share).alias(f"_limit{g}") for g in ("_g0", "_g1")])
+    now = _estimate(near.join(limits, "_pool"), xs, floors, [F.col(g) <= F.col(f"_limit{g}") for g in ("_g0", "_g1")] + [F.lit(True)])
+    starts = range(3)
+    while True:
+        at = rows.join(now, "_pool")
+        for s in starts:
+            at = _distance(at, xs, s, f"_d{s}")
+        limit = by_pool(at, *[quantile(f"_d{s}", share).alias(f"_limit{s}") for s in starts])
+        new = _estimate(at.join(limit, "_pool"), xs, floors, [F.col(f"_d{s}") <= F.col(f"_limit{s}") for s in starts])
+        j = now.join(new.select("_pool", *[F.col(c).alias(f"_{c}") for s in starts for c in _facts(xs, s)]), "_pool")
+        lower = {s: F.col(f"_det{s}") < F.col(f"det{s}") - 0.01 for s in starts}
+        if j.filter(reduce(lambda a, b: a | b, lower.values())).isEmpty():
+            break
+        # a start that has settled in a pool keeps its estimate there, so its determinant never rises and falls again
+        now = settle(j.select("_pool", *[F.when(lower[s], F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for s in starts for c in _facts(xs, s)]), "mcd")
+    best = F.least(*[F.col(f"det{s}") for s in starts])
+    pick = lambda k: F.coalesce(*[F.when(F.col(f"det{s}") == best, F.col(_facts(xs, s)[k])) for s in starts])
+    raw = settle(now.select("_pool", *[pick(k).alias(c) for k, c in enumerate(_facts(xs, 0))]), "mcd")
+    within = _distance(rows.join(raw, "_pool"), xs, 0, "_raw")
+    final = _estimate(within, xs, floors, [F.col("_raw") <= F.lit(cutoff * consistency(share))])
+    return _distance(rows.join(final, "_pool"), xs, 0, "distance")
 
 
 def _pooled(stats: DataFrame, min_group: int) -> DataFrame:
     """stats with _pool: its language and source; small sources of a language together; small rests of languages together."""
     keys = {"_lang": F.coalesce("lang", F.lit("\0")), "_source": F.coalesce("source", F.lit("\0"))}
-    counts = stats.groupBy(*[c.alias(k) for k, c in keys.items()]).agg(F.count(F.lit(1)).alias("_n"))
+    counts = settle(stats.groupBy(*[c.alias(k) for k, c in keys.items()]).agg(F.count(F.lit(1)).alias("_n")), "pools")
     rest = counts.filter(F.col("_n") < min_group).groupBy("_lang").agg(F.sum("_n").alias("_rest"))
-    pools = counts.join(rest, "_lang", "left").select(
+    pools = settle(counts.join(rest, "_lang", "left").select(
         "_lang",
         "_source",
         F.when(F.col("_n") >= min_group, F.to_json(F.struct("_lang", "_source")))
         .when(F.col("_rest") >= min_group, F.to_json(F.struct("_lang")))
         .otherwise(F.lit("{}"))
         .alias("_pool"),
-    )
+    ), "pools")
     return stats.withColumns(keys).join(pools, ["_lang", "_source"]).drop("_lang", "_source")
 
 
