@@ -16,7 +16,10 @@ case, where signs of arithmetic and characters of three or more bytes (Chinese,
 copy of any item is found. (With more windows the template finds it: only the first token's type depends on what is before.)
 
 Defined results. Null or empty text: not contaminated. Items of fewer than WINDOW tokens are one window of their own
-length. An item of one word is found in every document with that word; one without a token is never found. Repeated items are found each. Repeated documents get a row each. Empty benchmark: nothing is contaminated.
+length. An item of one word is found in every document with that word; one without a token is never found. Repeated items are found each. Repeated documents get a row each.
+Documents or items without an id are not searched: there is no id to name them by, and such a document counts as clean (the
+pipeline gives its documents ids first). Very long texts are searched whole. Other columns are not read. Empty benchmark:
+nothing is contaminated.
 """
 
 from __future__ import annotations
@@ -131,14 +134,14 @@ def _values(w: K.Words, slot: np.ndarray, at: int, size: int) -> list[str]:
     return [w.data[w.start[x] : w.end[x]].tobytes().decode(errors="replace") for x in range(at, at + size) if slot[x]]
 
 
-_ROW = pa.schema([("id", pa.int64()), ("h", pa.int64()), ("place", pa.int32()), ("slots", pa.list_(pa.string())), ("exact", pa.int32())])
-ROW_SCHEMA = "id long, h long, place int, slots array<string>, exact int"
+_ROW = pa.schema([("id", pa.int64()), ("h", pa.int64()), ("place", pa.int32()), ("slots", pa.list_(pa.string())), ("exact", pa.int32()), ("size", pa.int32())])
+ROW_SCHEMA = "id long, h long, place int, slots array<string>, exact int, size int"
 
 
-def _rows(ids: np.ndarray, h: np.ndarray, place: np.ndarray, slots: list[list[str]], exact: int) -> pa.RecordBatch:
-    """Rows of windows; exact: tokens of an exact window, 0 for template windows."""
+def _rows(ids: np.ndarray, h: np.ndarray, place: np.ndarray, slots: list[list[str]], size: int, exact: bool) -> pa.RecordBatch:
+    """Rows of windows of `size` words; exact: tokens of an exact window, 0 for template windows."""
     return pa.record_batch(
-        [pa.array(ids.astype(np.int64)), pa.array(h.view(np.int64)), pa.array(place.astype(np.int32)), pa.array(slots, pa.list_(pa.string())), pa.array(np.full(len(ids), exact, np.int32))], schema=_ROW
+        [pa.array(ids.astype(np.int64)), pa.array(h.view(np.int64)), pa.array(place.astype(np.int32)), pa.array(slots, pa.list_(pa.string())), pa.array(np.full(len(ids), size * exact, np.int32)), pa.array(np.full(len(ids), size, np.int32))], schema=_ROW
     )
 
 
@@ -155,7 +158,7 @@ def _emit(sizes: tuple[int, ...], whole: bool, bitmap, exact: tuple[int, ...], b
                     hit = bits[h & low]
                     at, h, doc = at[hit], h[hit], doc[hit]
                 n_windows += np.bincount(doc, minlength=j - i)
-                yield _rows(ids[i:j][doc], h, at - w.docs[doc], [_values(w, slot, x, size) for x in at.tolist()], 0)
+                yield _rows(ids[i:j][doc], h, at - w.docs[doc], [_values(w, slot, x, size) for x in at.tolist()], size, False)
             if not (whole or exact):
                 continue
             w = exact_words(data, offs)
@@ -164,7 +167,7 @@ def _emit(sizes: tuple[int, ...], whole: bool, bitmap, exact: tuple[int, ...], b
                 at, h, doc = _exact_windows(w, size)
                 hit = few[doc] == size if whole else bits[h & low]
                 at, h, doc = at[hit], h[hit], doc[hit]
-                yield _rows(ids[i:j][doc], h, at - w.docs[doc], [[]] * len(at), size)
+                yield _rows(ids[i:j][doc], h, at - w.docs[doc], [[]] * len(at), size, True)
 
 
 def _bitmap(windows: DataFrame) -> bytes:
@@ -190,14 +193,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     pairs = F.zip_with("_slots", "slots", lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     placed = met.groupBy(F.col("id").alias("doc_id"), "item_id", (F.col("place") - F.col("_at")).alias("_diagonal"), "exact").agg(
         F.countDistinct("_at").alias("n_windows"), F.max("n_item").alias("n_item"), F.min("place").alias("first_word"),
-        F.max("place").alias("_last"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("_pairs"),
+        F.max(F.col("place") + F.col("size") - 1).alias("last_word"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("_pairs"),
     )
     values = [F.size(F.array_distinct(F.col("_pairs")[n])) for n in "ab"]
     one_to_one = (F.size("_pairs") == values[0]) & (F.size("_pairs") == values[1])
     enough = (F.col("exact") > 0) | (F.col("n_windows") >= F.least(F.lit(NEED), F.col("n_item")))
-    size = F.when(F.col("exact") > 0, F.col("exact")).otherwise(WINDOW)
     return placed.filter(enough & one_to_one).select(
-        "doc_id", "item_id", "n_windows", "first_word", (F.col("_last") + size - 1).alias("last_word")
+        "doc_id", "item_id", "n_windows", "first_word", "last_word"
     )
 
 

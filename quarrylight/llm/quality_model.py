@@ -10,7 +10,8 @@ Training reads at most SAMPLE labelled documents' statistics, in one task, from
 model (tables of at most BINS and PAIR_BINS**2 entries) is broadcast.
 
 Defined results. Null or empty text: statistics of an empty text, scored like any other. Without a training row every
-score is 0. Repeated rows are scored each. Very long texts count whole.
+score is 0. Rows without an id are scored, and are not held out. Repeated rows are scored each; ties do not matter. Very long
+texts count whole. Other columns of the input are not read. An empty table gives none.
 """
 
 from __future__ import annotations
@@ -219,5 +220,5 @@ def score_quality(docs: DataFrame, labels: DataFrame, target: str = "quality", f
     model = docs.sparkSession.sparkContext.broadcast(pickle.loads(models[0]["model"]) if models else None)
     scored = stats.mapInArrow(partial(_score, model), "doc_id long, score double")
     return scored.select(
-        "doc_id", (fold("doc_id", folds) == held_out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
+        "doc_id", F.coalesce(fold("doc_id", folds) == held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
     )

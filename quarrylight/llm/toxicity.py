@@ -7,8 +7,9 @@ few thousand).
 
 Training reads at most SAMPLE labelled documents, in one task; scoring streams every whole text through numpy.
 
-Defined results. Null or empty text: the bias alone. Without a training row every score is 0. Repeated rows are scored
-each; ties do not matter. Very long texts are scored whole.
+Defined results. Null or empty text: the bias alone. Without a training row every score is 0. Rows without an id are
+scored, and are not held out. Repeated rows are scored each; ties do not matter. Very long texts are scored whole. Other
+columns of the input are not read. An empty table gives none.
 """
 
 from __future__ import annotations
@@ -132,5 +133,5 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, target: str = "toxic", fo
     shared = docs.sparkSession.sparkContext.broadcast(model)
     scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(partial(_score, shared), "doc_id long, score double")
     return scored.select(
-        "doc_id", (fold("doc_id", folds) == held_out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
+        "doc_id", F.coalesce(fold("doc_id", folds) == held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
     )

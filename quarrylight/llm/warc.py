@@ -9,7 +9,9 @@ Payloads that occur more than once are written once: the record with the largest
 revisits that carry its id and digest and no payload.
 
 Defined results. Null payload: empty. Empty payloads are payloads like any other. Repeated ids are written as records of
-their own. Long payloads make a frame of their own. An empty table writes no bundle.
+their own, of which the one of the largest id may be more than one response. Pages without an id are archived like others under
+`urn:page:null` and returned with a null id; they revisit an equal payload that has an id and are responses otherwise. Long
+payloads make a frame of their own. Columns other than id, url and payload are not read. An empty table writes no bundle.
 """
 
 from __future__ import annotations
@@ -45,12 +47,12 @@ def classify(pages: DataFrame, key: str = "page_id", payload: str = "html", min_
     return rows.join(best, "_digest", "left").withColumn("_response", F.coalesce("_response", "_key"))
 
 
-def _record(key: int, url: str, body: bytes, digest: str, response: int) -> bytes:
+def _record(key: int | None, url: str, body: bytes, digest: str, response: int | None) -> bytes:
     revisit = response != key
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: <urn:page:{key}>",
+        f"WARC-Record-ID: <urn:page:{'null' if key is None else key}>",
         f"WARC-Target-URI: {''.join(url.split())}",
         "WARC-Date: 1970-01-01T00:00:00Z",
         f"WARC-Payload-Digest: sha1:{digest}",
@@ -72,7 +74,7 @@ class BundleWriter:
         self.compress = zstandard.ZstdCompressor(level=level, write_content_size=True).compress
         self.out, self.sizes, self.frame, self.places, self.total = [], [], bytearray(), [], 0
 
-    def add(self, key: int, record: bytes) -> None:
+    def add(self, key: int | None, record: bytes) -> None:
         if self.frame and len(self.frame) + len(record) > FRAME_BYTES:
             self.flush()
         self.places.append((key, len(self.sizes), len(self.frame), len(record)))
@@ -126,6 +128,11 @@ def parse_records(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
         at = end + 4
 
 
+def _page(urn: str) -> int | None:
+    """The page id in a record id; null for pages without one."""
+    return None if urn == "<urn:page:null>" else int(urn[10:-1])
+
+
 _INDEX = pa.schema([("key", pa.int64()), ("bundle", pa.string()), ("frame", pa.int32()), ("offset", pa.int64()), ("length", pa.int64())])
 INDEX_SCHEMA = "key long, bundle string, frame int, offset long, length long"
 
@@ -194,7 +201,7 @@ def read_bundles(spark: SparkSession, folder: str) -> DataFrame:
                         refers = head.get("WARC-Refers-To")
                         size = int(head["X-Payload-Length"])
                         intact = kind == "revisit" or (len(block) == size and base64.b32encode(hashlib.sha1(block).digest()).decode() == digest)
-                        rows.append((name, k, offset, int(head["WARC-Record-ID"][10:-1]), size, digest, kind, int(refers[10:-1]) if refers else None, intact))
+                        rows.append((name, k, offset, _page(head["WARC-Record-ID"]), size, digest, kind, _page(refers) if refers else None, intact))
                     yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _READ, strict=True)], schema=_READ)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder)
