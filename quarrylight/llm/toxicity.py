@@ -27,7 +27,7 @@ from quarrylight.llm.training import fold, labelled_sample
 
 DIM_BITS = 30
 SAMPLE = 16_000
-ALPHA, BETA, L1, L2, EPOCHS = 0.15, 1.0, 2.0, 0.1, 4
+ALPHA, BETA, L1, L2, EPOCHS = 0.15, 1.0, 5.0, 0.1, 4
 BLOOM_BITS = 20
 
 
