@@ -58,8 +58,8 @@ def split_statements(text: str) -> list[tuple[int, str]]:
     return out
 
 
-def sql_findings(files: DataFrame) -> DataFrame:
-    """files(path, text): rule, severity, confidence, line of destructive statements."""
+def sql_statements(files: DataFrame) -> DataFrame:
+    """files(path, text): path, line (where it starts), statement, with literals emptied and comments dropped."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -67,6 +67,12 @@ def sql_findings(files: DataFrame) -> DataFrame:
             cols = list(zip(*rows, strict=True)) or [[]] * 3
             yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.string()), strict=True)], names=["path", "line", "statement"])
 
+    return files.select("path", "text").mapInArrow(split, "path string, line long, statement string")
+
+
+def sql_findings(files: DataFrame) -> DataFrame:
+    """files(path, text): rule, severity, confidence, line of destructive statements. Texts without any of their words aren't split."""
+    files = files.filter(F.col("text").rlike(r"(?i)\b(DROP|TRUNCATE|ALTER|UPDATE|DELETE|PRAGMA)\b"))
     s = F.upper(F.regexp_replace("statement", r"\s+", " "))
     rules = [
         ("sql.destructive_ddl", "medium", 0.98, s.rlike(r"^(DROP (TABLE|DATABASE|SCHEMA|VIEW|INDEX|COLUMN)|TRUNCATE)\b") | s.rlike(r"^ALTER TABLE .* DROP ")),
@@ -74,8 +80,7 @@ def sql_findings(files: DataFrame) -> DataFrame:
         ("sql.foreign_keys_off", "high", 0.99, s.rlike(r"^PRAGMA FOREIGN_KEYS ?= ?(OFF|0|FALSE|NO)")),
     ]
     found = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(r).alias("rule"), F.lit(v).alias("severity"), F.lit(p).alias("confidence"))) for r, v, p, c in rules]))
-    split_rows = files.select("path", "text").mapInArrow(split, "path string, line long, statement string")
-    return split_rows.select("path", "line", F.explode(found).alias("f")).select("path", "line", "f.*")
+    return sql_statements(files).select("path", "line", F.explode(found).alias("f")).select("path", "line", "f.*")
 
 
 def prisma_findings(files: DataFrame) -> DataFrame:
@@ -193,7 +198,8 @@ def taint_findings(files: DataFrame) -> DataFrame:
             rows = [(p, *r) for p, t in zip(f["path"], f["text"], strict=True) for r in taint_of_lines((t or "").split("\n"))]
             yield pd.DataFrame(rows, columns=["path", "line", "rule", "variable"])
 
-    return files.select("path", "text").mapInPandas(scan, "path string, line long, rule string, variable string").dropDuplicates()
+    hinted = files.filter(F.col("text").rlike(_SOURCE.pattern))  # without a source nothing is tainted
+    return hinted.select("path", "text").mapInPandas(scan, "path string, line long, rule string, variable string").dropDuplicates()
 
 
 # ------------------------------------------------------------------ symbols, imports, routes, test frameworks

@@ -144,3 +144,23 @@ def test_plan(endpoints: DataFrame, categories: DataFrame) -> DataFrame:
     risk = F.when(F.col("method").isin("GET", "HEAD"), "safe").when(F.col("method") == "DELETE", "restricted").otherwise("caution")
     key = F.sha2(F.concat(*[x for c in ("url", "method", "parameter", "category") for x in (F.encode(F.col(c), "UTF-8"), F.unhex(F.lit("00")))]), 256)
     return ops.select(key.alias("key"), "url", "method", "parameter", "location", "category", risk.alias("risk"), (risk == "safe").alias("selected"))
+
+
+def campaign_order(findings: DataFrame) -> DataFrame:
+    """findings(campaign, id, action, category, eligibility, severity, path) with ordinal and depends_on.
+
+    action, category, eligibility and severity are ranks, lowest first; then path and id decide. A finding depends on those of
+    its path that come before it, in their order.
+    """
+    place = ["action", "category", "eligibility", "severity", "path", "id"]
+    ordered = findings.withColumn("ordinal", F.row_number().over(Window.partitionBy("campaign").orderBy(*place)))
+    earlier = Window.partitionBy("campaign", "path").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
+    return ordered.select("campaign", "id", "ordinal", F.collect_list("id").over(earlier).alias("depends_on"))
+
+
+def follow_up(steps: DataFrame, needed: str = "source") -> DataFrame:
+    """steps(run_id, role, status): roles to run again of runs that failed and have nothing left to run, if `needed` was completed there."""
+    is_ = lambda s: F.max(F.col("status") == s)
+    runs = steps.groupBy("run_id").agg(is_("failed").alias("_failed"), is_("running").alias("_running"), is_("pending").alias("_pending"), F.max((F.col("role") == needed) & (F.col("status") == "completed")).alias("_ok"))
+    due = runs.filter("_failed AND NOT _running AND NOT _pending AND _ok").select("run_id")
+    return steps.filter("status <> 'completed'").join(due, "run_id").select("run_id", "role").distinct()

@@ -270,3 +270,70 @@ def walk_guard(spark, sf_dir):
 def consecutive_duplicates(spark, sf_dir):
     """Equal keys after a sort are equal keys anywhere: one aggregate, no sort."""
     return table(spark, sf_dir, "lineitem").select("l_suppkey", "l_returnflag", "l_linestatus").dropDuplicates()
+
+
+@register("stride_sample_files", """WITH e AS (SELECT event_type AS file, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS i FROM events),
+s AS (SELECT greatest(1, ceil(count(*) / 300))::BIGINT AS s FROM e), r AS (SELECT file, event_id, row_number() OVER (ORDER BY file, i) AS k FROM e, s WHERE i % s = 0) SELECT file, event_id FROM r WHERE k <= 300""")
+def stride_sample_files(spark, sf_dir):
+    """Event types stand for files; in a Parquet scan file and place come from _metadata."""
+    from pyspark.sql import Window
+
+    from quarrylight.sources.sampling import stride_sample_files as sample
+
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("file"), "event_id")
+    placed = e.withColumn("i", F.row_number().over(Window.partitionBy("file").orderBy("event_id")) - 1)
+    return sample(placed, "file", "i", 300).select("file", "event_id")
+
+
+@register("fenced_by_hash", "SELECT a.doc_id FROM documents a JOIN (SELECT doc_id, sha256(CASE WHEN n_chars < 300 THEN text || 'x' ELSE text END) AS h, source NOT LIKE '%1' AS live FROM documents) b USING (doc_id) WHERE sha256(a.text) = b.h AND b.live")
+def fenced_by_hash(spark, sf_dir):
+    """Relations recorded against a text count only while that file is active and its content is the same."""
+    d = table(spark, sf_dir, "documents")
+    now = d.select("doc_id", F.sha2(F.when(F.col("n_chars") < 300, F.concat("text", F.lit("x"))).otherwise(F.col("text")), 256).alias("h"), (~F.col("source").endswith("1")).alias("live"))
+    return d.select("doc_id", F.sha2("text", 256).alias("h")).join(now.filter("live"), ["doc_id", "h"]).select("doc_id")
+
+
+_RANKS = "CASE o_orderstatus WHEN 'O' THEN 0 WHEN 'P' THEN 1 ELSE 2 END AS action, o_orderkey % 3 AS category, o_orderkey % 4 AS eligibility, left(o_orderpriority, 1)::INTEGER AS severity, 'f' || o_orderkey % 5 AS path"
+
+
+@register("campaign_order", f"""WITH f AS (SELECT o_custkey AS campaign, o_orderkey AS id, {_RANKS} FROM orders), o AS (SELECT campaign, id, path, row_number() OVER (PARTITION BY campaign ORDER BY action, category, eligibility, severity, path, id) AS ordinal FROM f)
+SELECT campaign, id, ordinal, coalesce((SELECT list(b.id ORDER BY b.ordinal) FROM o b WHERE b.campaign = o.campaign AND b.path = o.path AND b.ordinal < o.ordinal), []) AS depends_on FROM o""")
+def campaign_order(spark, sf_dir):
+    from quarrylight.operators.workflow import campaign_order as order
+
+    s, k = F.col("o_orderstatus"), F.col("o_orderkey")
+    ranks = {"action": F.when(s == "O", 0).when(s == "P", 1).otherwise(2), "category": k % 3, "eligibility": k % 4, "severity": F.substring("o_orderpriority", 1, 1).cast("int"), "path": F.concat(F.lit("f"), (k % 5).cast("string"))}
+    return order(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("campaign"), k.alias("id"), *[c.alias(n) for n, c in ranks.items()]))
+
+
+@register("follow_up_plan", """WITH s AS (SELECT l_orderkey AS run_id, CASE l_linenumber WHEN 1 THEN 'source' ELSE 'r' || l_linenumber END AS role, CASE WHEN l_linestatus = 'F' THEN 'completed' WHEN l_returnflag = 'N' AND l_quantity > 45 THEN 'running' ELSE 'failed' END AS status FROM lineitem),
+d AS (SELECT run_id FROM s GROUP BY 1 HAVING bool_or(status = 'failed') AND NOT bool_or(status = 'running') AND bool_or(role = 'source' AND status = 'completed')) SELECT DISTINCT run_id, role FROM s JOIN d USING (run_id) WHERE status <> 'completed'""")
+def follow_up_plan(spark, sf_dir):
+    from quarrylight.operators.workflow import follow_up
+
+    role = F.when(F.col("l_linenumber") == 1, "source").otherwise(F.concat(F.lit("r"), F.col("l_linenumber").cast("string")))
+    status = F.when(F.col("l_linestatus") == "F", "completed").when((F.col("l_returnflag") == "N") & (F.col("l_quantity") > 45), "running").otherwise("failed")
+    return follow_up(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("run_id"), role.alias("role"), status.alias("status")))
+
+
+@register("findings_filtered", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' AND o_orderpriority = '2-HIGH' AND contains(lower(o_orderpriority), 'high') AND o_totalprice >= 1000 ORDER BY o_orderpriority, o_orderkey LIMIT 200")
+def findings_filtered(spark, sf_dir):
+    """Six optional filters, of which three are given, a text sought, a bound and a limit."""
+    o = R.where_given(table(spark, sf_dir, "orders"), o_orderstatus="O", o_orderpriority="2-HIGH", o_custkey=None, o_orderkey=None, o_orderdate=None)
+    return o.filter(I.any_like("HIGH", "o_orderpriority") & (F.col("o_totalprice") >= 1000)).orderBy("o_orderpriority", "o_orderkey").limit(R.clamp(200, 500)).select("o_orderkey")
+
+
+@register("rules_listed", values("analyzer string, rules long", [("lines", 19), ("secrets", 15), ("sql", 3)]))
+def rules_listed(spark, sf_dir):
+    from quarrylight.operators.rules import LINE_RULES
+    from quarrylight.operators.secrets import RULES
+
+    rows = [("lines", r[0]) for r in LINE_RULES] + [("secrets", r[0]) for r in RULES] + [("sql", r) for r in ("sql.destructive_ddl", "sql.unbounded_write", "sql.foreign_keys_off")]
+    return spark.createDataFrame(rows, "analyzer string, rule string").groupBy("analyzer").agg(F.countDistinct("rule").alias("rules"))
+
+
+@register("sql_statements", values("path string, line long, statement string", [("a.sql", 1, "SELECT ''"), ("a.sql", 2, "DELETE FROM t")]))
+def sql_statements(spark, sf_dir):
+    from quarrylight.operators.rules import sql_statements as split
+
+    return split(spark.createDataFrame([("a.sql", "SELECT 'a;b' -- c;\n; DELETE FROM t /* ; */;")], "path string, text string"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,12 +46,14 @@ def maintain_findings(events: DataFrame, keys: list[str], checkpoint: str | None
     base = f"{checkpoint.rstrip('/')}-findings"
 
     def snapshots() -> list[int]:
-        """Numbers of the finished snapshots, from the folder's listing."""
-        found = spark.read.format("binaryFile").option("pathGlobFilter", "_SUCCESS").option("recursiveFileLookup", "true")
-        folder = spark._jvm.org.apache.hadoop.fs.Path(base)
-        if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-            return []
-        return sorted(int(r["path"].rstrip("/").split("/")[-2]) for r in found.load(base + "/*/").select("path").collect())
+        """Numbers of the snapshots, from the folder's listing. One before the running batch is whole: its batch was committed."""
+        try:
+            files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(f"{base}/*/")
+        except AnalysisException as e:
+            if e.getCondition() == "PATH_NOT_FOUND":
+                return []
+            raise
+        return sorted(r["n"] for r in files.select(F.regexp_extract("path", "/([0-9]{8})/[^/]*$", 1).cast("int").alias("n")).distinct().collect())
 
     def merge(batch: DataFrame, number: int) -> None:
         s = batch.sparkSession

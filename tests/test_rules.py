@@ -26,7 +26,8 @@ def test_docker_and_compose(spark):
 
 
 def test_lines(spark):
-    assert found(R.line_findings(files(spark, a__py="# eval(x)\neval(x)\n", b__js="el.innerHTML = x\nos.system(1)")), "path", "line", "rule") == [("a.py", 2, "py.eval"), ("b.js", 1, "js.inner_html")]
+    df = files(spark, a__py="# app.run(debug=True)\napp.run(debug=True)\n", b__js="el.innerHTML = req.query.a\nos.system(1)\n  * el.innerHTML = req.query.a", c__php="echo $_GET['a'];", d__txt="csrf: FALSE")
+    assert found(R.line_findings(df), "path", "line", "rule") == [("a.py", 2, "web.debug.enabled"), ("b.js", 1, "web.xss.request_to_html"), ("c.php", 1, "web.xss.request_to_html"), ("d.txt", 1, "web.csrf.disabled")]
 
 
 def test_taint(spark):
