@@ -63,9 +63,28 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/quarrylight/{uuid.uuid4().hex}/{name}"
 
 
-def settle(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a scratch folder, through the file system that holds it."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def settle(df: DataFrame, name: str = "t", instead_of: DataFrame | None = None) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    instead_of: a settled table that nothing will read again; its folder goes when df is written.
+    """
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled_at = path
+    if instead_of is not None:
+        release(instead_of)
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Drop the folders of settled tables that nothing will read again."""
+    for t in tables:
+        discard(t.sparkSession, t._settled_at)
