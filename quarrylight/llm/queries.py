@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quarrylight.llm.chat import ORACLE as CHAT_ORACLE
+from quarrylight.llm.divergence import ORACLE as DIVERGENCE_ORACLE
 from quarrylight.session import table, workers_find_us
 
 
@@ -78,6 +79,26 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrylight.llm.divergence import source_divergence
+
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrylight.llm.vector_codes import compress_vectors
+
+    workers_find_us(spark)
+    return compress_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrylight.llm.simhash import simhash_groups
+
+    workers_find_us(spark)
+    return simhash_groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_chat_format": op2_chat_format,
@@ -89,5 +110,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op10_minhash": op10_minhash,
     "op9_licence_scan": op9_licence_scan,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_simhash": op13_simhash,
 }
-ORACLES: dict[str, str] = {"op2_chat_format": CHAT_ORACLE}
+ORACLES: dict[str, str] = {"op2_chat_format": CHAT_ORACLE, "op11_source_divergence": DIVERGENCE_ORACLE}
