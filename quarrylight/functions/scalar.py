@@ -118,30 +118,39 @@ def version_key(version: Column) -> Column:
     return F.struct(kept.alias("release"), F.when(released, 1).otherwise(0).alias("final"), pre.alias("pre"))
 
 
-def keyed_events(events: Column) -> Column:
-    """events array<struct<kind, value>> with each value's version_key, made once."""
-    return F.transform(events, lambda e: F.struct(e["kind"].alias("kind"), e["value"].alias("value"), version_key(e["value"]).alias("key")))
+#: what a range's events may do: open an interval or close it
+OPENS, CLOSES = "introduced", ["fixed", "limit", "last_affected"]
 
 
-def key_affected(key: Column, events: Column) -> Column:
-    """Whether a version_key lies in an interval of keyed_events, folded in their order."""
-    none = lambda x: F.when(F.lit(False), x)
-    after = lambda e: (e["value"] == "0") | (key >= e["key"])
+def intervals(events: Column) -> Column:
+    """array<struct<start, stop, inclusive>> of events array<struct<kind, value>>, in their order; null start or stop: unbounded.
 
-    def step(acc: Column, e: Column) -> Column:
-        below = F.when(e["kind"] == "last_affected", key <= e["key"]).otherwise(key < e["key"])
-        hit = acc["hit"] | F.coalesce(acc["open"].isNotNull() & after(acc["open"]) & below, F.lit(False))
-        opens = e["kind"] == "introduced"
-        return F.struct(F.when(opens, acc["hit"]).otherwise(hit).alias("hit"), F.when(opens, e).otherwise(none(e)).alias("open"))
+    An opening event followed by a closing one is an interval, one followed by nothing is open; one followed by another opening
+    event is overwritten, and a closing event without one before it closes nothing. Opening at "0" is before every version.
+    """
+    known = F.filter(events, lambda e: e["kind"].isin(OPENS, *CLOSES) & e["value"].isNotNull())
+    none = F.lit(None).cast("string")
 
-    start = F.struct(F.lit(False).alias("hit"), none(F.element_at(events, 1)).alias("open"))
-    state = F.aggregate(events, start, step)
-    return F.when(F.size(events) == 0, False).otherwise(let(state, lambda s: s["hit"] | (s["open"].isNotNull() & F.coalesce(after(s["open"]), F.lit(False)))))
+    def of(known: Column) -> Column:
+        def one(e: Column, i: Column) -> Column:
+            then = F.get(known, i + 1)
+            interval = F.struct(F.when(e["value"] != "0", e["value"]).otherwise(none).alias("start"), then["value"].alias("stop"), F.coalesce(then["kind"] == "last_affected", F.lit(True)).alias("inclusive"))
+            return F.when((e["kind"] == OPENS) & (then.isNull() | (then["kind"] != OPENS)), interval)
+
+        return F.array_compact(F.transform(known, one))
+
+    return let(known, of)
 
 
 def version_affected(version: Column, events: Column) -> Column:
     """Whether version lies in an interval of events array<struct<kind, value>>."""
-    return let(version_key(version), lambda k: let(keyed_events(events), lambda e: key_affected(k, e)))
+
+    def inside(key: Column) -> Column:
+        after = lambda i: i["start"].isNull() | (key >= version_key(i["start"]))
+        before = lambda i: i["stop"].isNull() | F.when(i["inclusive"], key <= version_key(i["stop"])).otherwise(key < version_key(i["stop"]))
+        return F.exists(intervals(events), lambda i: after(i) & before(i))
+
+    return let(version_key(version), inside)
 
 
 def cvss3_base_score(vector: Column) -> Column:

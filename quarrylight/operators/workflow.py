@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrylight.operators.intervals import overlap_groups
+from quarrylight.session import settle
+
 
 def ready_steps(steps: DataFrame, deps: DataFrame, slots: int = 2) -> DataFrame:
     """steps(run_id, position, status), deps(run_id, position, requires_position): the next steps each run may start.
@@ -62,6 +65,42 @@ def relationships(findings: DataFrame, validation: list[str]) -> DataFrame:
     return of_path.unionByName(of_endpoint).withColumn("confidence", confidence)
 
 
+def relationship_groups(findings: DataFrame, validation: list[str]) -> DataFrame:
+    """findings(id, path, category, endpoint, lo, hi): id, kind, group_id, members, links, confidence; at most a row per finding and kind.
+
+    The classes that `relationships` would write out as pairs, linear in the findings. SHARED_ROOT_CAUSE: one path and category;
+    the smallest id stands for the class and is linked to each of the others. SOURCE_OVERLAP: lines of a path that overlap, directly or
+    through others. RETEST_DEPENDENCY: one endpoint. VALIDATION_DEPENDENCY: a path with a category of `validation`, whose findings are
+    linked to all others there. POTENTIAL_CONFLICT: of one path, with neither an overlap nor a link to the class's representative.
+    links: how many findings this one is related to itself. Ids are unique; rows without a path or endpoint have no such class, and
+    findings without lines overlap nothing.
+    """
+    f = settle(findings.select("id", "path", "category", "endpoint", "lo", "hi", F.coalesce(F.col("category").isin(validation), F.lit(False)).alias("_v")), "findings")
+    first = lambda *keys: f.dropna(subset=list(keys)).groupBy(*keys).agg(F.min("id").alias("group_id"), F.count(F.lit(1)).alias("members"))
+    n = F.col("members")
+
+    roots = first("path", "category").filter(n > 1)
+    lead = f.select(F.col("id").alias("group_id"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
+    rooted = f.join(roots, ["path", "category"]).join(lead, "group_id")
+    meets = F.coalesce((F.col("lo") <= F.col("_hi")) & (F.col("_lo") <= F.col("hi")), F.lit(False))
+    rooted = settle(rooted.select("id", "group_id", "members", (F.col("id") == F.col("group_id")).alias("_lead"), meets.alias("_meets")), "rooted")
+    shared = rooted.select("id", "group_id", "members", F.when(F.col("_lead"), n - 1).otherwise(1).alias("links"))
+    # links to or from a representative that are no overlap: these are no conflicts
+    apart = rooted.filter("NOT _lead AND NOT _meets")
+    known = apart.select("id", F.lit(1).alias("_k")).unionByName(apart.select(F.col("group_id").alias("id"), F.lit(1).alias("_k"))).groupBy("id").agg(F.sum("_k").alias("_known"))
+
+    met = settle(overlap_groups(f, ["path"], "id").select("id", "group_id", "members", "links"), "overlaps")
+    ends = f.join(first("endpoint"), "endpoint").select("id", "group_id", "members", (n - 1).alias("links"))
+    paths = f.dropna(subset=["path"]).groupBy("path").agg(F.min("id").alias("group_id"), F.count(F.lit(1)).alias("members"), F.count_if("_v").alias("_checks"))
+    of_path = f.join(paths, "path")
+    checks = of_path.filter("_checks > 0").select("id", "group_id", "members", F.when(F.col("_v"), n - 1).otherwise(F.col("_checks")).alias("links"))
+    counted = of_path.join(met.select("id", F.col("links").alias("_met")), "id", "left").join(known, "id", "left")
+    conflicts = counted.select("id", "group_id", "members", (n - 1 - F.coalesce("_met", F.lit(0)) - F.coalesce("_known", F.lit(0))).alias("links"))
+    kinds = {"SHARED_ROOT_CAUSE": shared, "SOURCE_OVERLAP": met, "RETEST_DEPENDENCY": ends, "VALIDATION_DEPENDENCY": checks, "POTENTIAL_CONFLICT": conflicts}
+    rows = reduce(DataFrame.unionByName, [d.filter("links > 0").select("id", F.lit(k).alias("kind"), "group_id", "members", "links", F.lit(RELATIONS[k]).alias("confidence")) for k, d in kinds.items()])
+    return rows
+
+
 def risk_graph(findings: DataFrame, actor: str, endpoint: str, finding: str) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of actor -> endpoint -> finding, each once."""
     ends = [("actor", actor), ("endpoint", endpoint), ("finding", finding)]

@@ -86,14 +86,47 @@ def package_inventory(spark, sf_dir):
     return table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("name"), F.concat(F.col("p_size").cast("string"), F.lit(".0")).alias("version")).agg(F.count(F.lit(1)).alias("parts"))
 
 
-_ADVISORIES = [("ADV-1", "Brand#11", "10", "20"), ("ADV-2", "brand_22", "0", "5"), ("ADV-3", "Brand#33", "30", None)]
-
-
-@register("advisory_range_join", """SELECT DISTINCT p_brand AS name, p_size::VARCHAR || '.0' AS version, a.id AS advisory, 'range' AS basis FROM part JOIN
-(VALUES ('ADV-1', 'Brand#11', 10, 20), ('ADV-3', 'Brand#33', 30, 1000)) a(id, n, lo, hi) ON p_brand = a.n AND p_size >= lo AND p_size < hi""")
+# Versions are a.b.c, -beta of it or -rc.n of it; in SQL they are the integers that sort alike.
+_SORTED = lambda a, b, c, k, n: f"(((({a}) * 100 + ({b})) * 100 + ({c})) * 10 + CASE ({k}) % 4 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 3 END) * 100 + CASE WHEN ({k}) % 4 = 2 THEN ({n}) ELSE 0 END"
+_PART_VERSION = ("p_partkey % 5", "p_partkey % 11", "p_partkey % 3", "p_partkey", "p_partkey % 13")
+_FROM = ("(l_suppkey + l_linenumber) % 5", "l_quantity::BIGINT % 11", "l_suppkey % 3", "l_orderkey", "l_orderkey % 13")
+_TO = ("(l_suppkey + l_linenumber) % 5", "l_quantity::BIGINT % 11 + 1 + l_linenumber % 2", "0", "l_partkey", "l_partkey % 13")
+
+
+def _text(parts):
+    a, b, c, k, n = [F.expr(x.replace("l_quantity::BIGINT", "cast(l_quantity AS bigint)")) for x in parts]
+    end = F.when(k % 4 == 1, F.lit("-beta")).when(k % 4 == 2, F.concat(F.lit("-rc."), n.cast("string"))).otherwise("")
+    return F.concat(F.concat_ws(".", a.cast("string"), b.cast("string"), c.cast("string")), end)
+
+
+def _inventory(spark, sf_dir):
+    name = F.concat(F.col("p_brand"), F.lit("-"), F.col("p_size").cast("string"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.lit("PyPI").alias("ecosystem"), name.alias("name"), _text(_PART_VERSION).alias("version"))
+
+
+def _order_advisories(spark, sf_dir):
+    """An advisory for every order, in which each line affects its part's package, written in another way: one or two intervals, some open, some of every version so far."""
+    event = lambda kind, value: F.struct(kind.alias("kind"), value.alias("value"))
+    kind = F.when(F.col("l_returnflag") == "A", "fixed").when(F.col("l_returnflag") == "N", "limit").otherwise("last_affected")
+    start = F.when(F.col("l_orderkey") % 19 == 0, "0").otherwise(_text(_FROM))
+    later = F.when(F.col("l_linenumber") % 2 == 0, F.array(event(F.lit("introduced"), F.lit("9.0")), event(F.lit("fixed"), F.lit("9.2-rc.1")))).otherwise(F.array().cast("array<struct<kind:string,value:string>>"))
+    events = F.when(F.col("l_orderkey") % 17 == 0, F.array(event(F.lit("introduced"), start))).otherwise(F.concat(F.array(event(F.lit("introduced"), start), event(kind, _text(_TO))), later))
+    ranges = F.array(F.struct(F.when(F.col("l_orderkey") % 29 == 0, "GIT").otherwise("SEMVER").alias("type"), events.alias("events")))
+    listed = F.when(F.col("l_orderkey") % 7 == 0, F.array("version")).otherwise(F.array().cast("array<string>"))
+    package = F.struct("ecosystem", F.upper(F.translate("name", "-", "_")).alias("name"))
+    lines = table(spark, sf_dir, "lineitem").join(_inventory(spark, sf_dir), F.col("l_partkey") == F.col("p_partkey"))
+    affected = lines.groupBy("l_orderkey").agg(F.collect_list(F.struct(package.alias("package"), listed.alias("versions"), ranges.alias("ranges"))).alias("affected"))  # an order has at most seven lines
+    return affected.select(F.concat(F.lit("ADV-"), F.col("l_orderkey").cast("string")).alias("id"), F.when(F.col("l_orderkey") % 23 == 0, "2024-01-01").alias("withdrawn"), "affected")
+
+
+@register("advisory_range_join", f"""WITH inv AS (SELECT DISTINCT p_brand || '-' || p_size AS name, {_SORTED(*_PART_VERSION)} AS v FROM part),
+own AS (SELECT p_partkey, p_brand || '-' || p_size AS name, {_SORTED(*_PART_VERSION)} AS v FROM part),
+li AS (SELECT l_orderkey AS o, own.name, own.v AS listed, CASE WHEN l_orderkey % 19 = 0 THEN -1 ELSE {_SORTED(*_FROM)} END AS lo, CASE WHEN l_orderkey % 17 = 0 THEN 99999999999 ELSE {_SORTED(*_TO)} END AS hi, l_returnflag = 'R' OR l_orderkey % 17 = 0 AS incl
+  FROM lineitem JOIN own ON p_partkey = l_partkey WHERE l_orderkey % 23 <> 0),
+hit AS (SELECT inv.name, inv.v, o, CASE WHEN o % 7 = 0 AND inv.v = listed THEN 2 ELSE 1 END AS b FROM inv JOIN li ON li.name = inv.name AND ((o % 7 = 0 AND inv.v = listed) OR (o % 29 <> 0 AND inv.v >= lo AND (inv.v < hi OR (incl AND inv.v = hi)))))
+SELECT name, ((v // 10000000))::VARCHAR || '.' || (v // 100000 % 100)::VARCHAR || '.' || (v // 1000 % 100)::VARCHAR || CASE v // 100 % 10 WHEN 1 THEN '-beta' WHEN 2 THEN '-rc.' || (v % 100)::VARCHAR ELSE '' END AS version, 'ADV-' || o AS advisory, CASE max(b) WHEN 2 THEN 'exact_version' ELSE 'range' END AS basis FROM hit GROUP BY name, v, o""")
 def advisory_range_join(spark, sf_dir):
-    from quarrylight.operators.advisories import ADVISORY_SCHEMA, match_advisories
+    """Thousands of advisories over the packages of all parts: intervals stabbed by versions, in an order where pre-releases come before releases."""
+    from quarrylight.operators.advisories import match_advisories
 
-    rows = [(i, None, [((("PyPI", n)), [], [("ECOSYSTEM", [("introduced", lo)] + ([("fixed", hi)] if hi else []))])]) for i, n, lo, hi in _ADVISORIES]
-    inventory = table(spark, sf_dir, "part").select(F.lit("PyPI").alias("ecosystem"), F.col("p_brand").alias("name"), F.concat(F.col("p_size").cast("string"), F.lit(".0")).alias("version"))
-    return match_advisories(inventory, spark.createDataFrame(rows, ADVISORY_SCHEMA)).select("name", "version", "advisory", "basis")
+    return match_advisories(_inventory(spark, sf_dir), _order_advisories(spark, sf_dir)).select("name", "version", "advisory", "basis")

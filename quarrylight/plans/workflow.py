@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from quarrylight.operators import workflow as W
+from quarrylight.operators.intervals import overlap_groups as overlap_groups_of
 from quarrylight.plans.relational import _RANK_SQL, ranked
 from quarrylight.registry import register
 from quarrylight.session import table
@@ -48,6 +49,38 @@ def finding_relationships(spark, sf_dir):
     return W.relationships(f, ["A"])
 
 
+_CAMPAIGN = "f AS (SELECT l_orderkey * 10 + l_linenumber AS id, min(l_partkey) AS path, min(l_returnflag) AS category, min(l_suppkey) * 1000 + l_orderkey % 97 AS endpoint, l_orderkey % 400 AS lo, l_orderkey % 400 + max(l_quantity)::BIGINT AS hi FROM lineitem GROUP BY l_orderkey, l_linenumber)"
+_ISLANDS = """isl AS (SELECT *, sum(fresh) OVER (PARTITION BY path ORDER BY lo, hi, id) AS g FROM (SELECT *, CASE WHEN lo <= max(hi) OVER (PARTITION BY path ORDER BY lo, hi, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM f)),
+og AS (SELECT id, min(id) OVER (PARTITION BY path, g) AS group_id, count(*) OVER (PARTITION BY path, g) AS members FROM isl)"""
+
+
+def _campaign(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("path"), F.min("l_returnflag").alias("category"), F.min("l_suppkey").alias("s"), F.max("l_quantity").alias("q"))
+    lo = F.col("l_orderkey") % 400
+    return li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), "path", "category", (F.col("s") * 1000 + F.col("l_orderkey") % 97).alias("endpoint"), lo.alias("lo"), (lo + F.col("q").cast("long")).alias("hi"))
+
+
+@register("finding_relationship_groups", f"""WITH {_CAMPAIGN}, {_ISLANDS}, lead AS (SELECT path, category, min(id) AS lead FROM f GROUP BY 1, 2),
+k AS (SELECT f.*, lead FROM f JOIN lead ON lead.path = f.path AND lead.category = f.category),
+j AS (SELECT a.id AS x, b.id AS y, a.lo <= b.hi AND b.lo <= a.hi AS o, a.lead = b.lead AND (a.id = a.lead OR b.id = b.lead) AS s, a.category = 'A' OR b.category = 'A' AS v FROM k a JOIN k b ON a.path = b.path AND a.id <> b.id),
+p AS (SELECT x AS id, unnest(list_filter([CASE WHEN s THEN 'SHARED_ROOT_CAUSE' END, CASE WHEN o THEN 'SOURCE_OVERLAP' WHEN NOT s THEN 'POTENTIAL_CONFLICT' END, CASE WHEN v THEN 'VALIDATION_DEPENDENCY' END], lambda t: t IS NOT NULL)) AS kind FROM j
+  UNION ALL SELECT a.id, 'RETEST_DEPENDENCY' FROM f a JOIN f b ON a.endpoint = b.endpoint AND a.id <> b.id),
+n AS (SELECT id, kind, count(*) AS links FROM p GROUP BY 1, 2),
+c AS (SELECT id, min(id) OVER (PARTITION BY path) AS pg, count(*) OVER (PARTITION BY path) AS pn, min(id) OVER (PARTITION BY path, category) AS rg, count(*) OVER (PARTITION BY path, category) AS rn, min(id) OVER (PARTITION BY endpoint) AS eg, count(*) OVER (PARTITION BY endpoint) AS en FROM f)
+SELECT n.id, kind, links, CASE kind WHEN 'SHARED_ROOT_CAUSE' THEN rg WHEN 'SOURCE_OVERLAP' THEN og.group_id WHEN 'RETEST_DEPENDENCY' THEN eg ELSE pg END AS group_id, CASE kind WHEN 'SHARED_ROOT_CAUSE' THEN rn WHEN 'SOURCE_OVERLAP' THEN og.members WHEN 'RETEST_DEPENDENCY' THEN en ELSE pn END AS members,
+CASE kind WHEN 'SHARED_ROOT_CAUSE' THEN 0.92 WHEN 'SOURCE_OVERLAP' THEN 0.88 WHEN 'RETEST_DEPENDENCY' THEN 0.75 WHEN 'POTENTIAL_CONFLICT' THEN 0.72 ELSE 0.66 END::DOUBLE AS confidence FROM n JOIN c ON c.id = n.id JOIN og ON og.id = n.id""")
+def finding_relationship_groups(spark, sf_dir):
+    """Campaign classes without their pairs: each finding's representative, class size and own links by kind."""
+    return W.relationship_groups(_campaign(spark, sf_dir), ["A"])
+
+
+@register("overlap_groups", f"""WITH {_CAMPAIGN}, {_ISLANDS}, n AS (SELECT a.id, count(b.id) AS links FROM f a LEFT JOIN f b ON b.path = a.path AND b.id <> a.id AND b.lo <= a.hi AND a.lo <= b.hi GROUP BY 1)
+SELECT path, f.id, lo, hi, group_id, members, links FROM f JOIN og ON og.id = f.id JOIN n ON n.id = f.id""")
+def overlap_groups(spark, sf_dir):
+    """Line ranges of a file that overlap, as groups: a sweep with a running maximum instead of the pairs."""
+    return overlap_groups_of(_campaign(spark, sf_dir), ["path"], "id")
+
+
 @register("risk_graph_edges", """SELECT DISTINCT user_id::VARCHAR AS source, event_type AS target, 'reaches' AS kind FROM events UNION SELECT DISTINCT event_type, event_id::VARCHAR, 'exposes' FROM events""")
 def risk_graph_edges(spark, sf_dir):
     return W.risk_graph(table(spark, sf_dir, "events"), "user_id", "event_type", "event_id")[1]
