@@ -67,6 +67,16 @@ def vector_topk(spark, sf_dir):
     return scored.filter("score > 0").orderBy(F.desc("score"), "vec_id").limit(25)
 
 
+@register("vector_topk_batch", """WITH s AS (SELECT q.vec_id AS query, e.vec_id AS id, round(list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 5) AS score FROM embeddings q JOIN embeddings e ON e.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0)
+SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS place FROM s WHERE score > 0 QUALIFY place <= 25""")
+def vector_topk_batch(spark, sf_dir):
+    """The 25 nearest rows of every vector whose id is divisible by 100."""
+    from quarrylight.operators.vectors import top_k
+
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return top_k(e, e.filter("id % 100 = 0"))
+
+
 @register("vector_check", "SELECT label, count(*) AS n, count(*) FILTER (abs(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) - 1) > 0.001) AS not_unit, 0::BIGINT AS invalid FROM embeddings GROUP BY 1")
 def vector_check(spark, sf_dir):
     v = F.col("embedding")
