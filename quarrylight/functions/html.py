@@ -1,9 +1,7 @@
-"""Links, forms and response rules over html text, as regular expressions in the JVM."""
+"""Links, API descriptions and response rules over html text, as regular expressions in the JVM. Forms and scripts: operators/pages.py."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,22 +44,6 @@ def links(html: Column, base: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.transform(found, resolve), lambda u: u.rlike("^https?://"))))
 
 
-def _scripts(html: Column) -> Column:
-    return F.regexp_extract_all(html, F.lit(r"(?is)<script\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>(.*?)</script>"), 1)
-
-
-def script_sources(html: Column) -> Column:
-    return F.filter(F.transform(F.regexp_extract_all(html, F.lit(r"(?is)(<script\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>)"), 1), lambda t: F.regexp_extract(t, r"""(?is)\ssrc\s*=\s*["']?([^"'\s>]+)""", 1)), lambda s: s != "")
-
-
-def script_calls(html: Column) -> Column:
-    """array<struct<method, target>> of fetch and axios calls with a literal first argument in inline scripts, in order; templates are left out."""
-    call = r"""\b(?:fetch|axios\.(get|post|put|patch|delete))\s*\(\s*(?:'([^'\\\n]*)'|"([^"\\\n]*)")"""
-    of = lambda code, k: F.regexp_extract_all(code, F.lit(call), k)
-    rows = lambda code: F.zip_with(of(code, 1), F.zip_with(of(code, 2), of(code, 3), lambda a, b: F.concat(a, b)), lambda m, t: F.struct(F.when(m == "", "GET").otherwise(F.upper(m)).alias("method"), t.alias("target")))
-    return F.flatten(F.transform(_scripts(html), rows))
-
-
 _OPERATIONS = "map<string,struct<get:struct<parameters:array<struct<name:string,`in`:string>>>, post:struct<parameters:array<struct<name:string,`in`:string>>>, put:struct<parameters:array<struct<name:string,`in`:string>>>, patch:struct<parameters:array<struct<name:string,`in`:string>>>, delete:struct<parameters:array<struct<name:string,`in`:string>>>>>"
 _METHODS = ["get", "post", "put", "patch", "delete"]
 
@@ -79,26 +61,6 @@ def openapi_operations(documents: DataFrame) -> DataFrame:
     return rows.select(F.concat(F.rtrim("server", F.lit("/")), "path").alias("url"), F.col("o.method").alias("method"), names.alias("parameters"))
 
 
-def forms(html: Column) -> Column:
-    """array<struct<action, method, controls, hidden>> of every form."""
-    attr = lambda tag, name: F.regexp_extract(tag, rf"""(?is)\s{name}\s*=\s*["']?([^"'\s>]*)""", 1)
-    blocks = F.regexp_extract_all(html, F.lit(r"(?is)(<form\b.*?</form>)"), 1)
-
-    def one(f: Column) -> Column:
-        head = F.regexp_extract(f, r"(?is)^(<form\b[^>]*>)", 1)
-        inputs = F.regexp_extract_all(f, F.lit(r"(?is)(<(?:input|select|textarea)\b[^>]*>)"), 1)
-        names = lambda tags: F.filter(F.transform(tags, lambda t: attr(t, "name")), lambda n: n != "")
-        method = F.upper(attr(head, "method"))
-        return F.struct(attr(head, "action").alias("action"), F.when(method == "", "GET").otherwise(method).alias("method"), names(inputs).alias("controls"), names(F.filter(inputs, lambda t: F.lower(attr(t, "type")) == "hidden")).alias("hidden"))
-
-    return F.transform(blocks, one)
-
-
-def csrf_review(found: Column) -> Column:
-    """Forms that change state and have no hidden field named like a token."""
-    return F.filter(found, lambda f: f["method"].isin("POST", "PUT", "PATCH", "DELETE") & ~F.exists(f["hidden"], lambda h: F.lower(h).rlike("csrf|xsrf|token|nonce")))
-
-
 def response_findings(status: Column, headers: Column, cookies: Column, body: Column, url: Column) -> Column:
     """array<string> of passive findings of a recorded response; header names are lower case."""
     has = lambda h: F.map_contains_key(headers, F.lit(h))
@@ -117,15 +79,6 @@ def response_findings(status: Column, headers: Column, cookies: Column, body: Co
     return F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in rules.items()]))
 
 
-def reflection_context(before: Column) -> Column:
-    """Where text after `before` would land: script, attribute, inert (comment, textarea, title, style) or markup."""
-    low = F.lower(before)
-    last = lambda p: F.length(low) - F.length(F.regexp_extract(low, rf"(?s)^.*{p}(.*)$", 1))
-    opened = lambda a, z: low.rlike(f"(?s){a}") & (~low.rlike(f"(?s){z}") | (last(a) > last(z)))
-    inert = reduce(lambda x, y: x | y, [opened("<!--", "-->"), *[opened(f"<{t}[^>]*>", f"</{t}>") for t in ("textarea", "title", "style", "noscript")]])
-    return F.when(inert, "inert").when(opened("<script[^>]*>", "</script>"), "script").when(low.rlike(r"(?s)<[a-z][^<>]*$"), "attribute").otherwise("markup")
-
-
 def application_map(pages: DataFrame) -> DataFrame:
     """pages(url, html) by first path segment, title-cased: pages, and how many have a form, an API path, parameters, a sign-in path."""
     area = title_case(F.regexp_extract("url", "^[a-z]+://[^/]+/([^/?#]*)", 1))

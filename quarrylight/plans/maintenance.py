@@ -7,7 +7,6 @@ from quarrylight.operators import integrity as I
 from quarrylight.operators import joins as J
 from quarrylight.operators import lifecycle as L
 from quarrylight.operators import secrets
-from quarrylight.plans.cases import values
 from quarrylight.registry import register
 from quarrylight.session import table
 
@@ -79,24 +78,6 @@ def unproven_fixes(spark, sf_dir):
     return I.unproven(attempts, retests, results)
 
 
-_PLANS = [
-    (1, 0, "scout", "map", []), (1, 1, "source", "read", ["scout"]), (1, 2, "report", "write", ["source"]),
-    (2, 0, "scout", "map", []),
-    (3, 0, "source", "read", []), (3, 1, "scout", "map", ["source"]),
-    (4, 0, "scout", "", []), (4, 1, "source", "read", ["scout"]), (4, 2, "database", "db", ["report", "database"]), (4, 3, "report", "w", ["source", "source"]),
-    (5, 0, "scout", "m", []), (5, 1, "source", "r", ["scout"]), (5, 2, "source", "r", ["scout"]), (5, 3, "magic", "x", ["source"]),
-]
-
-
-@register("plan_violations", values("plan_id long, rule string, role string", [
-    (2, "size", None), (2, "mandatory", "source"), (3, "second_dependency", "source"), (3, "first_has_dependency", "scout"), (3, "role_order", "scout"),
-    (4, "objective", "scout"), (4, "dependency", "database"), (4, "dependency_order", "database"), (4, "later_dependency", "database"), (4, "dependency", "report"),
-    (5, "duplicate_role", "source"), (5, "duplicate_role", "source"), (5, "role_order", "source"), (5, "unknown_role", "magic"), (5, "role_order", "magic"),
-]))
-def plan_violations(spark, sf_dir):
-    return I.plan_violations(spark.createDataFrame(_PLANS, "plan_id long, position int, role string, objective string, depends_on array<string>"))
-
-
 @register("overflow_guard", "SELECT least(count(*), 101) AS n, count(*) > 100 AS overflow FROM orders")
 def overflow_guard(spark, sf_dir):
     return I.over_rows(table(spark, sf_dir, "orders"), 100)
@@ -184,31 +165,6 @@ def interrupted_steps(spark, sf_dir):
 
 # ------------------------------------------------------------------ imports
 
-_IMPORTS = [(1, "src/a.ts", "TypeScript", "./b"), (2, "src/a.ts", "TypeScript", "../lib"), (3, "src/a.ts", "TypeScript", "react"), (4, "src/a.ts", "TypeScript", "../../x"), (5, "pkg/m/a.py", "Python", ".util"), (6, "pkg/m/a.py", "Python", "..core.db"), (7, "pkg/m/a.py", "Python", "os"), (8, "src/a.ts", "TypeScript", "./none"), (9, "a.py", "Python", ".")]
-_FILES = ["src/b.tsx", "src/b.js", "lib/index.ts", "pkg/m/util.py", "pkg/core/db/__init__.py", "__init__.py"]
-
-
-@register("imports_resolved", values("id long, target string, state string", [(1, "src/b.tsx", "resolved_local"), (2, "lib/index.ts", "resolved_local"), (3, None, "external"), (4, None, "unresolved"), (5, "pkg/m/util.py", "resolved_local"), (6, "pkg/core/db/__init__.py", "resolved_local"), (7, None, "external"), (8, None, "unresolved"), (9, None, "unresolved")]))
-def imports_resolved(spark, sf_dir):
-    rows = spark.createDataFrame(_IMPORTS, "id long, source string, language string, specifier string").withColumn("c", J.import_candidates(F.col("source"), F.col("language"), F.col("specifier")))
-    hit = J.first_match(rows, spark.createDataFrame([(f,) for f in _FILES], "target string"), "id", "c", "target")
-    state = F.when(F.col("c").isNull(), "external").when(F.col("target").isNotNull(), "resolved_local").otherwise("unresolved")
-    return rows.select("id", "c").join(hit.select("id", "target"), "id").select("id", "target", state.alias("state"))
-
-
-@register("bindings_resolved", values("route_id long, handler_id long, state string", [(1, 10, "resolved"), (2, 20, "resolved"), (3, None, "ambiguous"), (4, None, "unresolved"), (5, None, "unbound"), (6, 11, "resolved")]))
-def bindings_resolved(spark, sf_dir):
-    routes = spark.createDataFrame([(1, "r.ts", "list"), (2, "r.ts", "only"), (3, "r.ts", "many"), (4, "r.ts", "gone"), (5, "r.ts", "free"), (6, "r.ts", "twice")], "route_id long, file string, handler string")
-    bindings = spark.createDataFrame([("r.ts", 0, "list", "listUsers", "u.ts"), ("r.ts", 1, "only", "default", "o.ts"), ("r.ts", 2, "many", "*", "u.ts"), ("r.ts", 3, "gone", "dropped", "u.ts"), ("r.ts", 4, "twice", "addUser", "u.ts"), ("r.ts", 5, "twice", "default", "o.ts")], "file string, ordinal int, local string, imported string, target_file string")
-    handlers = spark.createDataFrame([("u.ts", "listUsers", 10), ("u.ts", "addUser", 11), ("o.ts", "main", 20)], "file string, name string, handler_id long")
-    return J.resolve_bindings(routes, bindings, handlers)
-
-
-@register("parameter_overlap", values("a array<string>, b array<string>, result array<string>", [(["Id", "q", "Page"], ["ID", "page", "x"], ["id", "page"]), ([], ["a"], []), (["a"], ["b"], [])]))
-def parameter_overlap(spark, sf_dir):
-    df = spark.createDataFrame([(["Id", "q", "Page"], ["ID", "page", "x"]), ([], ["a"]), (["a"], ["b"])], "a array<string>, b array<string>")
-    return df.select("a", "b", J.parameter_overlap(F.col("a"), F.col("b")).alias("result"))
-
 
 @register("import_self_join", """SELECT DISTINCT a.l_suppkey AS source, b.l_suppkey AS target FROM lineitem i JOIN lineitem a ON a.l_orderkey = i.l_orderkey AND a.l_linenumber = i.l_linenumber JOIN lineitem b ON b.l_orderkey = i.l_orderkey AND b.l_linenumber = i.l_linenumber + 1 WHERE a.l_linestatus = b.l_linestatus""")
 def import_self_join(spark, sf_dir):
@@ -238,17 +194,6 @@ def nesting_depth_deep(spark, sf_dir):
     return G.ancestor_depth(table(spark, sf_dir, "part").select(k.alias("node"), F.when(k > 0, k - 1).alias("parent")))
 
 
-_RING = [(1, 2), (2, 3), (3, 4), (1, 3), (4, 5), (6, 7), (7, 6), (8, 8)]
-
-
-@register("graph_inference", values("relation string, node long, path array<long>", [
-    ("descendant", 3, [2, 3]), ("descendant", 4, [2, 3, 4]), ("descendant", 5, [2, 3, 4, 5]), ("ancestor", 1, [2, 1]),
-    ("orphan", 6, None), ("orphan", 7, None), ("orphan", 8, None), ("cyclic", 6, None), ("cyclic", 7, None), ("cyclic", 8, None),
-]))
-def graph_inference(spark, sf_dir):
-    return G.inference(spark.range(1, 10).select(F.col("id").alias("node")).filter("node < 9"), spark.createDataFrame(_RING, "source long, target long"), 2)
-
-
 @register("shortest_paths", """WITH RECURSIVE e AS (SELECT DISTINCT p_partkey AS source, p_partkey // (2 + p_size % 3) AS target FROM part WHERE p_partkey // (2 + p_size % 3) > 0),
 w AS (SELECT p_partkey AS node, 0 AS depth FROM part WHERE p_size = 50 UNION SELECT e.target, w.depth + 1 FROM w JOIN e ON e.source = w.node) SELECT node, min(depth) AS depth FROM w GROUP BY 1""")
 def shortest_paths(spark, sf_dir):

@@ -6,7 +6,6 @@ from quarrylight.functions import html as H
 from quarrylight.operators import evaluation as E
 from quarrylight.operators import integrity as I
 from quarrylight.operators import relational as R
-from quarrylight.plans.cases import values
 from quarrylight.registry import register
 from quarrylight.session import table
 
@@ -59,22 +58,6 @@ def inference_history(spark, sf_dir):
     return e.orderBy(F.desc("ts"), F.desc("event_id")).limit(100).select("event_id", "event_type", "value")
 
 
-_MODELS = [("b", "2", ["scan", "rank"], True), ("a", "1", ["scan"], True), ("a", "2", ["scan"], False), ("c", "1", ["rank"], False)]
-
-
-@register("models_routed", values("action string, id string, version string, place int", [("scan", "a", "1", 1), ("scan", "b", "2", 2), ("rank", "b", "2", 1)]))
-def models_routed(spark, sf_dir):
-    """Ready models of every action, by id and version."""
-    m = spark.createDataFrame(_MODELS, "id string, version string, actions array<string>, ready boolean").filter("ready").select(F.explode("actions").alias("action"), "id", "version")
-    return R.top_per_key(m, ["action"], [F.col("id"), F.col("version")], 25, "place").select("action", "id", "version", "place")
-
-
-@register("models_status", values("any_ready boolean, installed long, ready long", [(True, 4, 2)]))
-def models_status(spark, sf_dir):
-    m = spark.createDataFrame(_MODELS, "id string, version string, actions array<string>, ready boolean")
-    return m.agg(F.bool_or("ready").alias("any_ready"), F.count(F.lit(1)).alias("installed"), F.count_if("ready").alias("ready"))
-
-
 _TOOLS = [("quality", "index", None), ("graph", "index", None), ("deps", None, None), ("review", "index", "quality")]
 
 
@@ -94,13 +77,6 @@ def memory_search(spark, sf_dir):
     return table(spark, sf_dir, "conversations").filter(I.any_like("AN", "text", "role")).select("conv_id", "turn")
 
 
-@register("memory_search_literal", values("id long", [(1,), (3,)]))
-def memory_search_literal(spark, sf_dir):
-    """% and _ of the text sought stand for themselves."""
-    df = spark.createDataFrame([(1, "saved 100%_x", None), (2, "saved 100 x", "y"), (3, None, "A 100%_X b"), (4, None, None)], "id long, a string, b string")
-    return df.filter(I.any_like("100%_x", "a", "b")).select("id")
-
-
 @register("fix_attempts", """SELECT l_orderkey AS finding, count(*) AS attempts, count(*) >= 3 AS limit_reached, bool_and(l_linestatus = 'F') AS all_passed, bool_or(l_returnflag = 'R') AS any_failed,
 CASE WHEN bool_or(l_returnflag = 'R') THEN 'failed' WHEN bool_and(l_linestatus = 'F') THEN 'passed' ELSE 'partial' END AS validation FROM lineitem GROUP BY 1""")
 def fix_attempts(spark, sf_dir):
@@ -180,18 +156,6 @@ def test_plan_operations(spark, sf_dir):
     return test_plan(endpoints, categories)
 
 
-_ROUTES = [(1, "users", "/:id"), (2, "lone", "x/"), (3, "loop", "/l")]
-_MOUNTS = [("users", "api", "/users"), ("api", "app", "/api/v1"), ("users", "admin", "/admin/"), ("loop", "back", "/b"), ("back", "loop", "/c")]
-
-
-@register("mounts_expanded", values("route_id long, full string", [(1, "/api/v1/users/:id"), (1, "/admin/:id"), (2, "/x")]))
-def mounts_expanded(spark, sf_dir):
-    """Routes whose routers mount each other in a circle reach no application and have no path."""
-    from quarrylight.operators.workflow import expand_mounts
-
-    return expand_mounts(spark.createDataFrame(_ROUTES, "route_id long, router string, template string"), spark.createDataFrame(_MOUNTS, "child string, parent string, prefix string"))
-
-
 @register("bill_of_materials", """WITH g AS (SELECT lower(p_brand) AS name, p_size || '.1.0' AS version, bool_and(p_type LIKE '%STEEL%') AS dev FROM part GROUP BY 1, 2)
 SELECT 'npm' AS ecosystem, name, version, CASE WHEN dev THEN 'optional' ELSE 'required' END AS scope, 'pkg:npm/' || replace(name, '#', '%23') || '@' || version AS purl FROM g""")
 def bill_of_materials(spark, sf_dir):
@@ -224,48 +188,6 @@ def scan_report(spark, sf_dir):
     return j.groupBy(F.col("o_orderpriority").alias("severity")).agg(F.count(F.lit(1)).alias("findings"), F.coalesce(F.sum("n"), F.lit(0)).alias("evidence"), F.max("o_totalprice").alias("worst"))
 
 
-_ADVISORIES = [("A", None, [("1.0.0", "1.5.0")]), ("B", None, [("2.0.0-rc.1", None)]), ("C", "2024-01-01", [("0", None)])]
-
-
-@register("advisory_versions", values("version string, advisory string", [("1.0.0", "A"), ("1.4.9", "A"), ("1.5.0-beta", "A"), ("1.10.0", None), ("2.0.0-rc.1", "B"), ("2.0.0", "B"), ("2.0.0-beta", None), ("0.9", None)]))
-def advisory_versions(spark, sf_dir):
-    """Versions in an order of their own: pre-releases before releases, numbers by value; withdrawn advisories match nothing."""
-    from quarrylight.operators.advisories import ADVISORY_SCHEMA, match_advisories
-
-    rows = [(i, w, [(("npm", "left"), [], [("SEMVER", [("introduced", a)] + ([("fixed", z)] if z else []))]) for a, z in spans]) for i, w, spans in _ADVISORIES]
-    inventory = spark.createDataFrame([(v,) for v in ("1.0.0", "1.4.9", "1.5.0-beta", "1.10.0", "2.0.0-rc.1", "2.0.0", "2.0.0-beta", "0.9")], "version string").select(F.lit("npm").alias("ecosystem"), F.lit("left").alias("name"), "version")
-    hit = match_advisories(inventory, spark.createDataFrame(rows, ADVISORY_SCHEMA)).select("version", "advisory")
-    return inventory.select("version").join(hit, "version", "left")
-
-
-@register("advisory_directory", values("id string, complete boolean", [("A", False)]))
-def advisory_directory(spark, sf_dir):
-    """Records of a directory of JSON files that concern wanted packages; a broken file makes the source incomplete."""
-    from quarrylight.operators.advisories import read_advisories
-    from quarrylight.session import scratch
-
-    path = scratch(spark, "osv")
-    texts = ['{"id": "A", "affected": [{"package": {"ecosystem": "npm", "name": "left"}, "ranges": []}]}', '{"id": "B", "affected": [{"package": {"ecosystem": "npm", "name": "right"}}]}', "{broken"]
-    spark.createDataFrame([(t,) for t in texts], "value string").coalesce(1).write.text(path)
-    return read_advisories(spark, path, spark.createDataFrame([("npm", "left")], "ecosystem string, name string")).select("id", "complete")
-
-
-@register("repository_walk", values("path string, language string, state string", [("a/b.py", "Python", "read"), ("a/big.py", "Python", "oversize"), ("c.bin", None, "read")]))
-def repository_walk(spark, sf_dir):
-    """A tree written by Spark into the shared folder: pruned folders are not walked, files that are too large are named."""
-    from quarrylight.sources.repository import classify_files
-
-    rows = [("a/b.py", 10), ("node_modules/x.js", 10), ("a/big.py", 6 << 20), ("c.bin", 3), ("q/.git/config", 5)]
-    return classify_files(spark.createDataFrame(rows, "path string, length long"))
-
-
-@register("walk_guard", values("files long, bytes long, within_bounds boolean", [(3, 6291469, True)]))
-def walk_guard(spark, sf_dir):
-    from quarrylight.sources.repository import walk_guard as guard
-
-    return guard(spark.createDataFrame([("a", 10), ("b", 6 << 20), ("c", 3)], "path string, length long"))
-
-
 @register("consecutive_duplicates", "SELECT DISTINCT l_suppkey, l_returnflag, l_linestatus FROM lineitem")
 def consecutive_duplicates(spark, sf_dir):
     """Equal keys after a sort are equal keys anywhere: one aggregate, no sort."""
@@ -321,19 +243,3 @@ def findings_filtered(spark, sf_dir):
     """Six optional filters, of which three are given, a text sought, a bound and a limit."""
     o = R.where_given(table(spark, sf_dir, "orders"), o_orderstatus="O", o_orderpriority="2-HIGH", o_custkey=None, o_orderkey=None, o_orderdate=None)
     return o.filter(I.any_like("HIGH", "o_orderpriority") & (F.col("o_totalprice") >= 1000)).orderBy("o_orderpriority", "o_orderkey").limit(R.clamp(200, 500)).select("o_orderkey")
-
-
-@register("rules_listed", values("analyzer string, rules long", [("lines", 19), ("secrets", 15), ("sql", 3)]))
-def rules_listed(spark, sf_dir):
-    from quarrylight.operators.rules import LINE_RULES
-    from quarrylight.operators.secrets import RULES
-
-    rows = [("lines", r[0]) for r in LINE_RULES] + [("secrets", r[0]) for r in RULES] + [("sql", r) for r in ("sql.destructive_ddl", "sql.unbounded_write", "sql.foreign_keys_off")]
-    return spark.createDataFrame(rows, "analyzer string, rule string").groupBy("analyzer").agg(F.countDistinct("rule").alias("rules"))
-
-
-@register("sql_statements", values("path string, line long, statement string", [("a.sql", 1, "SELECT ''"), ("a.sql", 2, "DELETE FROM t")]))
-def sql_statements(spark, sf_dir):
-    from quarrylight.operators.rules import sql_statements as split
-
-    return split(spark.createDataFrame([("a.sql", "SELECT 'a;b' -- c;\n; DELETE FROM t /* ; */;")], "path string, text string"))
