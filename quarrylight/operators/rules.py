@@ -10,12 +10,12 @@ import re
 from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylight.functions.scalar import image_is_mutable
+from quarrylight.session import workers_find_us
 from quarrylight.sources.repository import language_of, lines_of
 
 # ------------------------------------------------------------------ SQL scripts
@@ -67,6 +67,7 @@ def sql_statements(files: DataFrame) -> DataFrame:
             cols = list(zip(*rows, strict=True)) or [[]] * 3
             yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.string()), strict=True)], names=["path", "line", "statement"])
 
+    workers_find_us(files.sparkSession)
     return files.select("path", "text").mapInArrow(split, "path string, line long, statement string")
 
 
@@ -118,88 +119,140 @@ def compose_findings(files: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ line rules and taint
 
-#: fixed values: what reads a request, what takes SQL, and the rules (name, suffixes or all, pattern), patterns in any case
+#: fixed values: what reads a request, what takes SQL, and the rules (name, category, severity, confidence, CWE, suffixes or all, pattern), patterns in any case
 REQUEST = r"(?:request\.(?:args|form|json|values|GET|POST|query_params|path_params)|req\.(?:query|body|params)|ctx\.request|\$_(?:GET|POST|REQUEST)|params\[|request\[)"
 SQL_CALL = r"(?:execute|executemany|query|raw|\$queryRawUnsafe|\$executeRawUnsafe|mysqli_query|->query)"
+HEADER_CALL = r"(?:res\.(?:setHeader|header|set)\s*\(|header\s*\(|response\.headers\[[^\]]+\]\s*=)"
 _JS, _CODE = (".js", ".jsx", ".ts", ".tsx"), (".py", ".js", ".jsx", ".ts", ".tsx", ".php")
 LINE_RULES = [
-    ("web.sql.dynamic_query", (".py", *_JS), r"""(?:execute|executemany|query|raw)\s*\(\s*(?:f["']|[^\n;]*(?:\+|\.format\(|%\s*\())"""),
-    ("web.sql.request_to_query", _CODE, SQL_CALL + r"\s*\([^\n;]*" + REQUEST),
-    ("web.xss.request_to_html", (*_JS, ".php"), r"(?:dangerouslySetInnerHTML|\.innerHTML\s*=|document\.write\s*\(|echo\s+|print\s+)[^\n;]*" + REQUEST),
-    ("web.ssrf.request_url", (".py", *_JS), r"(?:requests\.(?:get|post|put|delete)|httpx\.(?:get|post|put|delete)|urllib\.request\.urlopen|fetch\s*\(|axios\.(?:get|post|put|delete))[^\n;]*" + REQUEST),
-    ("web.command.request_to_process", (".py", *_JS), r"(?:os\.system|subprocess\.(?:run|Popen|call|check_output)|child_process\.(?:exec|execSync)|\bexecSync\s*\()[^\n;]*" + REQUEST),
-    ("web.path.request_to_file", (".py", *_JS), r"(?:open\s*\(|send_file\s*\(|FileResponse\s*\(|fs\.(?:readFile|readFileSync)\s*\()[^\n;]*" + REQUEST),
-    ("web.deserialize.untrusted", (".py", ".php"), r"(?:pickle\.(?:loads|load)|yaml\.load\s*\(|unserialize\s*\()[^\n;]*" + REQUEST),
-    ("web.cors.wildcard", None, r"""(?:allow_origins\s*=\s*\[\s*["']\*["']|Access-Control-Allow-Origin[^\n]*\*|origin\s*:\s*["']\*["'])"""),
-    ("web.csrf.disabled", None, r"(?:@csrf_exempt|WTF_CSRF_ENABLED\s*=\s*False|verify_csrf_token\s*=\s*False|csrf\s*:\s*false)"),
-    ("web.session.insecure_cookie", None, r"(?:SESSION_COOKIE_SECURE\s*=\s*False|SESSION_COOKIE_HTTPONLY\s*=\s*False|secure\s*:\s*false[^\n]*cookie)"),
-    ("web.jwt.verification_disabled", None, r"""(?:verify_signature["']?\s*[:=]\s*False|jwt\.decode\([^\n]*verify\s*=\s*False|algorithms?\s*=\s*\[["']none["']\])"""),
-    ("web.debug.enabled", (".py",), r"(?:app\.run\([^\n]*debug\s*=\s*True|\bDEBUG\s*=\s*True\b)"),
-    ("web.sql.orm_unsafe_raw", _JS, r"(?:\$queryRawUnsafe|\$executeRawUnsafe|sequelize\.literal|knex\.raw|db\.raw)\s*\([^\n;]*" + REQUEST),
-    ("web.sql.dynamic_identifier", _CODE, SQL_CALL + r"\s*\([^\n;]*(?:FROM|JOIN|ORDER\s+BY|GROUP\s+BY|UPDATE|INTO)\s+[^\n;]*" + REQUEST),
-    ("web.sql.multistatement_enabled", (".py", *_JS), r"(?:multipleStatements|allowMultiQueries|multiStatements)\s*[:=]\s*true"),
-    ("database.sql.dynamic_exec", (".sql",), r"\b(?:EXEC(?:UTE)?(?:\s+IMMEDIATE)?|PREPARE)\b[^\n;]*(?:\+|\|\||CONCAT\s*\()"),
-    ("database.sql.dynamic_prepare", (".sql",), r"\bPREPARE\s+[A-Za-z_][A-Za-z0-9_]*\s+FROM\s+[@:$]?[A-Za-z_][A-Za-z0-9_]*"),
-    ("web.database.connection_tls_disabled", None, r"(?:DATABASE_URL|DB_URL|connectionString|connection_string)[^\n;]*(?:sslmode\s*=\s*disable|ssl\s*=\s*false|ssl=false)"),
-    ("web.header.request_to_response", _CODE, r"(?:res\.(?:setHeader|header|set)\s*\(|header\s*\(|response\.headers\[[^\]]+\]\s*=)[^\n;]*" + REQUEST),
+    ("web.sql.dynamic_query", "database", "high", 0.96, "CWE-89", (".py", *_JS), r"""(?:execute|executemany|query|raw)\s*\(\s*(?:f["']|[^\n;]*(?:\+|\.format\(|%\s*\())"""),
+    ("web.sql.request_to_query", "database", "high", 0.99, "CWE-89", _CODE, SQL_CALL + r"\s*\([^\n;]*" + REQUEST),
+    ("web.xss.request_to_html", "xss", "high", 0.95, "CWE-79", (*_JS, ".php"), r"(?:dangerouslySetInnerHTML|\.innerHTML\s*=|document\.write\s*\(|echo\s+|print\s+)[^\n;]*" + REQUEST),
+    ("web.ssrf.request_url", "ssrf", "high", 0.94, "CWE-918", (".py", *_JS), r"(?:requests\.(?:get|post|put|delete)|httpx\.(?:get|post|put|delete)|urllib\.request\.urlopen|fetch\s*\(|axios\.(?:get|post|put|delete))[^\n;]*" + REQUEST),
+    ("web.command.request_to_process", "command_injection", "critical", 0.97, "CWE-78", (".py", *_JS), r"(?:os\.system|subprocess\.(?:run|Popen|call|check_output)|child_process\.(?:exec|execSync)|\bexecSync\s*\()[^\n;]*" + REQUEST),
+    ("web.path.request_to_file", "path_traversal", "high", 0.91, "CWE-22", (".py", *_JS), r"(?:open\s*\(|send_file\s*\(|FileResponse\s*\(|fs\.(?:readFile|readFileSync)\s*\()[^\n;]*" + REQUEST),
+    ("web.deserialize.untrusted", "unsafe_deserialization", "high", 0.95, "CWE-502", (".py", ".php"), r"(?:pickle\.(?:loads|load)|yaml\.load\s*\(|unserialize\s*\()[^\n;]*" + REQUEST),
+    ("web.cors.wildcard", "cors", "medium", 0.98, "CWE-942", None, r"""(?:allow_origins\s*=\s*\[\s*["']\*["']|Access-Control-Allow-Origin[^\n]*\*|origin\s*:\s*["']\*["'])"""),
+    ("web.csrf.disabled", "csrf", "medium", 0.96, "CWE-352", None, r"(?:@csrf_exempt|WTF_CSRF_ENABLED\s*=\s*False|verify_csrf_token\s*=\s*False|csrf\s*:\s*false)"),
+    ("web.session.insecure_cookie", "session", "medium", 0.98, "CWE-614", None, r"(?:SESSION_COOKIE_SECURE\s*=\s*False|SESSION_COOKIE_HTTPONLY\s*=\s*False|secure\s*:\s*false[^\n]*cookie)"),
+    ("web.jwt.verification_disabled", "authentication", "critical", 0.99, "CWE-347", None, r"""(?:verify_signature["']?\s*[:=]\s*False|jwt\.decode\([^\n]*verify\s*=\s*False|algorithms?\s*=\s*\[["']none["']\])"""),
+    ("web.debug.enabled", "debug_exposure", "medium", 0.96, "CWE-489", (".py",), r"(?:app\.run\([^\n]*debug\s*=\s*True|\bDEBUG\s*=\s*True\b)"),
+    ("web.sql.orm_unsafe_raw", "database", "critical", 0.99, "CWE-89", _JS, r"(?:\$queryRawUnsafe|\$executeRawUnsafe|sequelize\.literal|knex\.raw|db\.raw)\s*\([^\n;]*" + REQUEST),
+    ("web.sql.dynamic_identifier", "database", "high", 0.96, "CWE-89", _CODE, SQL_CALL + r"\s*\([^\n;]*(?:FROM|JOIN|ORDER\s+BY|GROUP\s+BY|UPDATE|INTO)\s+[^\n;]*" + REQUEST),
+    ("web.sql.multistatement_enabled", "database", "high", 0.98, "CWE-89", (".py", *_JS), r"(?:multipleStatements|allowMultiQueries|multiStatements)\s*[:=]\s*true"),
+    ("database.sql.dynamic_exec", "database", "high", 0.91, "CWE-89", (".sql",), r"\b(?:EXEC(?:UTE)?(?:\s+IMMEDIATE)?|PREPARE)\b[^\n;]*(?:\+|\|\||CONCAT\s*\()"),
+    ("database.sql.dynamic_prepare", "database", "medium", 0.84, "CWE-89", (".sql",), r"\bPREPARE\s+[A-Za-z_][A-Za-z0-9_]*\s+FROM\s+[@:$]?[A-Za-z_][A-Za-z0-9_]*"),
+    ("web.database.connection_tls_disabled", "database", "high", 0.96, "CWE-319", None, r"(?:DATABASE_URL|DB_URL|connectionString|connection_string)[^\n;]*(?:sslmode\s*=\s*disable|ssl\s*=\s*false|ssl=false)"),
+    ("web.header.request_to_response", "header_injection", "high", 0.93, "CWE-113", _CODE, HEADER_CALL + r"[^\n;]*" + REQUEST),
 ]
+#: fixed values: rules of request input that reaches a call through variables, in the form of LINE_RULES
+TAINT_RULES = [
+    ("web.sql.tainted_variable_to_query", "database", "critical", 0.94, "CWE-89"),
+    ("web.header.tainted_value", "header_injection", "high", 0.89, "CWE-113"),
+]
+COMMENTS = {".py": r"^\s*#", **dict.fromkeys((*_JS, ".php"), r"^\s*(//|\*)"), ".sql": r"^\s*--"}
+EXCERPT, TAINT_LINES = 240, 40
+
+
+def _suffix() -> Column:
+    return F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
+
+
+def rule_excerpt(line: Column) -> Column:
+    """A line as evidence: named secrets and passwords in addresses are withheld, at most EXCERPT characters."""
+    t = F.regexp_replace(F.trim(F.regexp_replace(line, r"^\s+|\s+$", "")), r"""(?i)((?:password|passwd|secret|token|api[_-]?key)\s*[:=]\s*)["'][^"']*["']""", '$1"<redacted>"')
+    t = F.regexp_replace(t, r"(?i)((?:postgres(?:ql)?|mysql|mariadb|https?)://[^:/\s]+:)[^@\s]+@", "$1<redacted>@")
+    return F.when(F.length(t) > EXCERPT, F.concat(F.substring(t, 1, EXCERPT - 3), F.lit("..."))).otherwise(t)
+
+
+def _as_findings(hits: DataFrame, rules: list, extra: Column) -> DataFrame:
+    """hits(path, line, source, k) as findings of rules[k], each (rule, path, line, excerpt) once."""
+    facts = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("rule", "category", "severity", "confidence", "cwe"), r[:5], strict=True)]) for r in rules])
+    rows = hits.withColumns({"_f": F.element_at(facts, F.col("k") + 1), "excerpt": rule_excerpt(F.col("source")), "_x": extra})
+    parts = [F.encode(c.cast("string"), "UTF-8") for c in (F.col("_f.rule"), F.col("path"), F.col("line"), F.col("excerpt"), F.col("_x"))]
+    whole = reduce(lambda a, b: F.concat(a, F.unhex(F.lit("00")), b), parts)
+    keep = [c for c in hits.columns if c not in ("path", "line", "source", "k")]
+    return rows.select("path", F.col("line").cast("long").alias("line"), "_f.*", "excerpt", F.sha2(whole, 256).alias("fingerprint"), *keep)
 
 
 def line_findings(files: DataFrame) -> DataFrame:
-    """Every rule on every line of its suffixes, comment lines left out: one projection and one explode."""
-    suffix = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
-    comment = F.when(suffix == ".py", "^\\s*#").when(suffix.isin(*_JS, ".php"), r"^\s*(//|\*)").when(suffix == ".sql", r"^\s*--").otherwise("(?!)")
-    code = ~F.expr("source").rlike("^$") & ~F.regexp("source", comment)
-    applies = lambda s: code if s is None else code & suffix.isin(*s)
-    hits = F.array_compact(F.array(*[F.when(applies(s) & F.col("source").rlike("(?i)" + p), F.lit(n)) for n, s, p in LINE_RULES]))
-    return lines_of(files).select("path", "line", F.explode(hits).alias("rule"))
+    """files(path, text): path, line, rule, category, severity, confidence, cwe, excerpt, fingerprint of every rule on every line.
 
+    A rule looks at files of its suffixes; comment lines are left out. A line meets one regular expression after the other in one
+    projection, and only its hits become rows. Null texts have no lines.
+    """
+    suffix = _suffix()
+    comment = reduce(lambda w, kv: w.when(suffix == kv[0], F.col("source").rlike(kv[1])), COMMENTS.items(), F.when(F.lit(False), F.lit(False))).otherwise(F.lit(False))
+    applies = lambda s: F.lit(True) if s is None else suffix.isin(*s)
+    hits = F.array_compact(F.array(*[F.when(applies(r[5]) & F.col("source").rlike("(?i)" + r[6]), F.lit(k)) for k, r in enumerate(LINE_RULES)]))
+    found = lines_of(files).filter(~comment).select("path", "line", "source", F.explode(hits).alias("k"))
+    return _as_findings(found, LINE_RULES, F.lit(""))
+
+
+_ASSIGN = re.compile(r"^\s*(?:(?:const|let|var)\s+)?(\$?[A-Za-z_][A-Za-z0-9_]*)\s*=\s*(.+)$", re.I)
+_REQUEST, _SQL_SINK, _HEADER_SINK = (re.compile(p, re.I) for p in (REQUEST, SQL_CALL + r"\s*\(", HEADER_CALL))
+#: fixed values: how a variable (V) is put into a text, handed to a query as a whole, or to a header
+_BUILT = r"\{\s*V\s*\}|[+.]\s*V\b|\bV\s*[+.]|\.format\s*\([^)]*\bV\b"
+_WHOLE_QUERY = r"(?i:" + SQL_CALL + r")\s*\(\s*V\s*[,)]|(?i:mysqli_query)\s*\([^,]+,\s*V\s*[,)]"
+_ARGUMENT = r"[(,]\s*V\s*[,)]|=\s*V\s*$"
+_MENTION = r"(?<![A-Za-z0-9_$])V(?![A-Za-z0-9_])"
 
-_SOURCE = re.compile(r"request\.(args|form|values|GET|POST|query_params|json|cookies|headers)|req\.(query|body|params)|\binput\s*\(")
-_ASSIGN = re.compile(r"^\s*(?:const |let |var )?([A-Za-z_]\w*)\s*=\s*(?!=)(.*)$")
-_BUILT = r"(?:\{\s*%s\b|\+\s*%s\b|\b%s\s*\+|%%\s*\(?\s*%s\b|\.format\([^)]*\b%s\b|^\s*%s\s*;?\s*$)"
-_SINKS = {"taint.sql": re.compile(r"\.(execute|executemany|raw|query)\s*\((.*)$"), "taint.header": re.compile(r"\.(set_header|setHeader|add_header)\s*\((.*)$|headers\[[^\]]+\]\s*=\s*(.*)$")}
-TAINT_LINES = 40
 
+def _about(pattern: str, variable: str, text: str) -> bool:
+    return re.search(pattern.replace("V", re.escape(variable)), text) is not None
 
-def taint_of_lines(lines: list[str]) -> list[tuple[int, str, str]]:
-    """(line, rule, variable): request input that reaches a sink by interpolation within TAINT_LINES lines.
 
-    Each line in order: expire, then assign (set, inherit the source's line, or clear), then look for sinks.
+def taint_of_lines(lines: list[str], comment: str | None = None) -> list[tuple[int, int, str, int]]:
+    """(line, rule of TAINT_RULES, variable, line of its source) where request input reaches a call within TAINT_LINES lines.
+
+    Each line in order, comments left out: expire, then assign (set, inherit the source's line, or clear), then look for calls.
     """
     tainted: dict[str, int] = {}
     out = []
-    for n, text in enumerate(lines):
+    for n, text in enumerate(lines, 1):
+        if comment and re.match(comment, text):
+            continue
         tainted = {v: at for v, at in tainted.items() if n - at <= TAINT_LINES}
         m = _ASSIGN.match(text)
         if m:
-            name, value = m[1], m[2]
-            origin = [at for v, at in tainted.items() if re.search(_BUILT.replace("%s", re.escape(v)).replace("%%", "%"), value)]
-            if _SOURCE.search(value):
+            name, value = m.groups()
+            origin = [at for v, at in tainted.items() if v != name and (value.strip().rstrip(";") == v or _about(_BUILT, v, value))]
+            if _REQUEST.search(value):
                 tainted[name] = n
             elif origin:
-                tainted[name] = max(origin)
+                tainted[name] = origin[0]
             else:
                 tainted.pop(name, None)
-        for rule, sink in _SINKS.items():
-            hit = sink.search(text)
-            if hit:
-                argument = next(g for g in reversed(hit.groups()) if g is not None)
-                first = argument.split(",")[0] if rule == "taint.sql" else argument
-                out += [(n + 1, rule, v) for v, at in tainted.items() if at != n and re.search(rf"\b{re.escape(v)}\b", first)]
+        if not tainted:
+            continue
+        sql, header = _SQL_SINK.search(text), _HEADER_SINK.search(text)
+        for v, at in tainted.items() if sql or header else ():
+            if at != n and _about(_MENTION, v, text):
+                if sql and (_about(_BUILT, v, text) or _about(_WHOLE_QUERY, v, text)):
+                    out.append((n, 0, v, at))
+                if header and _about(_ARGUMENT, v, text):
+                    out.append((n, 1, v, at))
     return out
 
 
 def taint_findings(files: DataFrame) -> DataFrame:
-    """files(path, text): taint_of_lines of every file. A file is one row, so nothing is grouped or shuffled."""
-
-    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = [(p, *r) for p, t in zip(f["path"], f["text"], strict=True) for r in taint_of_lines((t or "").split("\n"))]
-            yield pd.DataFrame(rows, columns=["path", "line", "rule", "variable"])
+    """files(path, text): findings in the form of line_findings, with variable and source_line. A file is one row: nothing is shuffled."""
+    workers_find_us(files.sparkSession)
 
-    hinted = files.filter(F.col("text").rlike(_SOURCE.pattern))  # without a source nothing is tainted
-    return hinted.select("path", "text").mapInPandas(scan, "path string, line long, rule string, variable string").dropDuplicates()
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = (pa.string(), pa.int64(), pa.string(), pa.int32(), pa.string(), pa.int64())
+        for b in batches:
+            rows = []
+            for path, suffix, text in zip(*(b.column(c).to_pylist() for c in ("path", "suffix", "text")), strict=True):
+                lines = text.replace("\r\n", "\n").split("\n")
+                rows += [(path, n, lines[n - 1], k, v, at) for n, k, v, at in taint_of_lines(lines, COMMENTS.get(suffix))]
+            cols = list(zip(*rows, strict=True)) or [[]] * len(types)
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["path", "line", "source", "k", "variable", "source_line"])
+
+    # without a source nothing is tainted
+    hinted = files.select("path", _suffix().alias("suffix"), "text").filter(F.col("suffix").isin(*_CODE) & F.col("text").rlike("(?i)" + REQUEST))
+    hits = hinted.mapInArrow(scan, "path string, line long, source string, k int, variable string, source_line long")
+    return _as_findings(hits, TAINT_RULES, F.concat_ws(":", "variable", F.col("source_line").cast("string")))
 
 
 # ------------------------------------------------------------------ symbols, imports, routes, test frameworks

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrylight.functions.scalar import join_routes, strip_router_prefix
 from quarrylight.operators.intervals import overlap_groups
 from quarrylight.session import settle
 
@@ -110,18 +111,41 @@ def risk_graph(findings: DataFrame, actor: str, endpoint: str, finding: str) ->
     return nodes, edges
 
 
-def expand_mounts(routes: DataFrame, mounts: DataFrame, depth: int = 8) -> DataFrame:
-    """routes(route_id, router, template), mounts(child, parent, prefix): every full path, cycle-safe per path."""
-    cur = routes.select("route_id", F.col("router").alias("at"), F.col("template").alias("full"), F.array("router").alias("seen"))
+#: mounts that one path may go through; what is gathered by then is the prefix
+MOUNT_DEPTH = 8
+
+
+def expand_mounts(routes: DataFrame, mounts: DataFrame) -> DataFrame:
+    """routes(route_id, file, framework, router, router_prefix, template), mounts(source_file, target_file, framework, parent_router, imported_name, binding, prefix, override): route_id, full; each once.
+
+    A mount leads from the router it takes (target_file and imported_name; default and * take any) to its parent in source_file, and puts
+    its prefix in front. A path ends where nothing mounts its router, where all that does was gone through before (a mount, not a
+    router, counts once a path), or after MOUNT_DEPTH mounts; what was gathered by then is its prefix, so no route is lost. A
+    route that nothing mounts keeps its template. If a mount of the path overrides, router_prefix is taken off the template.
+    """
+    keys = ["source_file", "target_file", "framework", "parent_router", "imported_name", "binding", "prefix", "override"]
+    edge = F.sha2(F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}), 256)
+    m = mounts.select(*keys).distinct().select(F.col("target_file").alias("_file"), F.col("framework").alias("_framework"), F.col("imported_name").alias("_name"), F.col("source_file").alias("_up"), F.col("parent_router").alias("_parent"), F.col("prefix").alias("_p"), F.coalesce("override", F.lit(False)).alias("_o"), edge.alias("_edge"))
+    start = F.array().cast("array<string>")
+    cur = routes.select("route_id", "framework", "router_prefix", "template", F.col("file").alias("at"), F.col("router").alias("by"), F.lit("").alias("gathered"), F.lit(False).alias("over"), start.alias("seen"))
     ends = []
-    m = mounts.select(F.col("child").alias("at"), "parent", "prefix")
-    for _ in range(depth):
-        ends.append(cur.join(m.select("at").distinct(), "at", "left_anti").select("route_id", "full"))
-        step = cur.join(m, "at").filter(~F.array_contains("seen", F.col("parent")))
-        full = F.regexp_replace(F.concat(F.lit("/"), "prefix", F.lit("/"), "full"), "/+", "/")
-        cur = step.select("route_id", F.col("parent").alias("at"), full.alias("full"), F.concat("seen", F.array("parent")).alias("seen"))
-    norm = F.concat(F.lit("/"), F.trim(F.regexp_replace("full", "/+", "/"), F.lit("/")))
-    return reduce(lambda a, b: a.unionByName(b), ends).select("route_id", norm.alias("full")).distinct()
+    for depth in range(MOUNT_DEPTH + 1):
+        if depth == MOUNT_DEPTH:
+            ends.append(cur)
+            break
+        fits = (F.col("at") == F.col("_file")) & (F.col("framework") == F.col("_framework")) & (F.col("_name").isin("default", "*") | (F.col("_name") == F.col("by"))) & ~F.array_contains("seen", F.col("_edge"))
+        j = cur.join(m, fits, "left")
+        ends.append(j.filter("_edge IS NULL").select(*cur.columns))
+        step = j.filter("_edge IS NOT NULL").select(
+            "route_id", "framework", "router_prefix", "template", F.col("_up").alias("at"), F.col("_parent").alias("by"),
+            join_routes(F.col("_p"), F.col("gathered")).alias("gathered"), (F.col("over") | F.col("_o")).alias("over"), F.concat("seen", F.array("_edge")).alias("seen"),
+        )
+        cur = settle(step, "mounts")
+        if cur.isEmpty():
+            break
+    out = reduce(DataFrame.unionByName, ends)
+    declared = F.when(F.col("over"), strip_router_prefix(F.col("template"), F.coalesce("router_prefix", F.lit("")))).otherwise(F.col("template"))
+    return out.select("route_id", join_routes(F.col("gathered"), declared).alias("full")).distinct()
 
 
 #: fixed values: weights of a source candidate's evidence, its base, cap and floor
@@ -146,10 +170,26 @@ def candidate_score(terminal: Column, parent: Column, parameter: Column, path: C
     return F.round(F.least(reduce(lambda a, cw: a + F.when(cw[0], cw[1]).otherwise(0.0), evidence, F.lit(CANDIDATE_BASE)), F.lit(CANDIDATE_CAP)), 4)
 
 
-def eligibility(evidence: Column, best: Column, open_: Column) -> Column:
-    """What may be done about a finding, by its evidence count and best candidate confidence."""
+#: fixed values: categories whose fixes are configuration, and all that fixes are prepared for
+CONFIGURATION_CATEGORIES = ["cors", "csp", "hsts", "security_headers", "session_cookie", "sensitive_cache_control"]
+FIX_CATEGORIES = ["sql_injection", "xss", "csrf", "open_redirect", "access_control", "api_input_validation", *CONFIGURATION_CATEGORIES]
+
+
+def eligibility(open_: Column, evidence: Column, project: Column, category: Column, best: Column, bounded_patch: Column) -> Column:
+    """What may be done about a finding: INSUFFICIENT, MANUAL, GUIDED or AUTO.
+
+    Closed, or without evidence: insufficient. Without a project or a source candidate (best is null): manual. Configuration categories
+    are never automatic, and guided from 0.55 on. Others are automatic from 0.82 on if there is a bounded patch, guided from
+    0.58 on if their category is supported, and manual in all other cases.
+    """
+    supported, configuration = F.coalesce(category.isin(FIX_CATEGORIES), F.lit(False)), F.coalesce(category.isin(CONFIGURATION_CATEGORIES), F.lit(False))
     return (
-        F.when(~open_ | (evidence == 0), "INSUFFICIENT").when(best >= 0.82, "AUTO").when(best >= 0.58, "GUIDED").when(F.coalesce(best, F.lit(0.0)) >= 0.55, "MANUAL").otherwise("INSUFFICIENT")
+        F.when(~F.coalesce(open_, F.lit(False)) | (F.coalesce(evidence, F.lit(0)) == 0), "INSUFFICIENT")
+        .when(project.isNull() | best.isNull(), "MANUAL")
+        .when(configuration, F.when(best >= 0.55, "GUIDED").otherwise("MANUAL"))
+        .when(F.coalesce(bounded_patch, F.lit(False)) & (best >= 0.82), "AUTO")
+        .when((best >= 0.58) & supported, "GUIDED")
+        .otherwise("MANUAL")
     )
 
 
@@ -197,9 +237,26 @@ def campaign_order(findings: DataFrame) -> DataFrame:
     return ordered.select("campaign", "id", "ordinal", F.collect_list("id").over(earlier).alias("depends_on"))
 
 
-def follow_up(steps: DataFrame, needed: str = "source") -> DataFrame:
-    """steps(run_id, role, status): roles to run again of runs that failed and have nothing left to run, if `needed` was completed there."""
-    is_ = lambda s: F.max(F.col("status") == s)
-    runs = steps.groupBy("run_id").agg(is_("failed").alias("_failed"), is_("running").alias("_running"), is_("pending").alias("_pending"), F.max((F.col("role") == needed) & (F.col("status") == "completed")).alias("_ok"))
-    due = runs.filter("_failed AND NOT _running AND NOT _pending AND _ok").select("run_id")
-    return steps.filter("status <> 'completed'").join(due, "run_id").select("run_id", "role").distinct()
+#: fixed values: how a step ends
+ENDED = ["completed", "failed", "skipped", "cancelled", "interrupted"]
+
+
+def follow_up(runs: DataFrame, steps: DataFrame, first: str = "scout", gate: str = "source") -> DataFrame:
+    """runs(run_id, status), steps(run_id, position, role, status): run_id, position, role, depends_on of a follow-up for each run that needs one.
+
+    Runs that failed or were interrupted, and whose steps have all ended, begin again with `first` and `gate`. If the gate was completed,
+    what else was not completed comes behind it, and a run where nothing is left needs no follow-up; if it was not, nothing
+    behind it can be trusted, and only the two are planned. Runs whose first two steps are others are left out.
+    """
+    due = runs.filter(F.col("status").isin("failed", "interrupted")).select("run_id")
+    facts = steps.groupBy("run_id").agg(
+        F.bool_and(F.col("status").isin(ENDED)).alias("_ended"), F.min_by("role", "position").alias("_first"), F.min("position").alias("_low"),
+        F.max(F.when(F.col("role") == gate, F.col("position"))).alias("_gate"), F.bool_or((F.col("role") == gate) & (F.col("status") == "completed")).alias("_ok"),
+        F.count_if(~F.col("role").isin(first, gate) & (F.col("status") != "completed")).alias("_left"),
+    )
+    second = steps.join(facts.select("run_id", "_low"), "run_id").filter(F.col("position") > F.col("_low")).groupBy("run_id").agg(F.min_by("role", "position").alias("_second"))
+    planned = due.join(facts, "run_id").join(second, "run_id").filter((F.col("_first") == first) & (F.col("_second") == gate) & F.col("_ended") & (~F.col("_ok") | (F.col("_left") > 0)))
+    lead = planned.select("run_id", F.explode(F.array(F.struct(F.lit(-2).alias("position"), F.lit(first).alias("role"), F.lit(None).cast("string").alias("depends_on")), F.struct(F.lit(-1).alias("position"), F.lit(gate).alias("role"), F.lit(first).alias("depends_on")))).alias("s")).select("run_id", "s.*")
+    again = steps.filter((F.col("status") != "completed") & ~F.col("role").isin(first, gate)).join(planned.filter("_ok").select("run_id"), "run_id").select("run_id", F.col("position").cast("int").alias("position"), "role", F.lit(gate).alias("depends_on"))
+    place = F.row_number().over(Window.partitionBy("run_id").orderBy("position"))
+    return lead.unionByName(again).withColumn("position", place)

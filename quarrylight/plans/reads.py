@@ -228,14 +228,48 @@ def campaign_order(spark, sf_dir):
     return order(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("campaign"), k.alias("id"), *[c.alias(n) for n, c in ranks.items()]))
 
 
-@register("follow_up_plan", """WITH s AS (SELECT l_orderkey AS run_id, CASE l_linenumber WHEN 1 THEN 'source' ELSE 'r' || l_linenumber END AS role, CASE WHEN l_linestatus = 'F' THEN 'completed' WHEN l_returnflag = 'N' AND l_quantity > 45 THEN 'running' ELSE 'failed' END AS status FROM lineitem),
-d AS (SELECT run_id FROM s GROUP BY 1 HAVING bool_or(status = 'failed') AND NOT bool_or(status = 'running') AND bool_or(role = 'source' AND status = 'completed')) SELECT DISTINCT run_id, role FROM s JOIN d USING (run_id) WHERE status <> 'completed'""")
+_RUNS = """s AS (SELECT l_orderkey AS run_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS position, CASE WHEN l_linestatus = 'F' THEN 'completed' WHEN l_returnflag = 'N' AND l_quantity > 45 THEN 'running' WHEN l_quantity > 25 THEN 'failed' ELSE 'skipped' END AS status FROM lineitem)"""
+
+
+@register("follow_up_plan", f"""WITH {_RUNS}, d AS (SELECT run_id, bool_or(position = 2 AND status = 'completed') AS ok FROM s JOIN orders ON o_orderkey = run_id WHERE o_orderstatus IN ('F', 'P') GROUP BY 1
+  HAVING count(*) > 1 AND NOT bool_or(status = 'running') AND (NOT bool_or(position = 2 AND status = 'completed') OR bool_or(position > 2 AND status <> 'completed'))),
+r AS (SELECT run_id, -2 AS p, 'scout' AS role, NULL AS depends_on FROM d UNION ALL SELECT run_id, -1, 'source', 'scout' FROM d UNION ALL SELECT s.run_id, s.position, 'r' || s.position, 'source' FROM s JOIN d ON d.run_id = s.run_id WHERE ok AND s.position > 2 AND status <> 'completed')
+SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY p) AS position, role, depends_on FROM r""")
 def follow_up_plan(spark, sf_dir):
+    """Runs that failed or were interrupted begin again; where their source gate held, with what else is left."""
+    from pyspark.sql import Window
+
     from quarrylight.operators.workflow import follow_up
 
-    role = F.when(F.col("l_linenumber") == 1, "source").otherwise(F.concat(F.lit("r"), F.col("l_linenumber").cast("string")))
-    status = F.when(F.col("l_linestatus") == "F", "completed").when((F.col("l_returnflag") == "N") & (F.col("l_quantity") > 45), "running").otherwise("failed")
-    return follow_up(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("run_id"), role.alias("role"), status.alias("status")))
+    position = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
+    status = F.when(F.col("l_linestatus") == "F", "completed").when((F.col("l_returnflag") == "N") & (F.col("l_quantity") > 45), "running").when(F.col("l_quantity") > 25, "failed").otherwise("skipped")
+    steps = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("run_id"), position.alias("position"), status.alias("status"))
+    role = F.when(F.col("position") == 1, "scout").when(F.col("position") == 2, "source").otherwise(F.concat(F.lit("r"), F.col("position").cast("string")))
+    runs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run_id"), F.when(F.col("o_orderstatus") == "F", "failed").when(F.col("o_orderstatus") == "P", "interrupted").otherwise("running").alias("status"))
+    return follow_up(runs, steps.withColumn("role", role))
+
+
+_MOUNTS = """m AS (SELECT p_partkey AS target, CASE WHEN p_partkey % 40 = 7 THEN p_partkey + 1 WHEN p_partkey % 40 = 8 THEN p_partkey - 1 ELSE p_partkey // (2 + p_size % 3) END AS source, CASE WHEN p_size = 50 THEN 'other' ELSE 'express' END AS framework,
+CASE WHEN p_size % 4 = 0 THEN 'default' WHEN p_size % 11 = 0 THEN 'gone' ELSE 'r' || p_partkey % 3 END AS name, '/p' || p_partkey % 11 || '/' AS prefix, p_size % 9 = 0 AS over FROM part)"""
+
+
+@register("mounts_expanded", f"""WITH RECURSIVE {_MOUNTS}, w AS (SELECT page_id AS route_id, page_id * 7 + 1 AS at, 'r' || (page_id * 7 + 1) % 3 AS by, '' AS gathered, false AS over, []::BIGINT[] AS seen, 0 AS depth FROM pages
+UNION ALL SELECT w.route_id, m.source, 'r' || m.source % 3, '/' || trim(regexp_replace(m.prefix || '/' || w.gathered, '/+', '/', 'g'), '/'), w.over OR m.over, list_append(w.seen, m.target::BIGINT), w.depth + 1
+  FROM w JOIN m ON m.target = w.at AND m.framework = 'express' AND (m.name = 'default' OR m.name = w.by) AND m.source > 0 AND NOT list_contains(w.seen, m.target::BIGINT) WHERE w.depth < 8),
+e AS (SELECT w.* FROM w LEFT JOIN m ON m.target = w.at AND m.framework = 'express' AND (m.name = 'default' OR m.name = w.by) AND m.source > 0 AND NOT list_contains(w.seen, m.target::BIGINT) WHERE w.depth = 8 OR m.target IS NULL)
+SELECT DISTINCT route_id, '/' || trim(regexp_replace(gathered || '/' || CASE WHEN over THEN '/x' || route_id ELSE '/base/x' || route_id END, '/+', '/', 'g'), '/') AS full FROM e""")
+def mounts_expanded(spark, sf_dir):
+    """Routes of every page under the mounts that a tree of parts, with circles and over eight deep, makes."""
+    from quarrylight.operators.workflow import expand_mounts
+
+    key, router = F.col("p_partkey"), lambda c: F.concat(F.lit("r"), (c % 3).cast("string"))
+    source = F.when(key % 40 == 7, key + 1).when(key % 40 == 8, key - 1).otherwise(F.floor(key / (2 + F.col("p_size") % 3)))
+    name = F.when(F.col("p_size") % 4 == 0, "default").when(F.col("p_size") % 11 == 0, "gone").otherwise(router(key))
+    mounts = table(spark, sf_dir, "part").select(source.alias("source_file"), key.alias("target_file"), F.when(F.col("p_size") == 50, "other").otherwise("express").alias("framework"), router(source).alias("parent_router"), name.alias("imported_name"),
+        F.lit("b").alias("binding"), F.concat(F.lit("/p"), (key % 11).cast("string"), F.lit("/")).alias("prefix"), (F.col("p_size") % 9 == 0).alias("override")).filter("source_file > 0")
+    file = F.col("page_id") * 7 + 1
+    routes = table(spark, sf_dir, "pages").select(F.col("page_id").alias("route_id"), file.alias("file"), F.lit("express").alias("framework"), router(file).alias("router"), F.lit("/base").alias("router_prefix"), F.concat(F.lit("/base/x"), F.col("page_id").cast("string")).alias("template"))
+    return expand_mounts(routes, mounts)
 
 
 @register("findings_filtered", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' AND o_orderpriority = '2-HIGH' AND contains(lower(o_orderpriority), 'high') AND o_totalprice >= 1000 ORDER BY o_orderpriority, o_orderkey LIMIT 200")

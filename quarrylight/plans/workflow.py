@@ -100,13 +100,14 @@ def candidate_scores(spark, sf_dir):
     return W.best_candidates(j.select(F.col("o_orderkey").alias("finding_id"), F.col("p_partkey").alias("candidate"), route.alias("route_confidence"), *[c.alias(n) for n, c in evidence.items()]))
 
 
-@register("eligibility_decisions", """WITH e AS (SELECT o_orderkey, o_orderstatus = 'O' AS live, count(l_orderkey) AS evidence, max(1 - l_discount * 5) AS best FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2)
-SELECT CASE WHEN NOT live OR evidence = 0 THEN 'INSUFFICIENT' WHEN best >= 0.82 THEN 'AUTO' WHEN best >= 0.58 THEN 'GUIDED' WHEN coalesce(best, 0) >= 0.55 THEN 'MANUAL' ELSE 'INSUFFICIENT' END AS decision, count(*) AS n FROM e GROUP BY 1""")
+@register("eligibility_decisions", """WITH e AS (SELECT o_orderkey, o_orderstatus = 'O' AS live, count(l_orderkey) AS evidence, max(1 - l_discount * 5) AS best, o_custkey % 10 = 0 AS alone, o_custkey % 4 AS c, o_totalprice > 100000 AS patch FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_quantity > 20 GROUP BY ALL)
+SELECT c, CASE WHEN NOT live OR evidence = 0 THEN 'INSUFFICIENT' WHEN alone OR best IS NULL THEN 'MANUAL' WHEN c = 1 THEN CASE WHEN best >= 0.55 THEN 'GUIDED' ELSE 'MANUAL' END WHEN patch AND best >= 0.82 THEN 'AUTO' WHEN best >= 0.58 AND c <> 2 THEN 'GUIDED' ELSE 'MANUAL' END AS decision, count(*) AS n FROM e GROUP BY 1, 2""")
 def eligibility_decisions(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("evidence"), F.max(1 - F.col("l_discount") * 5).alias("best"))
+    li = table(spark, sf_dir, "lineitem").filter("l_quantity > 20").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("evidence"), F.max(1 - F.col("l_discount") * 5).alias("best"))
     o = table(spark, sf_dir, "orders").join(li, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    decision = W.eligibility(F.coalesce("evidence", F.lit(0)), F.col("best"), F.col("o_orderstatus") == "O")
-    return o.groupBy(decision.alias("decision")).agg(F.count(F.lit(1)).alias("n"))
+    category = F.element_at(F.array(*map(F.lit, ("xss", "cors", "timing", "sql_injection"))), (F.col("o_custkey") % 4 + 1).cast("int"))
+    decision = W.eligibility(F.col("o_orderstatus") == "O", F.col("evidence"), F.when(F.col("o_custkey") % 10 != 0, F.col("o_custkey")), category, F.col("best"), F.col("o_totalprice") > 100000)
+    return o.groupBy((F.col("o_custkey") % 4).alias("c"), decision.alias("decision")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("repair_rollup", """WITH c AS (SELECT l_orderkey AS repair_id, CASE WHEN p_type LIKE 'PROMO%' THEN 'missing' WHEN l_quantity > 45 THEN 'mismatch' ELSE 'matched' END AS s FROM lineitem JOIN part ON p_partkey = l_partkey),

@@ -178,7 +178,7 @@ found("dockerfile_rules", rules.dockerfile_findings, "path string, line int, rul
       [("Dockerfile", 1, "docker.mutable_image"), ("Dockerfile", 3, "docker.healthcheck_disabled"), ("q/Dockerfile", 1, "docker.no_healthcheck")])
 found("compose_rules", rules.compose_findings, "path string, service string, rule string", [("c.yml", 'services:\n  web:\n    image: "nginx" # c\n    restart: "no"\n  db:\n    image: pg@sha256:1\n    healthcheck:\n      test: ["CMD"]\nvolumes:\n  v:\n    image: x\n')],
       [("c.yml", "web", "compose.mutable_image"), ("c.yml", "web", "compose.no_healthcheck"), ("c.yml", "web", "compose.no_restart")])
-found("web_line_rules", rules.line_findings, "path string, line int, rule string",
+found("web_line_rules", rules.line_findings, "path string, line long, rule string",
       [("a.py", 'cur.execute(f"SELECT {x}")\n# cur.execute(f"x")\nos.system(request.args["c"])\napp.run(debug=True)\nrequests.get(request.args["u"])\nyaml.load(request.json)\nopen(request.form["f"])\nSESSION_COOKIE_SECURE = False\njwt.decode(t, verify=False)'),
        ("b.js", "el.innerHTML = req.query.x\n// el.innerHTML = req.body.x\nres.setHeader('a', req.query.b)\nmysql({multipleStatements: true})\nallow_origins=['*']\ncsrf: false\nprisma.$queryRawUnsafe(req.body.q)"),
        ("c.sql", "EXEC ('a' + @b)\n-- EXEC ('a' + @b)\nPREPARE s FROM @q"), ("d.cfg", "DATABASE_URL=postgres://h/d?sslmode=disable")],
@@ -186,7 +186,7 @@ found("web_line_rules", rules.line_findings, "path string, line int, rule string
        ("a.py", 8, "web.session.insecure_cookie"), ("a.py", 9, "web.jwt.verification_disabled"), ("b.js", 1, "web.xss.request_to_html"), ("b.js", 3, "web.header.request_to_response"), ("b.js", 4, "web.sql.multistatement_enabled"),
        ("b.js", 5, "web.cors.wildcard"), ("b.js", 6, "web.csrf.disabled"), ("b.js", 7, "web.sql.request_to_query"), ("b.js", 7, "web.sql.orm_unsafe_raw"), ("c.sql", 1, "database.sql.dynamic_exec"), ("c.sql", 3, "database.sql.dynamic_prepare"), ("d.cfg", 1, "web.database.connection_tls_disabled")])
 found("taint_rules", rules.taint_findings, "path string, line long, rule string, variable string", [("a.py", 'q = request.args.get("x")\ns = "SELECT " + q\ncur.execute(s)\ncur.execute("SELECT ?", (q,))\nq = "safe"\ncur.execute(q)'), ("b.py", "q = request.args['x']\n" + "pass\n" * 41 + "cur.execute(q)"), ("c.py", "q = request.args['x']\n" + "pass\n" * 39 + "cur.execute(q)")],
-      [("a.py", 3, "taint.sql", "s"), ("c.py", 41, "taint.sql", "q")])
+      [("a.py", 3, "web.sql.tainted_variable_to_query", "s"), ("c.py", 41, "web.sql.tainted_variable_to_query", "q")])
 found("stack_profile", rules.stack_profile, "root string, languages array<string>, managers array<string>", [("web/package.json", "{}"), ("web/src/a.ts", ""), ("web/src/b.js", ""), ("api/pyproject.toml", ""), ("api/x.py", ""), ("README", "")],
       [("web", ["JavaScript", "TypeScript"], ["npm"]), ("api", ["Python"], ["pip"]), ("README", [], [])])
 found("references_found", rules.references, "path string, name string, kind string", [("a.ts", "const x = new Foo(bar(1)); baz.qux(2); if (y) { bar(2) }"), ("b.js", "// f(1)\ng()")],
@@ -330,20 +330,6 @@ def memory_search_literal(spark, sf_dir):
 
 
 
-_ROUTES = [(1, "users", "/:id"), (2, "lone", "x/"), (3, "loop", "/l")]
-
-_MOUNTS = [("users", "api", "/users"), ("api", "app", "/api/v1"), ("users", "admin", "/admin/"), ("loop", "back", "/b"), ("back", "loop", "/c")]
-
-
-@register("mounts_expanded", values("route_id long, full string", [(1, "/api/v1/users/:id"), (1, "/admin/:id"), (2, "/x")]))
-def mounts_expanded(spark, sf_dir):
-    """Routes whose routers mount each other in a circle reach no application and have no path."""
-    from quarrylight.operators.workflow import expand_mounts
-
-    return expand_mounts(spark.createDataFrame(_ROUTES, "route_id long, router string, template string"), spark.createDataFrame(_MOUNTS, "child string, parent string, prefix string"))
-
-
-
 _ADVISORIES = [("A", None, [("1.0.0", "1.5.0")]), ("B", None, [("2.0.0-rc.1", None)]), ("C", "2024-01-01", [("0", None)])]
 
 

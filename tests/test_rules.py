@@ -32,9 +32,20 @@ def test_lines(spark):
 
 def test_taint(spark):
     direct = 'q = request.args.get("x")\ns = "SELECT " + q\ncur.execute(s)\ncur.execute("SELECT ?", (q,))\nq = "safe"\ncur.execute(q)'
-    assert found(R.taint_findings(files(spark, a__py=direct)), "line", "rule", "variable") == [(3, "taint.sql", "s")]
+    assert found(R.taint_findings(files(spark, a__py=direct)), "line", "rule", "variable") == [(3, "web.sql.tainted_variable_to_query", "s")]
     assert R.taint_of_lines(["q = request.args['x']", *["pass"] * 41, "cur.execute(q)"]) == []
-    assert R.taint_of_lines(["q = request.args['x']", *["pass"] * 39, "cur.execute(q)"]) == [(41, "taint.sql", "q")]
+    assert R.taint_of_lines(["q = request.args['x']", *["pass"] * 39, "cur.execute(q)"]) == [(41, 0, "q", 1)]
+    assert R.taint_of_lines(["# q = request.args['x']", "q = request.args['x']", "# cur.execute(q)", "x = y", "cur.execute('a', q)"], R.COMMENTS[".py"]) == []
+    assert R.taint_of_lines(["const $a = req.query.n;", "let b = `x ${$a}`", "// res.set('h', $a)", "res.set('h', b)", "b = 1", "res.set('h', b)"], R.COMMENTS[".js"]) == [(4, 1, "b", 1)]
+
+
+def test_findings_carry_evidence(spark):
+    text = 'x = request.args["a"]\ncur.execute("SELECT " + x)  # password = "hunter2"\nDATABASE_URL = "postgres://me:pw@h/d?sslmode=disable"\n' + "app.run(debug=True)" + " " * 5 + "#" * 300
+    rows = R.line_findings(files(spark, a__py=text)).unionByName(R.taint_findings(files(spark, a__py=text)).drop("variable", "source_line")).orderBy("line", "rule").collect()
+    assert [(r["line"], r["rule"], r["severity"], r["cwe"], r["confidence"]) for r in rows] == [
+        (2, "web.sql.dynamic_query", "high", "CWE-89", 0.96), (2, "web.sql.tainted_variable_to_query", "critical", "CWE-89", 0.94), (3, "web.database.connection_tls_disabled", "high", "CWE-319", 0.96), (4, "web.debug.enabled", "medium", "CWE-489", 0.96)
+    ]
+    assert rows[0]["excerpt"].endswith('password = "<redacted>"') and "me:<redacted>@h" in rows[2]["excerpt"] and len(rows[3]["excerpt"]) == 240 and len({r["fingerprint"] for r in rows}) == 4
 
 
 def test_symbols_imports_routes(spark):

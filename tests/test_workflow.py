@@ -5,11 +5,44 @@ from quarrylight.operators import workflow as W
 from quarrylight.sources.sinks import report, write_components
 
 
+ROUTE = "route_id int, file string, framework string, router string, router_prefix string, template string"
+MOUNT = "source_file string, target_file string, framework string, parent_router string, imported_name string, binding string, prefix string, override boolean"
+
+
+def mounted(spark, routes, mounts):
+    r = spark.createDataFrame([(i, f, "x", "r", p, t) for i, f, p, t in routes], ROUTE)
+    m = spark.createDataFrame([(up, at, kind, "r", name, "b", prefix, over) for at, up, kind, name, prefix, over in mounts], MOUNT)
+    return {tuple(x) for x in W.expand_mounts(r, m).collect()}
+
+
 def test_mounts(spark):
-    routes = spark.createDataFrame([(1, "users", "/:id"), (2, "lone", "x/"), (3, "loop", "/l")], "route_id int, router string, template string")
-    mounts = spark.createDataFrame([("users", "api", "/users"), ("api", "app", "/api/v1"), ("users", "admin", "/admin/"), ("loop", "back", "/b"), ("back", "loop", "/c")], "child string, parent string, prefix string")
-    got = {tuple(r) for r in W.expand_mounts(routes, mounts).collect()}
-    assert got == {(1, "/api/v1/users/:id"), (1, "/admin/:id"), (2, "/x")}
+    """Two parents, a route alone, a circle, another framework, another name, and a prefix that overrides."""
+    mounts = [("users", "api", "x", "r", "/users", False), ("api", "app", "x", "default", "/api/v1", None), ("users", "admin", "x", "*", "/admin/", True), ("loop", "back", "x", "r", "/b", False), ("back", "loop", "x", "r", "/c", False), ("lone", "z", "y", "r", "/no", False), ("lone", "z", "x", "q", "/no", False)]
+    got = mounted(spark, [(1, "users", "/pre", "/pre/:id"), (2, "lone", None, "x/"), (3, "loop", "", "/l")], mounts)
+    assert got == {(1, "/api/v1/users/pre/:id"), (1, "/admin/:id"), (2, "/x"), (3, "/c/b/l")}
+
+
+def test_a_long_chain_of_mounts_keeps_its_route(spark):
+    for n, want in ((7, 7), (8, 8), (9, 8), (12, 8)):
+        got = mounted(spark, [(1, "f0", None, "/end")], [(f"f{i}", f"f{i + 1}", "x", "r", f"/p{i}", False) for i in range(n)])
+        assert got == {(1, "".join(f"/p{i}" for i in reversed(range(want))) + "/end")}
+
+
+def test_eligibility(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(True, 2, 1, "xss", 0.4, True, "MANUAL"), (True, 2, 1, "xss", None, True, "MANUAL"), (True, 0, 1, "xss", 0.9, True, "INSUFFICIENT"), (False, 3, 1, "xss", 0.9, True, "INSUFFICIENT"), (True, 1, None, "xss", 0.9, True, "MANUAL"), (True, 1, 1, "xss", 0.9, False, "GUIDED"),
+            (True, 1, 1, "xss", 0.82, True, "AUTO"), (True, 1, 1, "odd", 0.7, False, "MANUAL"), (True, 1, 1, "odd", 0.9, True, "AUTO"), (True, 1, 1, "cors", 0.9, True, "GUIDED"), (True, 1, 1, "cors", 0.5, True, "MANUAL"), (True, 1, 1, "xss", 0.56, True, "MANUAL"), (True, 1, 1, None, 0.6, None, "MANUAL")]
+    df = spark.createDataFrame(rows, "o boolean, e int, p int, c string, b double, x boolean, want string")
+    assert df.select(W.eligibility(*[F.col(c) for c in "oepcbx"]).alias("got"), "want").filter("got <> want").count() == 0
+
+
+def test_follow_ups(spark):
+    runs = spark.createDataFrame([(1, "failed"), (2, "interrupted"), (3, "completed"), (4, "failed"), (5, "failed"), (6, "failed")], "run_id int, status string")
+    done = lambda r, *states: [(r, i, ("scout", "source", "deps", "web")[i], s) for i, s in enumerate(states)]
+    steps = done(1, "completed", "failed", "skipped") + done(2, "completed", "completed", "completed", "interrupted") + done(3, "completed", "failed") + done(4, "completed", "completed", "completed") + done(5, "completed", "completed", "running") + [(6, 0, "source", "failed"), (6, 1, "scout", "failed")]
+    got = [(r["run_id"], r["role"], r["depends_on"]) for r in W.follow_up(runs, spark.createDataFrame(steps, "run_id int, position int, role string, status string")).orderBy("run_id", "position").collect()]
+    assert got == [(1, "scout", None), (1, "source", "scout"), (2, "scout", None), (2, "source", "scout"), (2, "web", "source")]
 
 
 def test_plan(spark):
