@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from quarrylight.session import settle
 
-#: runs of characters outside \x00-\x40, \x5B-\x60 and \x7B-\x7F: ASCII letters and everything beyond ASCII
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: terms are runs of [^\x00-\x40\x5B-\x60\x7B-\x7F], ASCII letters and everything beyond ASCII; this is what stands between them
+BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SCALE = 1_000_000_000
 
@@ -34,12 +34,13 @@ def _key(name: str) -> Column:
 def term_counts(docs: DataFrame) -> DataFrame:
     """(lang, source, term, n, docs): occurrences and rows with the term.
 
-    A text's terms are sorted, so a term's first occurrence is where it differs from the one before.
+    The matches are what a split at everything else leaves: extracting them copies the whole text for each. A text's terms are
+    sorted, so a term's first occurrence is where it differs from the one before; empty ends of the text come first and go.
     """
     low = F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER)
-    found = docs.select(_key("lang"), _key("source"), F.sort_array(F.regexp_extract_all(low, F.lit(TERM), F.lit(0))).alias("_t"))
-    before = F.concat(F.array(F.lit("")), F.slice("_t", 1, F.greatest(F.size("_t") - 1, F.lit(0))))
-    each = found.filter(F.size("_t") > 0).select("lang", "source", F.inline(F.arrays_zip(F.col("_t").alias("term"), before.alias("_before"))))
+    found = docs.select(_key("lang"), _key("source"), F.sort_array(F.split(low, BETWEEN)).alias("_t"))
+    before = F.concat(F.array(F.lit("")), F.slice("_t", 1, F.size("_t") - 1))
+    each = found.select("lang", "source", F.inline(F.arrays_zip(F.col("_t").alias("term"), before.alias("_before")))).filter("term <> ''")
     first = (F.col("term") != F.col("_before")).cast("long")
     return each.groupBy("lang", "source", "term").agg(F.count(F.lit(1)).alias("n"), F.sum(first).alias("docs"))
 
