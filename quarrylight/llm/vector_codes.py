@@ -34,20 +34,25 @@ from quarrylight.session import discard, scratch, settle
 PARTS, ENTRIES, ROUNDS, UNIT = 4, 256, 4, 1024
 #: scaled components stay under this magnitude, so squared distances of up to 8,192 components fit 64 bits
 RANGE = 1 << 24
-#: vectors that a task assigns at once, and neighbours that are scanned at once
-BATCH, BLOCK = 1 << 15, 32
+#: vectors that a task assigns at once, and neighbours that are scanned at first; each further step takes twice as many
+BATCH, BLOCK = 1 << 15, 64
 
 
 # ------------------------------------------------------------------ search
 
 
-def squared(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Exact squared distances of every row of x to every row of c, as int64."""
+def exact(x: np.ndarray, c: np.ndarray) -> np.dtype:
+    """The type in which a squared distance of x's rows to c's, times the number of entries, is exact: doubles up to 2^53, else Python's integers."""
     most = max((int(np.abs(a).max()) if a.size else 0) for a in (x, c))
-    if x.shape[1] * (2 * most) ** 2 < 1 << 53:  # every partial sum is an integer that doubles hold
-        x, c = x.astype(np.float64), c.astype(np.float64)
-        return ((x * x).sum(1)[:, None] - 2 * (x @ c.T) + (c * c).sum(1)).astype(np.int64)
-    return np.stack([((x - e) ** 2).sum(1) for e in c], axis=1) if len(c) else np.zeros((len(x), 0), np.int64)
+    return np.dtype(np.float64 if x.shape[1] * (2 * most) ** 2 * len(c) < 1 << 53 else object)
+
+
+def squared(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Squared distances of every row of x to every row of c, both of the type that exact() names."""
+    out = x @ (-2 * c.T)
+    out += (x * x).sum(1)[:, None]
+    out += (c * c).sum(1)
+    return out
 
 
 class Neighbours:
@@ -55,30 +60,38 @@ class Neighbours:
 
     def __init__(self, entries: np.ndarray):
         self.entries = entries
-        between = squared(entries, entries)
+        between = squared(*[entries.astype(exact(entries, entries))] * 2)
         self.order = np.argsort(between, axis=1, kind="stable")
-        self.distance = np.take_along_axis(between, self.order, 1)
+        self.distance = np.take_along_axis(between, self.order, 1).astype(np.int64)
 
     def nearest(self, x: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(index, squared distance) of the nearest entry to each row of x, ties to the lower index; start: where each begins."""
-        u = ((x - self.entries[start]) ** 2).sum(1)
-        best, at = u.copy(), start.astype(np.int64)
+        """(index, squared distance) of the nearest entry to each row of x, ties to the lower index; start: where each begins.
+
+        A distance times the number of entries plus the index is one number, whose least is the nearest entry of the lowest index.
+        """
+        kind, n = exact(x, self.entries), len(self.entries)
+        x, entries = x.astype(kind), self.entries.astype(kind)
+        u = ((x - entries[start]) ** 2).sum(1)
+        best = u * n + start
         by_start = np.argsort(start, kind="stable")
-        bounds = np.searchsorted(start[by_start], np.arange(len(self.entries) + 1))
+        bounds = np.searchsorted(start[by_start], np.arange(n + 1))
         for a in np.flatnonzero(np.diff(bounds)):
             rows = by_start[bounds[a] : bounds[a + 1]]
-            reach = np.searchsorted(self.distance[a], 4 * u[rows], "right")  # how much of the list lies inside the radius
-            rows = rows[np.argsort(-reach, kind="stable")]
-            reach = np.sort(reach)[::-1]
-            for first in range(0, int(reach[0]), BLOCK):
-                inside = rows[: int(np.searchsorted(-reach, -first, "left"))]  # whose radius passes this block's first entry
-                entries = self.order[a, first : first + BLOCK]
-                found = squared(x[inside], self.entries[entries])
-                least = found.min(1)
-                index = np.where(found == least[:, None], entries, len(self.entries)).min(1)
-                better = (least < best[inside]) | ((least == best[inside]) & (index < at[inside]))
-                best[inside[better]], at[inside[better]] = least[better], index[better]
-        return at, best
+            # how much of a's list lies inside the radius; those who look furthest first
+            reach = np.searchsorted(self.distance[a], 4 * u[rows].astype(np.int64), "right")
+            furthest = np.argsort(-reach, kind="stable")
+            rows, reach = rows[furthest], reach[furthest]
+            own, least, first, width = x[rows], best[rows], 0, BLOCK
+            while first < reach[0]:
+                m = int(np.searchsorted(-reach, -first, "left"))  # rows whose radius passes this block's first entry
+                block = self.order[a, first : first + width]
+                found = squared(own[:m], entries[block])
+                found *= n
+                found += block
+                least[:m] = np.minimum(least[:m], found.min(1))
+                first, width = first + width, 2 * width
+            best[rows] = least
+        return (best % n).astype(np.int64), (best // n).astype(np.int64)
 
 
 # ------------------------------------------------------------------ tasks

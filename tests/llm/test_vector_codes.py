@@ -103,7 +103,7 @@ def test_search_scans_less_than_everything(monkeypatch):
     whole = V.squared
     monkeypatch.setattr(V, "squared", lambda a, c: scanned.append(len(a) * len(c)) or whole(a, c))
     n.nearest(x, np.repeat(np.arange(256), 20))
-    assert sum(scanned) < 0.2 * 5120 * 256
+    assert sum(scanned) == 5120 * V.BLOCK  # one block of four
 
 
 def test_one_folder_of_codes_is_left(spark):
