@@ -155,6 +155,10 @@ def version_affected(version: Column, events: Column) -> Column:
 
 def cvss3_base_score(vector: Column) -> Column:
     """CVSS 3.x base score; null where a metric is missing or unknown."""
+    return let(vector, _cvss3)  # one interpreted expression: as generated code it would be beyond what the JVM compiles
+
+
+def _cvss3(vector: Column) -> Column:
     parts = F.str_to_map(vector, F.lit("/"), F.lit(":"))
     metric = lambda n: F.try_element_at(parts, F.lit(n))
     pick = lambda n, **values: reduce(lambda w, kv: w.when(metric(n) == kv[0], F.lit(kv[1])), values.items(), F.when(F.lit(False), F.lit(0.0)))
