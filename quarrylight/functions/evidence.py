@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import re
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylight.functions.scalar import let
+from quarrylight.session import workers_find_us
 
 #: fixed values: names of sensitive fields; prefixes of tokens
 SENSITIVE_KEYS = [
@@ -49,21 +52,40 @@ def redact_text(text: Column) -> Column:
     return F.regexp_replace(out, r"(?<![A-Za-z0-9_.-])(?=[A-Za-z0-9_.-]{32})eyJ[A-Za-z0-9_-]*\.[A-Za-z0-9_-]*\.[A-Za-z0-9_-]*(?![A-Za-z0-9_.-])", WITHHELD)
 
 
-def redact_json(text: Column) -> Column:
-    """JSON text with the values of sensitive keys withheld at every depth, without spaces between tokens.
+_SENSITIVE = re.compile("|".join(sorted({k.replace("-", "").replace("_", "") for k in SENSITIVE_KEYS})))
+#: nested values beyond this depth make a text no JSON
+JSON_DEPTH = 128
+
+
+def withhold(value, depth: int = 0):
+    """A JSON value with what stands under a sensitive key, of whatever kind and at whatever depth, withheld."""
+    if depth > JSON_DEPTH:
+        raise ValueError("nested too deeply")
+    if isinstance(value, dict):
+        return {k: WITHHELD if _SENSITIVE.search(k.lower().replace("-", "").replace("_", "")) else withhold(v, depth + 1) for k, v in value.items()}
+    return [withhold(v, depth + 1) for v in value] if isinstance(value, list) else value
+
+
+def _no_constant(name: str):
+    raise ValueError(name)
 
-    A sensitive key over a nested value, which a pattern can't delimit, withholds the whole text.
-    """
-    keys = "|".join(k.replace("-", "[-_]?").replace("_", "[-_]?") if "-" in k or "_" in k else k for k in SENSITIVE_KEYS)
-    compact = F.regexp_replace(text, r'("(?:[^"\\]|\\.)*")|\s+', "$1")
-    hidden = F.regexp_replace(compact, rf'(?i)("[^"]*(?:{keys})[^"]*":)("(?:[^"\\]|\\.)*"|\[[^\[\]{{}}]*\]|\{{[^\[\]{{}}]*\}}|[^,\[\]{{}}]+)', f'$1"{WITHHELD}"')
-    return let(hidden, lambda t: F.when(t.rlike(rf'(?i)"[^"]*(?:{keys})[^"]*":[\[{{]'), WITHHELD).otherwise(cut(t, 1024)))
+
+def _redacted(text: str | None) -> str | None:
+    try:
+        return None if text is None else json.dumps(withhold(json.loads(text, parse_constant=_no_constant)), separators=(",", ":"), ensure_ascii=False)
+    except (ValueError, RecursionError):
+        return None
+
+
+def redact_json(text: Column) -> Column:
+    """JSON text with sensitive values withheld, without spaces between tokens; null where the text is no JSON. Runs in Arrow batches."""
+    workers_find_us(SparkSession.getActiveSession())
+    return F.pandas_udf(lambda texts: texts.map(_redacted), "string")(text)
 
 
 def redact_body(body: Column, secrets: list[str] = ()) -> Column:
     """A body fit to be kept: JSON by key, other text by pattern, then the secrets given; cut to 1,024 characters."""
-    whole = F.try_parse_json(body).isNotNull() if hasattr(F, "try_parse_json") else F.get_json_object(body, "$").isNotNull()
-    shown = F.when(whole, redact_json(body)).otherwise(let(body, redact_text))
+    shown = let(F.struct(redact_json(body).alias("j"), body.alias("b")), lambda t: F.when(t["j"].isNotNull(), cut(t["j"], 1024)).otherwise(redact_text(t["b"])))
     return reduce(lambda t, s: F.replace(t, F.lit(s), F.lit(WITHHELD)), [s.strip() for s in secrets if s.strip()], shown)
 
 

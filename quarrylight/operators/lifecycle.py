@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrylight.session import release, settle
+
 
 def merge_findings(old: DataFrame, observed: DataFrame, keys: list[str], now: Column, coverage_complete: bool | Column = True) -> DataFrame:
     """New snapshot of findings(keys, status, first_seen, last_seen) after observed(keys).
@@ -71,6 +73,51 @@ def stale(relations: DataFrame, changed: DataFrame, relation_key: str, changed_k
     return relations.join(hit, relation_key, "left").withColumn("is_active", F.col("is_active") & F.col("_hit").isNull()).drop("_hit")
 
 
+def cascade(start: DataFrame, links: DataFrame) -> DataFrame:
+    """(kind, id, round): start(kind, id) and all that links(from_kind, from_id, to_kind, to_id) lead to, each once, with the first round that did.
+
+    Each round joins only what the round before found new, so every link is followed once; rounds are settled and go on until
+    one finds nothing, whatever the depth. Circles end, as what was seen is not new. Rows with a null id lead nowhere.
+    """
+    new = settle(start.dropna(subset=["id"]).select("kind", "id").distinct().withColumn("round", F.lit(0)), "cascade")
+    seen = settle(new, "cascade")
+    while True:
+        reached = new.join(links, (F.col("kind") == F.col("from_kind")) & (F.col("id") == F.col("from_id")))
+        step = reached.dropna(subset=["to_id"]).groupBy(F.col("to_kind").alias("kind"), F.col("to_id").alias("id")).agg((F.min("round") + 1).alias("round"))
+        new = settle(step.join(seen.select("kind", "id"), ["kind", "id"], "left_anti"), "cascade", new)
+        if new.isEmpty():
+            release(new)
+            return seen
+        seen = settle(seen.unionByName(new), "cascade", seen)
+
+
+def invalidate_semantics(files: DataFrame, symbols: DataFrame, relations: DataFrame, imports: DataFrame) -> DataFrame:
+    """What a new index makes stale: (kind, id, round) of relations, imports, symbol states and graph edges.
+
+    files(file_id, old_hash, new_hash, was_active, is_active), symbols(symbol_id, file_id, was_active, is_active), relations(relation_id,
+    subject, container, target, occurrence_file, target_file, edge_id), imports(import_id, source_file, target_file, edge_id). A file
+    whose hash changed, or that is active no longer, invalidates the relations and imports that it takes part in and the states of its
+    symbols; a symbol that is active no longer its own state and relations; a relation or import its edge.
+    """
+    changed = (F.col("old_hash") != F.col("new_hash")) | (F.col("was_active") & ~F.col("is_active"))
+    start = files.filter(changed).select(F.lit("file").alias("kind"), F.col("file_id").alias("id"))
+    start = start.unionByName(symbols.filter("was_active AND NOT is_active").select(F.lit("symbol").alias("kind"), F.col("symbol_id").alias("id")))
+    end = lambda kind, c: F.struct(F.lit(kind).alias("kind"), F.col(c).alias("id"))
+
+    def link(df: DataFrame, to: tuple[str, str], *froms: tuple[str, str]) -> DataFrame:
+        each = F.explode(F.array(*[end(k, c) for k, c in froms])).alias("f")
+        rows = df.select(each, F.lit(to[0]).alias("to_kind"), F.col(to[1]).alias("to_id"))
+        return rows.select(F.col("f.kind").alias("from_kind"), F.col("f.id").alias("from_id"), "to_kind", "to_id").dropna(subset=["from_id", "to_id"])
+
+    links = [
+        link(relations, ("relation", "relation_id"), ("file", "occurrence_file"), ("file", "target_file"), ("symbol", "subject"), ("symbol", "container"), ("symbol", "target")),
+        link(imports, ("import", "import_id"), ("file", "source_file"), ("file", "target_file")),
+        link(symbols, ("state", "symbol_id"), ("file", "file_id"), ("symbol", "symbol_id")),
+        link(relations, ("edge", "edge_id"), ("relation", "relation_id")), link(imports, ("edge", "edge_id"), ("import", "import_id")),
+    ]
+    return cascade(start, settle(reduce(DataFrame.unionByName, links), "links")).filter("round > 0")
+
+
 def orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str) -> DataFrame:
     return child.join(parent.select(F.col(parent_key).alias(child_key)).distinct(), child_key, "left_anti")
 

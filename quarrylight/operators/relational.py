@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrylight.session import settle
+
 
 def where_given(df: DataFrame, **wanted) -> DataFrame:
     """Equality on every column whose wanted value is not None."""
@@ -89,3 +91,40 @@ def block_digest(rows: DataFrame, by: str, key: str, item: Column, fan: int = 40
     for _ in range(2):
         out = out.withColumn("_block", F.floor(F.col("_at") / fan)).groupBy(by, "_block").agg(joined("_at").alias("_h")).withColumnRenamed("_block", "_at")
     return out.groupBy(by).agg(joined("_at").alias("digest"))
+
+
+def digest_tree(rows: DataFrame, by: str, key: str, item: Column, fan: int = 4096) -> DataFrame:
+    """(by, level, block, digest): the levels of block_digest as rows, to be kept. Level 0: blocks of `fan` keys, 1: of fan * fan, 2: one root.
+
+    digest of a block covers what is in it, in key order. key is a long that is unique within by.
+    """
+    joined = lambda order: F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, "_h"))), lambda r: r["_h"]), "\n"), 256)
+    low = rows.select(by, F.floor(F.col(key) / fan).alias("block"), F.col(key).alias("_at"), item.alias("_h")).groupBy(by, "block").agg(joined("_at").alias("digest"))
+    low = settle(low, "tree")
+    middle = low.select(by, F.floor(F.col("block") / fan).alias("_b"), F.col("block").alias("_at"), F.col("digest").alias("_h")).groupBy(by, F.col("_b").alias("block")).agg(joined("_at").alias("digest"))
+    middle = settle(middle, "tree")
+    root = middle.select(by, F.col("block").alias("_at"), F.col("digest").alias("_h")).groupBy(by).agg(joined("_at").alias("digest")).withColumn("block", F.lit(0).cast("long"))
+    return reduce(DataFrame.unionByName, [d.select(by, F.lit(k).alias("level"), "block", "digest") for k, d in enumerate((low, middle, root))])
+
+
+def differing_blocks(old: DataFrame, new: DataFrame, by: str, fan: int = 4096) -> DataFrame:
+    """(by, block) of the lowest level that differ between two digest trees, found from the roots down.
+
+    Only what lies under a differing block is compared, so equal parts cost one row a root or a block. A block of one tree alone differs.
+    """
+    open_ = None
+    for level, above in ((2, None), (1, F.lit(0).cast("long")), (0, F.floor(F.col("block") / fan))):
+        a, b = (t.filter(F.col("level") == level).select(by, "block", F.col("digest").alias(n)) for t, n in ((old, "_old"), (new, "_new")))
+        if open_ is not None:
+            a, b = (t.withColumn("_up", above).join(open_, [by, "_up"], "left_semi").drop("_up") for t in (a, b))
+        differ = settle(a.join(b, [by, "block"], "full_outer").filter(~F.col("_old").eqNullSafe(F.col("_new"))).select(by, "block"), "blocks")
+        open_ = differ.withColumnRenamed("block", "_up")
+    return differ
+
+
+def tree_changes(old: DataFrame, new: DataFrame, blocks: DataFrame, by: str, key: str, digest: str, fan: int = 4096) -> DataFrame:
+    """(by, key, state): added, removed and changed rows of old and new(by, key, digest); of rows outside `blocks` only the keys are looked at."""
+    inside = lambda d: d.select(by, key, digest).withColumn("block", F.floor(F.col(key) / fan)).join(blocks, [by, "block"], "left_semi").drop("block")
+    a, b = inside(old).withColumnRenamed(digest, "_old"), inside(new).withColumnRenamed(digest, "_new")
+    state = F.when(F.col("_old").isNull(), "added").when(F.col("_new").isNull(), "removed").when(F.col("_old") != F.col("_new"), "changed")
+    return a.join(b, [by, key], "full_outer").select(by, key, state.alias("state")).filter("state IS NOT NULL")

@@ -109,6 +109,11 @@ over("observation_problems", "events", "event_id", ["CASE WHEN event_id % 13 = 0
      "CASE WHEN event_id % 13 = 0 THEN 'action' WHEN event_id % 5 = 0 THEN 'labels' WHEN event_id % 7 = 0 THEN CASE WHEN event_id % 8 = 7 THEN 'score_sum' ELSE 'score_sum' END WHEN event_id % 3 = 0 THEN 'label_absent' WHEN event_id % 4 = 1 THEN 'confidence_mismatch' END")
 
 
+_DEEP = "concat('{\"k\": ', event_id, ', \"session\": {\"a\": [1, {\"b\": ', user_id, '}]}, \"list\": [{\"user-password\": [\"p', event_id, '\"]}, {\"n\": {\"dob\": 1, \"m\": ', user_id, '}}], \"t\": \"', event_type, '\"}')"
+over("bodies_redacted", "events", "event_id", [pick("event_id", _DEEP, "concat('id=5&token=abc', event_id, '&x=', event_type)", "props", "concat('Bearer abc.', user_id, ' next ', event_type)")], lambda b: E.redact_body(b, ["hunter2"]),
+     pick("event_id", "'{\"k\":' || event_id || ',\"session\":\"<redacted>\",\"list\":[{\"user-password\":\"<redacted>\"},{\"n\":{\"dob\":\"<redacted>\",\"m\":' || user_id || '}}],\"t\":\"' || event_type || '\"}'", "'id=5&token=<redacted>&x=' || event_type", "replace(props, ' ', '')", "'Bearer <redacted> next ' || event_type"))
+
+
 @register("columns_resolved", """SELECT m.t AS "table", m.role, m.c AS "column" FROM (VALUES ('documents', 'code', 'source'), ('documents', 'language', 'lang'), ('labels', 'label', 'toxic'), ('benchmark', 'code', 'text'), ('conversations', 'code', 'text')) m(t, role, c)""")
 def columns_resolved(spark, sf_dir):
     """The columns that play a role in each given table, by their names."""

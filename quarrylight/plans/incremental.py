@@ -75,6 +75,38 @@ def stale_relations(spark, sf_dir):
     return L.stale(rel, table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'"), "l_orderkey", "o_orderkey")
 
 
+_SEMANTICS = """fi AS (SELECT doc_id AS id, doc_id % 10 = 0 OR doc_id % 17 = 0 AS hit FROM documents), sy AS (SELECT p_partkey AS id, p_partkey % 997 AS file, p_size = 50 AS gone FROM part),
+re AS (SELECT l_orderkey * 10 + l_linenumber AS id, min(l_partkey) AS subject, min(l_suppkey) AS container, max(l_partkey) + 1 AS target, l_orderkey % 1009 AS occurrence, l_linenumber * 31 AS target_file, CASE WHEN l_linenumber % 2 = 0 THEN l_orderkey * 20 + l_linenumber END AS edge FROM lineitem GROUP BY l_orderkey, l_linenumber),
+im AS (SELECT o_orderkey AS id, o_custkey % 997 AS source, o_orderkey % 997 AS target, -o_orderkey AS edge FROM orders),
+li AS (SELECT 'file' AS fk, unnest([occurrence, target_file]) AS f, 'relation' AS tk, id AS t FROM re UNION ALL SELECT 'symbol', unnest([subject, container, target]), 'relation', id FROM re UNION ALL SELECT 'file', unnest([source, target]), 'import', id FROM im
+  UNION ALL SELECT 'file', file, 'state', id FROM sy UNION ALL SELECT 'symbol', id, 'state', id FROM sy UNION ALL SELECT 'relation', id, 'edge', edge FROM re WHERE edge IS NOT NULL UNION ALL SELECT 'import', id, 'edge', edge FROM im)"""
+
+
+@register("semantic_invalidation", f"""WITH RECURSIVE {_SEMANTICS}, w AS (SELECT 'file' AS kind, id FROM fi WHERE hit UNION SELECT 'symbol', id FROM sy WHERE gone UNION SELECT li.tk, li.t FROM w JOIN li ON li.fk = w.kind AND li.f = w.id)
+SELECT DISTINCT kind, id FROM w WHERE kind NOT IN ('file', 'symbol')""")
+def semantic_invalidation(spark, sf_dir):
+    """What a new index of documents makes stale among relations (lineitem), imports (orders), states of symbols (part) and graph edges."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), F.lit("h").alias("old_hash"), F.when(F.col("doc_id") % 10 == 0, "n").otherwise("h").alias("new_hash"), F.lit(True).alias("was_active"), (F.col("doc_id") % 17 != 0).alias("is_active"))
+    symbols = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("symbol_id"), (F.col("p_partkey") % 997).alias("file_id"), F.lit(True).alias("was_active"), (F.col("p_size") != 50).alias("is_active"))
+    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("subject"), F.min("l_suppkey").alias("container"), (F.max("l_partkey") + 1).alias("target"))
+    line, order = F.col("l_linenumber").cast("long"), F.col("l_orderkey")
+    relations = li.select((order * 10 + line).alias("relation_id"), "subject", "container", "target", (order % 1009).alias("occurrence_file"), (line * 31).alias("target_file"), F.when(line % 2 == 0, order * 20 + line).alias("edge_id"))
+    imports = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("import_id"), (F.col("o_custkey") % 997).alias("source_file"), (F.col("o_orderkey") % 997).alias("target_file"), (-F.col("o_orderkey")).alias("edge_id"))
+    return L.invalidate_semantics(d, symbols, relations, imports).select("kind", "id")
+
+
+@register("snapshot_changes", """SELECT lang, doc_id, CASE WHEN doc_id % 103 = 0 THEN 'added' WHEN doc_id % 101 = 0 THEN 'removed' ELSE 'changed' END AS state FROM documents WHERE (doc_id % 103 = 0) <> (doc_id % 101 = 0) OR (doc_id % 97 = 0 AND doc_id % 103 <> 0 AND doc_id % 101 <> 0)""")
+def snapshot_changes(spark, sf_dir):
+    """Two snapshots of documents by their digest trees: only rows of blocks that differ are compared."""
+    from quarrylight.operators import relational as R
+
+    d = table(spark, sf_dir, "documents").select("lang", "doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
+    old = d.filter("doc_id % 103 <> 0")
+    new = d.filter("doc_id % 101 <> 0").withColumn("digest", F.when(F.col("doc_id") % 97 == 0, F.sha2("digest", 256)).otherwise(F.col("digest")))
+    trees = [R.digest_tree(t, "lang", "doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("digest")), 16) for t in (old, new)]
+    return R.tree_changes(old, new, R.differing_blocks(*trees, "lang", 16), "lang", "doc_id", "digest", 16)
+
+
 @register("state_transition_violations", """SELECT event_id, from_state, event_type AS to_state FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS from_state FROM events)
 WHERE from_state IS NOT NULL AND NOT ((from_state = 'view' AND event_type = 'click') OR (from_state = 'click' AND event_type = 'purchase') OR (from_state = 'signup' AND event_type = 'view'))""")
 def state_transition_violations(spark, sf_dir):

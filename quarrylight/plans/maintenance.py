@@ -202,6 +202,21 @@ def shortest_paths(spark, sf_dir):
     return G.shortest_paths(p.select(F.col("p_partkey").alias("source"), target.alias("target")).filter("target > 0"), p.filter("p_size = 50").select(F.col("p_partkey").alias("node"))).select("node", "depth")
 
 
+_LATTICE = "e AS (SELECT DISTINCT s AS source, unnest([s // 2, s // 3, s // 5]) AS target FROM (SELECT p_partkey AS s, p_size FROM part) WHERE p_size % 4 <> 0), f AS (SELECT * FROM e WHERE target > 0)"
+
+
+@register("all_shortest_paths", f"""WITH RECURSIVE {_LATTICE}, w AS (SELECT p_partkey AS node, 0 AS depth, [p_partkey] AS path FROM part WHERE p_partkey % 500 = 1 UNION ALL SELECT f.target, w.depth + 1, list_append(w.path, f.target) FROM w JOIN f ON f.source = w.node),
+m AS (SELECT node, min(depth) AS depth FROM w GROUP BY 1), s AS (SELECT DISTINCT w.node, w.depth, w.path FROM w JOIN m ON m.node = w.node AND m.depth = w.depth),
+r AS (SELECT *, count(*) OVER (PARTITION BY node) AS paths, row_number() OVER (PARTITION BY node ORDER BY path) AS place FROM s) SELECT node, depth, paths::DOUBLE AS paths, place, array_to_string(path, '>') AS path FROM r WHERE place <= 3""")
+def all_shortest_paths(spark, sf_dir):
+    """Every shortest path down a lattice of parts, from the parts behind every 500th: counted, the first three of each node written out."""
+    p = table(spark, sf_dir, "part")
+    s = F.col("p_partkey")
+    edges = p.filter("p_size % 4 <> 0").select(s.alias("source"), F.explode(F.array(*[F.floor(s / k) for k in (2, 3, 5)])).alias("target")).filter("target > 0")
+    found = G.all_shortest_paths(edges, p.filter("p_partkey % 500 = 1").select(s.alias("node")), 3)
+    return found.select("node", "depth", F.col("paths").cast("double").alias("paths"), "place", F.array_join("path", ">").alias("path"))
+
+
 @register("dependencies_and_dependents", """SELECT DISTINCT 'depends_on' AS relation, l_suppkey AS node FROM lineitem WHERE l_partkey = 7 UNION SELECT DISTINCT 'depended_on_by', l_partkey FROM lineitem WHERE l_suppkey = 7""")
 def dependencies_and_dependents(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
