@@ -23,7 +23,7 @@ from math import exp, factorial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.session import settle
+from quarrylight.session import release, settle
 
 SPACE = r"[ \t\n\x0B\f\r]+"
 SYMBOLS = "[#*$%&|<>]"
@@ -126,43 +126,44 @@ def consistency(share: float) -> float:
     return share / inside(low, 3)
 
 
-def _moments(xs: list[str], weight: Column, s: int) -> list[Column]:
-    on = lambda c: F.when(weight, c)
-    out = [F.avg(on(F.col(x))).alias(f"m{s}_{x}") for x in xs]
-    out += [F.avg(on(F.col(x) * F.col(y))).alias(f"p{s}_{x}_{y}") for i, x in enumerate(xs) for y in xs[: i + 1]]
-    return out
-
-
-def _estimate(rows: DataFrame, xs: list[str], floors: list[float], weights: list[Column], scale: float = 1.0) -> DataFrame:
-    """Per pool and start s: means m, Cholesky factor l of the scatter times scale, log determinant det; one settled row a pool.
-
-    A variance under its floor's square is replaced by that.
-    """
-    df = rows.groupBy("_pool").agg(*[c for s, w in enumerate(weights) for c in _moments(xs, w, s)]).fillna(0.0)
-    out = [F.col("_pool")]
-    for s in range(len(weights)):
-        for i, x in enumerate(xs):
-            for j, y in enumerate(xs[: i + 1]):
-                c = (F.col(f"p{s}_{x}_{y}") - F.col(f"m{s}_{x}") * F.col(f"m{s}_{y}")) * scale
-                c = F.greatest(c, F.lit(floors[i] ** 2)) if i == j else c
-                c = reduce(lambda a, k, i=i, j=j: a - F.col(f"l{s}_{i}_{k}") * F.col(f"l{s}_{j}_{k}"), range(j), c)
-                c = F.sqrt(F.greatest(c, F.lit(floors[i] ** 2 / 4))) if i == j else c / F.col(f"l{s}_{j}_{j}")
-                df = df.withColumn(f"l{s}_{i}_{j}", c)
-        det = reduce(lambda a, b: a + b, [F.log(f"l{s}_{i}_{i}") for i in range(len(xs))]) * 2
-        out += [det.alias(f"det{s}"), *[F.col(c) for c in _facts(xs, s)[1:]]]
-    return settle(df.select(*out), "mcd")
-
-
 def _facts(xs: list[str], s: int) -> list[str]:
     return [f"det{s}", *[f"m{s}_{x}" for x in xs], *[f"l{s}_{i}_{j}" for i in range(len(xs)) for j in range(i + 1)]]
 
 
-def _distance(df: DataFrame, xs: list[str], s: int, name: str) -> DataFrame:
-    """Squared Mahalanobis distance by forward substitution."""
-    z = []
+def _moments(xs: list[str], weight: str, s: int) -> list[str]:
+    """Means m and mean products p of the rows that weight, a condition, lets in."""
+    out = [f"avg(CASE WHEN {weight} THEN {x} END) AS m{s}_{x}" for x in xs]
+    return out + [f"avg(CASE WHEN {weight} THEN {x} * {y} END) AS p{s}_{x}_{y}" for i, x in enumerate(xs) for y in xs[: i + 1]]
+
+
+def _cholesky(xs: list[str], floors: list[float], s: int, scale: float) -> list[str]:
+    """The factor l of the scatter times scale, an element after the other; a variance under its floor's square is replaced by that."""
+    out = []
     for i, x in enumerate(xs):
-        z.append(reduce(lambda a, k, i=i: a - F.col(f"l{s}_{i}_{k}") * z[k], range(i), F.col(x) - F.col(f"m{s}_{x}")) / F.col(f"l{s}_{i}_{i}"))
-    return df.withColumn(name, reduce(lambda a, b: a + b, [v * v for v in z]))
+        for j, y in enumerate(xs[: i + 1]):
+            c = f"(p{s}_{x}_{y} - m{s}_{x} * m{s}_{y}) * {scale!r}D"
+            c = f"greatest({c}, {floors[i] ** 2!r}D)" if i == j else c
+            c += "".join(f" - l{s}_{i}_{k} * l{s}_{j}_{k}" for k in range(j))
+            out.append(f"sqrt(greatest({c}, {floors[i] ** 2 / 4!r}D)) AS l{s}_{i}_{j}" if i == j else f"({c}) / l{s}_{j}_{j} AS l{s}_{i}_{j}")
+    return [*out, "2 * (" + " + ".join(f"ln(l{s}_{i}_{i})" for i in range(len(xs))) + f") AS det{s}"]
+
+
+def _estimate(rows: DataFrame, xs: list[str], floors: list[float], weights: list[str], scale: float = 1.0) -> DataFrame:
+    """Per pool and start s: means m, Cholesky factor l of the scatter times scale, log determinant det."""
+    moments = [F.expr(e) for s, w in enumerate(weights) for e in _moments(xs, w, s)]
+    df = rows.groupBy("_pool").agg(*moments).fillna(0.0)
+    starts = range(len(weights))
+    return df.selectExpr("*", *[e for s in starts for e in _cholesky(xs, floors, s, scale)]).select("_pool", *[c for s in starts for c in _facts(xs, s)])
+
+
+def _distances(df: DataFrame, xs: list[str], names: list[str]) -> DataFrame:
+    """df with the squared Mahalanobis distance under each start's estimate, by forward substitution."""
+    out = []
+    for s, name in enumerate(names):
+        for i, x in enumerate(xs):
+            out.append(f"({x} - m{s}_{x}" + "".join(f" - l{s}_{i}_{k} * _z{s}_{k}" for k in range(i)) + f") / l{s}_{i}_{i} AS _z{s}_{i}")
+        out.append(" + ".join(f"_z{s}_{i} * _z{s}_{i}" for i in range(len(xs))) + f" AS {name}")
+    return df.selectExpr("*", *out).select(*df.columns, *names)
 
 
 def mcd_distances(stats: DataFrame, cutoff: float = CUTOFF, share: float = 0.75, min_group: int = 100) -> DataFrame:
@@ -172,49 +173,54 @@ def mcd_distances(stats: DataFrame, cutoff: float = CUTOFF, share: float = 0.75,
     median gaps, and all rows. Each concentration step is one grouped aggregate for the `share` quantile of the distances and
     one for the moments of the rows below it, for all starts at once; both combine map-side, so a language or source that
     holds most rows is no bottleneck. Quantiles and estimates, one row a pool, are settled before they are joined back, so
-    the optimizer knows their size and broadcasts them while they are small. Steps end when no determinant falls by over
-    1 % (the quantiles' own error); guards bound it, so they do end.
+    the optimizer knows their size and broadcasts them while they are small; they go when the next step's are written. Steps
+    end when no determinant falls by over 1 % (the quantiles' own error); guards bound it, so they do end.
     """
     xs, floors = list(FEATURES), [f for _, f in FEATURES.values()]
     quantile = lambda c, q: F.percentile_approx(c, q, 1000)
     by_pool = lambda df, *aggregates: settle(df.groupBy("_pool").agg(*aggregates), "quantiles")
-    rows = settle(_pooled(stats, min_group).withColumns({x: f() for x, (f, _) in FEATURES.items()}), "features")
+    pooled, pools = _pooled(stats, min_group)
+    first = settle(pooled.withColumns({x: f() for x, (f, _) in FEATURES.items()}), "features")
+    release(pools)
     # a mean word length counts from its pool's median, the less the fewer words it is a mean of
     weight = F.sqrt(F.col("n_words") / (F.col("n_words") + F.lit(HALF_WORDS)))
-    middle = by_pool(rows, quantile("x_word", 0.5).alias("_middle"))
-    rows = settle(rows.join(middle, "_pool").withColumn("x_word", (F.col("x_word") - F.col("_middle")) * weight).drop("_middle"), "features")
+    middle = by_pool(first, quantile("x_word", 0.5).alias("_middle"))
+    rows = settle(first.join(middle, "_pool").withColumn("x_word", (F.col("x_word") - F.col("_middle")) * weight).drop("_middle"), "features", first)
 
     medians = by_pool(rows, *[quantile(x, 0.5).alias(f"d_{x}") for x in xs])
     gaps = {x: F.abs(F.col(x) - F.col(f"d_{x}")) for x in xs}
     near = rows.join(medians, "_pool")
-    near = near.join(by_pool(near, *[quantile(gaps[x], 0.5).alias(f"u_{x}") for x in xs]), "_pool")
+    spread = by_pool(near, *[quantile(gaps[x], 0.5).alias(f"u_{x}") for x in xs])
+    near = near.join(spread, "_pool")
     summed = lambda units: reduce(lambda a, b: a + b, [gaps[x] / u for x, u in zip(xs, units, strict=True)])
     near = near.withColumns({"_g0": summed([F.lit(f) for f in floors]), "_g1": summed([F.greatest(F.col(f"u_{x}"), F.lit(f)) for x, f in zip(xs, floors, strict=True)])})
     limits = by_pool(near, *[quantile(g, share).alias(f"_limit{g}") for g in ("_g0", "_g1")])
-    now = _estimate(near.join(limits, "_pool"), xs, floors, [F.col(g) <= F.col(f"_limit{g}") for g in ("_g0", "_g1")] + [F.lit(True)])
-    starts = range(3)
+    now = settle(_estimate(near.join(limits, "_pool"), xs, floors, ["_g0 <= _limit_g0", "_g1 <= _limit_g1", "true"]), "mcd")
+    release(middle, medians, spread, limits)
+    starts, names = range(3), ["_d0", "_d1", "_d2"]
     while True:
-        at = rows.join(now, "_pool")
-        for s in starts:
-            at = _distance(at, xs, s, f"_d{s}")
-        limit = by_pool(at, *[quantile(f"_d{s}", share).alias(f"_limit{s}") for s in starts])
-        new = _estimate(at.join(limit, "_pool"), xs, floors, [F.col(f"_d{s}") <= F.col(f"_limit{s}") for s in starts])
+        at = _distances(rows.join(now, "_pool"), xs, names)
+        limit = by_pool(at, *[quantile(d, share).alias(f"_limit{d}") for d in names])
+        new = _estimate(at.join(limit, "_pool"), xs, floors, [f"{d} <= _limit{d}" for d in names])
         j = now.join(new.select("_pool", *[F.col(c).alias(f"_{c}") for s in starts for c in _facts(xs, s)]), "_pool")
-        lower = {s: F.col(f"_det{s}") < F.col(f"det{s}") - 0.01 for s in starts}
-        if j.filter(reduce(lambda a, b: a | b, lower.values())).isEmpty():
-            break
+        lower = {s: f"_det{s} < det{s} - 0.01D" for s in starts}
         # a start that has settled in a pool keeps its estimate there, so its determinant never rises and falls again
-        now = settle(j.select("_pool", *[F.when(lower[s], F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for s in starts for c in _facts(xs, s)]), "mcd")
-    best = F.least(*[F.col(f"det{s}") for s in starts])
-    pick = lambda k: F.coalesce(*[F.when(F.col(f"det{s}") == best, F.col(_facts(xs, s)[k])) for s in starts])
-    raw = settle(now.select("_pool", *[pick(k).alias(c) for k, c in enumerate(_facts(xs, 0))]), "mcd")
-    within = _distance(rows.join(raw, "_pool"), xs, 0, "_raw")
-    final = _estimate(within, xs, floors, [F.col("_raw") <= F.lit(cutoff * consistency(share))])
-    return _distance(rows.join(final, "_pool"), xs, 0, "distance")
+        kept = [f"CASE WHEN {lower[s]} THEN _{c} ELSE {c} END AS {c}" for s in starts for c in _facts(xs, s)]
+        step = settle(j.selectExpr("_pool", *kept, f"({' OR '.join(lower.values())}) AS _moved"), "mcd", now)
+        release(limit)
+        now = step
+        if now.filter("_moved").isEmpty():
+            break
+    best = "least(" + ", ".join(f"det{s}" for s in starts) + ")"
+    pick = lambda k: f"CASE {' '.join(f'WHEN det{s} = {best} THEN {_facts(xs, s)[k]}' for s in starts)} END AS {_facts(xs, 0)[k]}"
+    raw = settle(now.selectExpr("_pool", *[pick(k) for k in range(len(_facts(xs, 0)))]), "mcd", now)
+    within = _distances(rows.join(raw, "_pool"), xs, ["_raw"])
+    final = settle(_estimate(within, xs, floors, [f"_raw <= {cutoff * consistency(share)!r}D"]), "mcd", raw)
+    return _distances(rows.join(final, "_pool"), xs, ["distance"])
 
 
-def _pooled(stats: DataFrame, min_group: int) -> DataFrame:
-    """stats with _pool: its language and source; small sources of a language together; small rests of languages together."""
+def _pooled(stats: DataFrame, min_group: int) -> tuple[DataFrame, DataFrame]:
+    """(stats with _pool: its language and source; small sources of a language together; small rests of languages together; the settled pools)."""
     keys = {"_lang": F.coalesce("lang", F.lit("\0")), "_source": F.coalesce("source", F.lit("\0"))}
     counts = settle(stats.groupBy(*[c.alias(k) for k, c in keys.items()]).agg(F.count(F.lit(1)).alias("_n")), "pools")
     rest = counts.filter(F.col("_n") < min_group).groupBy("_lang").agg(F.sum("_n").alias("_rest"))
@@ -225,8 +231,8 @@ def _pooled(stats: DataFrame, min_group: int) -> DataFrame:
         .when(F.col("_rest") >= min_group, F.to_json(F.struct("_lang")))
         .otherwise(F.lit("{}"))
         .alias("_pool"),
-    ), "pools")
-    return stats.withColumns(keys).join(pools, ["_lang", "_source"]).drop("_lang", "_source")
+    ), "pools", counts)
+    return stats.withColumns(keys).join(pools, ["_lang", "_source"]).drop("_lang", "_source"), pools
 
 
 def quality_rules(docs: DataFrame, cutoff: float = CUTOFF, **mcd) -> DataFrame:
