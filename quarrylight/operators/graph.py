@@ -33,33 +33,81 @@ def impact(edges: DataFrame, roots: DataFrame, max_depth: int = 8, limit: int |
     return kept.withColumn("_n", n).withColumn("_i", F.row_number().over(Window.orderBy("depth", "node"))).filter(F.col("_i") <= limit).select("node", "depth", "via", (F.col("_n") > limit).alias("truncated"))
 
 
+def _chains(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(chains, rest, rings) of settled, distinct edges(source, target) without loops.
+
+    An edge is inside a chain if it is its source's only one out and its target's only one in. chains(node, top, steps): the last
+    node of each node's chain and how far it is, found by doubling, a round for each power of two; a node in no chain is its
+    own top. rest(source, target, weight): the other edges, led on to their target's top. rings(node, component): chains that
+    close, each an isolated circle, by its smallest node; they are not in chains.
+    """
+    out = edges.groupBy("source").agg(F.count(F.lit(1)).alias("_out"))
+    into = edges.groupBy("target").agg(F.count(F.lit(1)).alias("_in"))
+    marked = settle(edges.join(out, "source").join(into, "target").select("source", "target", ((F.col("_out") == 1) & (F.col("_in") == 1)).alias("_inner")), "chains")
+    inner = marked.filter("_inner").select(F.col("source").alias("node"), F.col("target").alias("parent"))
+    nodes = edges.select(F.explode(F.array("source", "target")).alias("node")).distinct()
+    climbed = _climb(nodes.join(inner, "node", "left"))
+    chains = settle(climbed.filter("at IS NULL").select("node", "top", "steps"), "chains")
+    rings = climbed.filter("at IS NOT NULL").select("node", F.col("low").alias("component"))
+    ahead = chains.select(F.col("node").alias("target"), "top", (F.col("steps") + 1).alias("weight"))
+    rest = marked.filter("NOT _inner").join(ahead, "target").select("source", F.col("top").alias("target"), "weight")
+    return chains, settle(rest, "chains"), rings
+
+
 def kahn_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, level) by repeated peeling of nodes without unpeeled prerequisites; edges(source, target): source needs target.
 
-    Nodes on or behind a cycle get level null. There is a round a level, whatever the depth.
+    Nodes on or behind a cycle, or that need a node which is not in nodes, get level null. Chains are drawn together first, so a
+    round is a level of branches and joins, not of every edge.
     """
-    left, e, done = nodes.select("node").distinct(), settle(edges.select("source", "target").distinct(), "kahn"), None
-    for level in itertools.count():
-        ready = settle(left.join(e.select(F.col("source").alias("node")).distinct(), "node", "left_anti").withColumn("level", F.lit(level)), "kahn")
+    n = settle(nodes.select("node").distinct(), "kahn")
+    e = settle(edges.select("source", "target").distinct().join(n.withColumnRenamed("node", "source"), "source", "left_semi"), "kahn")
+    loops = e.filter("source = target").select(F.col("source").alias("node"))
+    chains, needs, _ = _chains(settle(e.filter("source <> target"), "kahn"))
+    # what is not peeled: tops with a loop inside their chain, and tops that are no nodes, are kept waiting for themselves
+    stuck = chains.join(loops.unionByName(chains.select("node").join(n, "node", "left_anti")), "node", "left_semi").select(F.col("top").alias("source"), F.col("top").alias("target"), F.lit(1).cast("long").alias("weight")).distinct()
+    waiting = settle(needs.unionByName(stuck), "kahn")
+    open_ = waiting.groupBy(F.col("source").alias("node")).agg(F.count(F.lit(1)).alias("need"))
+    tops = chains.select(F.col("top").alias("node")).distinct().join(open_, "node", "left")
+    state = settle(tops.select("node", F.coalesce("need", F.lit(0)).alias("need"), F.lit(0).cast("long").alias("level")), "kahn")
+    done = state.select("node", "level").limit(0)
+    while True:
+        ready = state.filter("need = 0").select("node", "level")
         if ready.isEmpty():
             break
-        done = ready if done is None else done.unionByName(ready)
-        left = settle(left.join(ready.select("node"), "node", "left_anti"), "kahn")
-        e = settle(e.join(ready.select(F.col("node").alias("target")), "target", "left_anti"), "kahn")
-    rest = left.select("node", F.lit(None).cast("int").alias("level"))
-    return rest if done is None else done.unionByName(rest)
+        done = done.unionByName(ready)
+        met = waiting.join(ready.withColumnRenamed("node", "target"), "target").groupBy(F.col("source").alias("node")).agg(F.count(F.lit(1)).alias("_n"), F.max(F.col("level") + F.col("weight")).alias("_level"))
+        left = state.filter("need > 0").join(met, "node", "left")
+        state = settle(left.select("node", (F.col("need") - F.coalesce("_n", F.lit(0))).alias("need"), F.greatest("level", "_level").alias("level")), "kahn")
+    found = chains.join(done.withColumnRenamed("node", "top"), "top").select("node", (F.col("level") + F.col("steps")).cast("int").alias("level"))
+    alone = e.select(F.explode(F.array("source", "target")).alias("node")).distinct()
+    free = n.join(alone, "node", "left_anti").select("node", F.lit(0).alias("level"))
+    return n.join(found.unionByName(free), "node", "left")
 
 
 def strongly_connected(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node of each cycle's component; nodes on no cycle are left out.
 
-    Nodes without an edge in or out are trimmed. Then each pass spreads the smallest label forward to its fixpoint, and
-    backward from the label's own node inside its colour: what both reach is one component, and leaves the graph.
-    Passes go on until no edge is left; each takes at least one component, so they end.
+    Chains are drawn together to their last node first: a chain is on a cycle as a whole or not at all. In what is left, nodes
+    without an edge in or out are trimmed. Then each pass spreads the smallest label forward to its fixpoint, and backward from
+    the label's own node inside its colour: what both reach is one component, and leaves the graph. Passes go on until no edge
+    is left; each takes at least one component, so they end.
     """
-    e = settle(edges.select("source", "target").distinct(), "scc")
-    loops = e.filter("source = target").select(F.col("source").alias("node"), F.col("source").alias("component"))
-    e = settle(e.filter("source <> target"), "scc")
+    whole = settle(edges.select("source", "target").dropna().distinct(), "scc")
+    loops = whole.filter("source = target").select(F.col("source").alias("node"), F.col("source").alias("component"))
+    chains, rest, rings = _chains(settle(whole.filter("source <> target"), "scc"))
+    closed = rest.filter("source = target").select(F.col("source").alias("top"), F.col("source").alias("label")).distinct()
+    tops = _components(settle(rest.filter("source <> target").select("source", "target").distinct(), "scc")).select(F.col("node").alias("top"), F.col("component").alias("label"))
+    labels = tops.unionByName(closed.join(tops, "top", "left_anti"))
+    members = settle(chains.join(labels, "top").select("node", "label"), "scc")
+    named = members.join(members.groupBy("label").agg(F.min("node").alias("component")), "label").select("node", "component")
+    found = settle(named.unionByName(rings), "scc")
+    return found.unionByName(loops.join(found, "node", "left_anti"))
+
+
+def _components(e: DataFrame) -> DataFrame:
+    """(node, component) of every component of two nodes or more, by a node of it; e: settled, distinct edges without loops."""
+    none = settle(e.select(F.col("source").alias("node"), F.col("source").alias("component")).limit(0), "scc")
     found = []
     while True:
         while True:  # trim
@@ -93,14 +141,9 @@ def strongly_connected(edges: DataFrame) -> DataFrame:
         for end in ("source", "target"):
             e = e.join(reach.select(F.col("node").alias(end)), end, "left_anti")
         e = settle(e, "scc")
-    out = loops
-    for f in found:
-        out = out.unionByName(f)
-    sizes = out.groupBy("component").agg(F.count(F.lit(1)).alias("_n"))
-    looped = loops.select(F.col("node").alias("_loop"))
-    kept = out.dropDuplicates(["node", "component"]).join(sizes, "component").join(looped, F.col("node") == F.col("_loop"), "left")
-    best = kept.filter((F.col("_n") > 1) | F.col("_loop").isNotNull()).groupBy("node").agg(F.min("component").alias("component"))
-    return best
+    out = reduce(DataFrame.unionByName, found, none)
+    sizes = out.groupBy("component").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    return settle(out.join(sizes, "component").select("node", "component"), "scc")
 
 
 def _climb(parents: DataFrame) -> DataFrame:

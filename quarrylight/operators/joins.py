@@ -22,9 +22,16 @@ def buckets(start: Column, stop: Column, width: int) -> Column:
     return F.sequence(F.floor(start / width), F.floor(stop / width))
 
 
+#: spans of up to 2**LEAST_CLASS places share one class
+LEAST_CLASS = 6
+
+
 def size_class(length: Column) -> Column:
-    """k for spans of at most 2**k: spans of one class touch at most two buckets of 2**k, so no span is copied often."""
-    return F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(length, F.lit(1)).cast("double")))).cast("int")
+    """k for spans of at most 2**k: spans of one class touch at most two buckets of 2**k, so no span is copied often.
+
+    Short spans share the class LEAST_CLASS, so a point is not sent out for each of their sizes.
+    """
+    return F.greatest(F.lit(LEAST_CLASS), F.ceil(F.log2(F.greatest(length, F.lit(1)).cast("double")))).cast("int")
 
 
 def _classed(spans: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -43,13 +50,14 @@ def narrowest_container(points: DataFrame, spans: DataFrame, keys: list[str], po
     """points(keys, point_id, start, stop) with the narrowest span(keys, span_id, lo, hi) that contains them.
 
     Ties go to the later lo, then the smaller id. unique says whether only one span has that width. Spans meet points in
-    buckets of their own size, and of a point's spans only the best and a count are kept.
+    buckets of their own size, a point in one bucket of a class, so a span meets it once; of a point's spans only the best and
+    the range of ids of its width are kept.
     """
     s, classes = _classed(spans, keys)
     hit = _placed(points, classes, keys, "start").join(s, [*keys, "_k", "_b"]).filter((F.col("lo") <= F.col("start")) & (F.col("stop") <= F.col("hi")))
-    by_width = hit.withColumn("w", F.col("hi") - F.col("lo")).groupBy(*keys, point_id, "w").agg(F.min(F.struct((-F.col("lo")).alias("l"), F.col(span_id).alias("id"))).alias("b"), F.countDistinct(span_id).alias("n"))
+    by_width = hit.withColumn("w", F.col("hi") - F.col("lo")).groupBy(*keys, point_id, "w").agg(F.min(F.struct((-F.col("lo")).alias("l"), F.col(span_id).alias("id"))).alias("b"), (F.min(span_id) == F.max(span_id)).alias("n"))
     best = by_width.groupBy(*keys, point_id).agg(F.min(F.struct("w", "b", "n")).alias("m"))
-    return best.select(*keys, point_id, F.col("m.b.id").alias(span_id), F.col("m.w").alias("width"), (F.col("m.n") == 1).alias("unique"))
+    return best.select(*keys, point_id, F.col("m.b.id").alias(span_id), F.col("m.w").alias("width"), F.col("m.n").alias("unique"))
 
 
 def overlaps(spans: DataFrame, keys: list[str], span_id: str, width: int = 64) -> DataFrame:
