@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from quarrylight.operators import graph as G
 from quarrylight.operators import integrity as I
-from quarrylight.operators import joins as J
 from quarrylight.operators import lifecycle as L
 from quarrylight.operators import secrets
 from quarrylight.registry import register
@@ -202,6 +201,23 @@ def shortest_paths(spark, sf_dir):
     return G.shortest_paths(p.select(F.col("p_partkey").alias("source"), target.alias("target")).filter("target > 0"), p.filter("p_size = 50").select(F.col("p_partkey").alias("node"))).select("node", "depth")
 
 
+_FOREST = """e AS (SELECT CASE WHEN p_partkey % 40 = 7 THEN p_partkey + 1 WHEN p_partkey % 40 = 8 THEN p_partkey - 1 ELSE p_partkey // (2 + p_size % 3) END AS source, p_partkey AS target FROM part), f AS (SELECT e.source, e.target FROM e JOIN part ON p_partkey = e.source)"""
+
+
+@register("graph_inference", f"""WITH RECURSIVE {_FOREST}, dn AS (SELECT 3::BIGINT AS node, [3::BIGINT] AS path UNION ALL SELECT f.target, list_append(dn.path, f.target) FROM dn JOIN f ON f.source = dn.node WHERE NOT list_contains(dn.path, f.target)),
+up AS (SELECT 3::BIGINT AS node, [3::BIGINT] AS path UNION ALL SELECT f.source, list_append(up.path, f.source) FROM up JOIN f ON f.target = up.node WHERE NOT list_contains(up.path, f.source)),
+ok AS (SELECT p_partkey AS node FROM part WHERE p_partkey NOT IN (SELECT target FROM f) UNION SELECT f.target FROM ok JOIN f ON f.source = ok.node)
+SELECT 'descendant' AS relation, node, array_to_string(path, '>') AS path FROM dn WHERE node <> 3 UNION ALL SELECT 'ancestor', node, array_to_string(path, '>') FROM up WHERE node <> 3
+UNION ALL SELECT 'orphan', p_partkey, NULL FROM part WHERE p_partkey NOT IN (SELECT node FROM ok) UNION ALL SELECT 'cyclic', a.source, NULL FROM f a JOIN f b ON b.source = a.target AND b.target = a.source""")
+def graph_inference(spark, sf_dir):
+    """What part 3 leads to and comes from in a forest of parts with rings, and what no root leads to."""
+    p, key = table(spark, sf_dir, "part"), F.col("p_partkey")
+    source = F.when(key % 40 == 7, key + 1).when(key % 40 == 8, key - 1).otherwise(F.floor(key / (2 + F.col("p_size") % 3)))
+    nodes = p.select(key.alias("node"))
+    edges = p.select(source.alias("source"), key.alias("target")).join(nodes.withColumnRenamed("node", "source"), "source", "left_semi")
+    return G.inference(nodes, edges, 3).select("relation", "node", F.array_join("path", ">").alias("path"))
+
+
 _LATTICE = "e AS (SELECT DISTINCT s AS source, unnest([s // 2, s // 3, s // 5]) AS target FROM (SELECT p_partkey AS s, p_size FROM part) WHERE p_size % 4 <> 0), f AS (SELECT * FROM e WHERE target > 0)"
 
 

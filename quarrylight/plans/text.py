@@ -140,3 +140,25 @@ def advisory_range_join(spark, sf_dir):
     from quarrylight.operators.advisories import match_advisories
 
     return match_advisories(_inventory(spark, sf_dir), _order_advisories(spark, sf_dir)).select("name", "version", "advisory", "basis")
+
+
+@register("advisory_versions", f"""WITH inv AS (SELECT DISTINCT {_SORTED(*_PART_VERSION)} AS v FROM part), t AS (SELECT v, (v // 10000000)::VARCHAR || '.' || (v // 100000 % 100)::VARCHAR || '.' || (v // 1000 % 100)::VARCHAR || CASE v // 100 % 10 WHEN 1 THEN '-beta' WHEN 2 THEN '-rc.' || (v % 100)::VARCHAR ELSE '' END AS version FROM inv)
+SELECT version, CASE WHEN v >= {_SORTED(1, 0, 0, 0, 0)} AND v < {_SORTED(1, 5, 0, 0, 0)} THEN 'A' WHEN v >= {_SORTED(2, 0, 0, 2, 1)} THEN 'B' END AS advisory FROM t""")
+def advisory_versions(spark, sf_dir):
+    """Every version of the parts against three advisories, one of them withdrawn: pre-releases before releases, numbers by value."""
+    from quarrylight.operators.advisories import ADVISORY_SCHEMA, match_advisories
+
+    spans = [("A", None, [("1.0.0", "1.5.0")]), ("B", None, [("2.0.0-rc.1", None)]), ("C", "2024-01-01", [("0", None)])]
+    rows = [(i, w, [(("npm", "left"), [], [("SEMVER", [("introduced", a)] + ([("fixed", z)] if z else []))]) for a, z in ranges]) for i, w, ranges in spans]
+    inventory = _inventory(spark, sf_dir).select(F.lit("npm").alias("ecosystem"), F.lit("left").alias("name"), "version").distinct()
+    hit = match_advisories(inventory, spark.createDataFrame(rows, ADVISORY_SCHEMA)).select("version", "advisory")
+    return inventory.select("version").join(hit, "version", "left")
+
+
+@register("links_resolved", r"""WITH p AS (SELECT page_id, split_part(url, ':', 1) AS scheme, regexp_extract(url, '^([a-z]+://[^/]+)', 1) AS origin, regexp_extract(url, '^[a-z]+://[^/]+(/[^?#]*)', 1) AS path FROM pages),
+s AS (SELECT *, list_filter(string_split(path, '/'), lambda x: x <> '') AS g FROM p), f AS (SELECT *, CASE WHEN path LIKE '%/' THEN g ELSE g[1:len(g) - 1] END AS folder FROM s)
+SELECT page_id, array_to_string(list_sort([origin || '/x' || page_id || '?q=1', origin || '/' || array_to_string(list_append(folder[1:len(folder) - 1], 'z.html'), '/'), scheme || '://c.d/i' || page_id || '.png', origin || '/' || array_to_string(list_append(folder, 'j.js'), '/')]), ' ') AS links FROM f""")
+def links_resolved(spark, sf_dir):
+    """Rooted, relative, dotted and scheme-less links of every page against its url; fragments, mail and scripts go."""
+    html = "concat('<a href=\"/x', page_id, '?q=1#y\" title=q>1</a><a href=\"../z.html\"></a><img src=//c.d/i', page_id, '.png><a href=\"mailto:q\"></a><script src=\"./a/../j.js\"></script><a href=\"javascript:x()\"></a><a href=\"#top\">')"
+    return table(spark, sf_dir, "pages").select("page_id", F.array_join(H.links(F.expr(html), F.col("url")), " ").alias("links"))
