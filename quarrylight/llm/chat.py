@@ -10,6 +10,7 @@ rolled inside blocks, and only one row per block is rolled over the conversation
 
 Defined results. Rows without conv_id are left out. A repeated row counts once. Rows of one turn number are ordered by
 role and text. Null turns come first; null role or text is empty. Of equal conversations the smallest conv_id stays.
+An empty table gives none. Other columns of the input, whatever their names, are not read.
 """
 
 from __future__ import annotations

@@ -2,6 +2,8 @@
 
 Defined results. Null text: no words, no places. Overlapping phrases each count at each place. An expression that does
 not parse adds the label `invalid-expression`. Long texts are scanned whole; repeated rows are scanned each by itself.
+Rows without an id are scanned like any other and keep their null id. An empty table gives none. Other columns of the input,
+whatever their names, are not read.
 """
 
 from __future__ import annotations

@@ -22,7 +22,7 @@ Confirmation decides on full sets: 100 * intersection >= percent * union.
 
 Defined results. Null or empty text, or one without words: empty set, never linked. Repeated doc_id rows give a row each
 with the same answer if their texts are equal. Rows without an id are never linked: component_id null, kept true. Ties
-between partners go to the smaller doc_id. Other columns of the input are not read.
+between partners go to the smaller doc_id. An empty table gives none. Other columns of the input are not read.
 """
 
 from __future__ import annotations

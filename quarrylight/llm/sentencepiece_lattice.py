@@ -13,6 +13,8 @@ text is shuffled.
 Defined results. Null or empty text: no pieces. Characters without a piece become their UTF-8 bytes' pieces. A space run
 keeps every space. A text that has the escape mark U+2581 itself is encoded as if it were a space, as the model does, and
 has round_trip false. Very long words use a heap, so a text without spaces is no hazard. Repeated rows give equal rows.
+Rows without an id are encoded like any other and keep their null id. An empty table gives none. Other columns of the input,
+whatever their names, are not read.
 """
 
 from __future__ import annotations

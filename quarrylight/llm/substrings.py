@@ -17,7 +17,7 @@ Then every document's covered words are removed in one pass over its text.
 
 Defined results. Null text: no words. Texts under `length` words stay whole. Equal windows of one document don't remove
 each other. Rows of one doc_id are taken to be one document: equal rows get equal answers. Rows without an id stay whole.
-Columns to carry travel as one struct, whatever their names.
+Columns to carry travel as one struct, whatever their names. An empty table gives none.
 """
 
 from __future__ import annotations
