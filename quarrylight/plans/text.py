@@ -43,8 +43,13 @@ def redacted_urls(spark, sf_dir):
 
 @register("mixed_content", """SELECT split_part(url, ':', 1) AS scheme, count(*) AS pages, count(*) FILTER (starts_with(url, 'https://') AND contains(lower(html), 'http://')) AS mixed, count(*) FILTER (regexp_matches(html, '<form')) AS with_forms FROM pages GROUP BY 1""")
 def mixed_content(spark, sf_dir):
+    from quarrylight.operators import pages as P
+
+    p = table(spark, sf_dir, "pages")
+    with_form = P.forms(P.tokens(p.select(F.col("page_id").alias("id"), "html"))).select(F.col("id").alias("page_id")).distinct().withColumn("_form", F.lit(True))
     mixed = F.col("url").startswith("https://") & F.contains(F.lower("html"), F.lit("http://"))
-    return table(spark, sf_dir, "pages").groupBy(F.split_part("url", F.lit(":"), F.lit(1)).alias("scheme")).agg(F.count(F.lit(1)).alias("pages"), F.count_if(mixed).alias("mixed"), F.count_if(F.size(H.forms(F.col("html"))) > 0).alias("with_forms"))
+    rows = p.join(with_form, "page_id", "left").groupBy(F.split_part("url", F.lit(":"), F.lit(1)).alias("scheme"))
+    return rows.agg(F.count(F.lit(1)).alias("pages"), F.count_if(mixed).alias("mixed"), F.count_if("_form").alias("with_forms"))
 
 
 @register("rfc3339", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS at_text FROM events")
