@@ -89,9 +89,10 @@ def strongly_connected(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node of each cycle's component; nodes on no cycle are left out.
 
     Chains are drawn together to their last node first: a chain is on a cycle as a whole or not at all. In what is left, nodes
-    without an edge in or out are trimmed. Then each pass spreads the smallest label forward to its fixpoint, and backward from
-    the label's own node inside its colour: what both reach is one component, and leaves the graph. Passes go on until no edge
-    is left; each takes at least one component, so they end.
+    without an edge in or out are trimmed, and the smallest label is spread to its fixpoint, forward and backward: edges between
+    nodes that differ in either label are in no component and go, until none does. Then a pass goes backward from each label's own
+    node inside its colour: what both reach is one component, and leaves the graph. Passes go on until no edge is left; each
+    takes at least one component, so they end.
     """
     whole = settle(edges.select("source", "target").dropna().distinct(), "scc")
     loops = whole.filter("source = target").select(F.col("source").alias("node"), F.col("source").alias("component"))
@@ -105,6 +106,17 @@ def strongly_connected(edges: DataFrame) -> DataFrame:
     return found.unionByName(loops.join(found, "node", "left_anti"))
 
 
+def _spread(e: DataFrame) -> DataFrame:
+    """(node, colour): the smallest node that leads to each node over e, itself included."""
+    colour = settle(e.select(F.explode(F.array("source", "target")).alias("node")).distinct().withColumn("colour", F.col("node")), "scc")
+    while True:
+        come = e.join(colour.withColumnRenamed("node", "source"), "source").groupBy(F.col("target").alias("node")).agg(F.min("colour").alias("_c"))
+        new = settle(colour.select("node", "colour").join(come, "node", "left").select("node", F.col("colour").alias("_was"), F.least("colour", F.coalesce("_c", "colour")).alias("colour")), "scc", colour)
+        if new.filter("colour <> _was").isEmpty():
+            return new.select("node", "colour")
+        colour = new
+
+
 def _components(e: DataFrame) -> DataFrame:
     """(node, component) of every component of two nodes or more, by a node of it; e: settled, distinct edges without loops."""
     none = settle(e.select(F.col("source").alias("node"), F.col("source").alias("component")).limit(0), "scc")
@@ -119,14 +131,13 @@ def _components(e: DataFrame) -> DataFrame:
                 break
         if e.isEmpty():
             break
-        colour = settle(e.select(F.explode(F.array("source", "target")).alias("node")).distinct().withColumn("colour", F.col("node")), "scc")
-        while True:
-            come = e.join(colour.withColumnRenamed("node", "source"), "source").groupBy(F.col("target").alias("node")).agg(F.min("colour").alias("_c"))
-            new = settle(colour.join(come, "node", "left").select("node", F.col("colour").alias("_was"), F.least("colour", F.coalesce("_c", "colour")).alias("colour")), "scc")
-            changed = not new.filter("colour <> _was").isEmpty()
-            colour = new.select("node", "colour")
-            if not changed:
-                break
+        colour = _spread(e)
+        both = colour.join(_spread(e.select(F.col("target").alias("source"), F.col("source").alias("target"))).withColumnRenamed("colour", "back"), "node")
+        facts = lambda end: both.select(F.col("node").alias(end), F.struct("colour", "back").alias(f"_{end}"))
+        alike = settle(e.join(facts("source"), "source").join(facts("target"), "target").filter("_source = _target").select("source", "target"), "scc")
+        if alike.count() < e.count():  # no component has two colours, either way
+            e = alike
+            continue
         inner = settle(e.join(colour.select(F.col("node").alias("source"), F.col("colour").alias("a")), "source").join(colour.select(F.col("node").alias("target"), F.col("colour").alias("b")), "target").filter("a = b").select("source", "target", F.col("a").alias("colour")), "scc")
         reach = settle(colour.filter("node = colour"), "scc")
         frontier = reach
