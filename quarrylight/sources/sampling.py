@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrylight.session import settle
+
 
 def stride_sample(df: DataFrame, order: list[str], limit: int, most: int = 200_000) -> DataFrame:
     """Every stride-th row by order with its place, at most limit of them: stride = max(1, ceil(rows / limit)).
 
     Places are given without one global sort: rows are range-partitioned, each partition is numbered, and partition sizes
-    are summed (one row per partition).
+    are summed (one row per partition). Dealt rows are settled: range bounds are sampled, so dealing again may deal otherwise.
     """
     limit = min(max(limit, 1), most)
-    rows = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    rows = settle(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "dealt")
     sizes = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sizes = sizes.select("_part", before.alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_total"))

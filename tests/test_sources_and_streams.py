@@ -37,6 +37,11 @@ def test_walk(spark, tmp_path):
     assert got == {"a.py": ("Python", False), "b.bin": (None, True)} and R.walk_guard(files).first()["within_bounds"]
 
 
+def test_binary_contents_beyond_the_first_block(spark):
+    df = spark.createDataFrame([("a" * 9000 + "\x00",), ("a" * 9000,), ("",), ("\u0100\u3000",)], "t string").select(F.encode("t", "UTF-8").alias("c"))
+    assert [tuple(r) for r in df.select(R.is_binary(F.col("c")), R.is_binary(F.col("c"), None)).collect()] == [(False, True), (False, False), (False, False), (False, False)]
+
+
 def test_lock_files(spark):
     texts = {
         "requirements.txt": "A_b[x]==1.2 # c\nflask>=2\nq === 3 ; python\n", "go.mod": "module m\nrequire (\n\tgithub.com/a/b v1.2.3\n)\nrequire x.y/z v0.1\n",
@@ -59,6 +64,11 @@ def test_stride_sample(spark):
         assert sorted(r["place"] for r in rows) == list(range(0, n, stride))[:10] and all(r["id"] == r["place"] for r in rows)
 
 
+def test_stride_sample_of_more_rows_than_bounds_are_sampled_from(spark):
+    rows = stride_sample(spark.range(200_000).select((F.col("id") * 7919 % 200_000).alias("id"), F.sha2(F.col("id").cast("string"), 256).alias("lang")).repartition(40), ["id"], 300).collect()
+    assert sorted(r["place"] for r in rows) == list(range(0, 200_000, 667)) and all(r["id"] == r["place"] for r in rows)
+
+
 def test_streams(spark, sf_dir, tmp_path):
     batch = spark.read.parquet(f"{sf_dir}/events.parquet")
     batch.repartition(3).write.parquet(str(tmp_path / "in"))
