@@ -112,9 +112,20 @@ def references_found(spark, sf_dir):
     return rules.references(_modules(spark, sf_dir)).select("path", "name", "kind")
 
 
-@register("test_frameworks_found", f"SELECT {_MODULE_SQL} AS path, 'pytest' AS framework, 'test' AS evidence FROM documents WHERE doc_id % 2 = 0")
+#: (file, text, framework, evidence)
+_TESTS = [
+    ("a.py", "import unittest", "unittest", "test"), ("jest.config.js", "jest.mock(a)", "jest", "config"), ("a.spec.ts", "import {t} from \"vitest\"", "vitest", "test"), ("playwright.config.ts", "import x from \"@playwright/test\"", "playwright", "config"),
+    ("a.cy.js", "cy.visit(a)", "cypress", "test"), ("ATest.java", "import org.junit.Test;", "junit", "test"), ("a_test.go", "func TestA(t *testing.T) {}", "go_test", "test"), ("lib.rs", "#[tokio::test]", "rust_test", "test"),
+    ("test_q.py", "def test_a(): pass", "python_unknown", "test"), ("a.test.js", "it()", "javascript_unknown", "test"), ("ATests.java", "class A {}", "java_unknown", "test"), ("pytest.ini", "@pytest.mark", "pytest", "config"),
+]
+_of_tests = lambda k: f"[{', '.join(repr(t[k]) for t in _TESTS)}][doc_id % {len(_TESTS)} + 1]"
+
+
+@register("test_frameworks_found", f"SELECT {_MODULE_SQL} AS path, 'pytest' AS framework, 'test' AS evidence FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT 't' || doc_id || '/' || {_of_tests(0)}, {_of_tests(2)}, {_of_tests(3)} FROM documents")
 def test_frameworks_found(spark, sf_dir):
-    return rules.test_frameworks(_modules(spark, sf_dir)).select("path", "framework", "evidence")
+    """The modules, and for every document a file of one of the other frameworks, a configuration or a test that names none."""
+    others = _files(spark, sf_dir, "concat('t', doc_id, '/', " + pick("doc_id", *[repr(t[0]) for t in _TESTS]) + ")", "concat(" + pick("doc_id", *[f"'{t[1]}'" for t in _TESTS]) + ", '\\n// ', lang)")
+    return rules.test_frameworks(_modules(spark, sf_dir).select("path", "text").unionByName(others)).select("path", "framework", "evidence")
 
 
 @register("stack_profile", """WITH d AS (SELECT source AS root, doc_id % 4 AS k FROM documents) SELECT root, array_to_string(list_sort(list_distinct(list_filter(array_agg(CASE k WHEN 1 THEN 'TypeScript' WHEN 2 THEN 'Python' END), lambda x: x IS NOT NULL))), ',') AS languages,
