@@ -162,13 +162,32 @@ _LOCK = [
 ]
 
 
-@register("lock_files_parsed", f"""SELECT p_partkey || '/' || [{", ".join(repr(k[0]) for k in _LOCK)}][p_partkey % 6 + 1] AS manifest_path, [{", ".join(repr(k[2]) for k in _LOCK)}][p_partkey % 6 + 1] AS ecosystem, CASE WHEN p_partkey % 6 = 1 THEN 'github.com/' ELSE '' END || replace(p_name, ' ', '-') AS name, p_size || '.0.' || (p_partkey % 9) AS version, p_partkey % 6 = 3 AS is_dev FROM part""")
+#: the other formats, with what stands before the name
+_MORE_LOCKS = [
+    ("pnpm-lock.yaml", "concat('lockfileVersion: 9\\npackages:\\n  ', {n}, '@', {v}, ':\\n    dev: true\\nsnapshots:\\n  c@9.9: {{}}\\n')", "npm", True, ""),
+    ("bun.lock", "concat('{{\"packages\": {{\"', {n}, '\": [\"', {n}, '@', {v}, '\", \"\", {{}}, \"sha\"],}}}}')", "npm", False, ""),
+    ("Pipfile.lock", "concat('{{\"default\": {{}}, \"develop\": {{\"', {n}, '\": {{\"version\": \"==', {v}, '\"}}, \"git\": {{\"ref\": \"x\"}}}}}}')", "PyPI", True, ""),
+    ("gradle.lockfile", "concat('# c\\norg.x:', {n}, ':', {v}, '=testCompileClasspath,testRuntimeClasspath\\nempty=z\\n')", "Maven", True, "org.x:"),
+    ("packages.lock.json", "concat('{{\"dependencies\": {{\"net8.0\": {{\"', {n}, '\": {{\"type\": \"Direct\", \"resolved\": \"', {v}, '\"}}, \"P\": {{\"type\": \"Project\"}}}}}}}}')", "NuGet", False, ""),
+    ("pom.xml", "concat('<project><properties><v>', {v}, '</v></properties><dependencies><dependency><groupId>g</groupId><artifactId>', {n}, '</artifactId><version>$', '{{v}}</version></dependency></dependencies></project>')", "Maven", False, "g:"),
+    ("app.csproj", "concat('<Project><PackageReference Include=\"', {n}, '\" Version=\"', {v}, '\" /><PackageReference Include=\"W\" Version=\"$', '(V)\" /></Project>')", "NuGet", False, ""),
+    ("Gemfile.lock", "concat('GEM\\n  specs:\\n    ', {n}, ' (', {v}, ')\\nPLATFORMS\\n  ruby\\n')", "RubyGems", False, ""),
+    ("poetry.lock", "concat('[[package]]\\nname = \"', {n}, '\"\\nversion = \"', {v}, '\"\\ncategory = \"dev\"\\n')", "PyPI", True, ""),
+]
+
+
+@register("lock_files_parsed", f"""SELECT p_partkey || '/' || [{", ".join(repr(k[0]) for k in _LOCK)}][p_partkey % 6 + 1] AS manifest_path, [{", ".join(repr(k[2]) for k in _LOCK)}][p_partkey % 6 + 1] AS ecosystem, CASE WHEN p_partkey % 6 = 1 THEN 'github.com/' ELSE '' END || replace(p_name, ' ', '-') AS name, p_size || '.0.' || (p_partkey % 9) AS version, p_partkey % 6 = 3 AS is_dev FROM part
+UNION ALL SELECT 'm' || p_partkey || '/' || [{", ".join(repr(k[0]) for k in _MORE_LOCKS)}][p_partkey % 9 + 1], [{", ".join(repr(k[2]) for k in _MORE_LOCKS)}][p_partkey % 9 + 1], [{", ".join(repr(k[4]) for k in _MORE_LOCKS)}][p_partkey % 9 + 1] || replace(p_name, ' ', '-'), p_size || '.0.' || (p_partkey % 9), [{", ".join(str(k[3]).lower() for k in _MORE_LOCKS)}][p_partkey % 9 + 1] FROM part""")
 def lock_files_parsed(spark, sf_dir):
-    """A manifest for every part, in six formats."""
+    """Two manifests for every part: one in one of six formats, one in one of the nine others."""
     version = "concat(p_size, '.0.', p_partkey % 9)"
-    path = "concat(p_partkey, '/', " + pick("p_partkey", *[repr(k[0]) for k in _LOCK]) + ")"
-    text = pick("p_partkey", *[k[1].format(n=_PACKAGE, v=version) for k in _LOCK])
-    files = table(spark, sf_dir, "part").select(F.expr(path).alias("path"), F.expr(text).alias("text"))
+
+    def manifests(before, kinds):
+        path = f"concat('{before}', p_partkey, '/', " + pick("p_partkey", *[repr(k[0]) for k in kinds]) + ")"
+        text = pick("p_partkey", *[k[1].format(n=_PACKAGE, v=version) for k in kinds])
+        return table(spark, sf_dir, "part").select(F.expr(path).alias("path"), F.expr(text).alias("text"))
+
+    files = manifests("", _LOCK).unionByName(manifests("m", _MORE_LOCKS))
     return repository.parse_manifests(files).select("manifest_path", "ecosystem", "name", "version", "is_dev")
 
 
