@@ -82,27 +82,28 @@ def plan_violations(tasks: DataFrame, roles: list[str] | None = None) -> DataFra
     """
     roles = roles or PLAN_ROLES
     first, second = roles[:2]
-    rank = F.array_position(F.array(*map(F.lit, roles)), F.col("role"))
-    by_plan = Window.partitionBy("plan_id")
-    t = tasks.withColumns({"_rank": rank, "_n": F.count(F.lit(1)).over(Window.partitionBy("plan_id", "role")), "_before": F.max(rank).over(by_plan.orderBy("position").rowsBetween(Window.unboundedPreceding, -1))})
-    known = F.collect_set(F.struct("role", "position")).over(by_plan)
-    t = t.withColumn("_known", known)
-    place = lambda d: F.filter("_known", lambda k: k["role"] == d)
-    bad = lambda d: (d == F.col("role")) | (F.size(place(d)) == 0)
-    late = lambda d: F.exists(place(d), lambda k: k["position"] >= F.col("position"))
-    d = F.col("depends_on")
-    rules = [
-        ("unknown_role", F.col("_rank") == 0), ("duplicate_role", F.col("_n") > 1), ("objective", (F.trim("objective") == "") | (F.length("objective") > 300)),
-        ("dependency_count", F.size(d) > 4), ("dependency", F.exists(d, bad) | (F.size(F.array_distinct(d)) < F.size(d))), ("dependency_order", F.exists(d, late)),
-        ("first_has_dependency", (F.col("role") == first) & (F.size(d) > 0)), ("second_dependency", (F.col("role") == second) & (F.array_join(d, ",") != first)),
-        ("later_dependency", ~F.col("role").isin(first, second) & ~F.array_contains(d, second)), ("role_order", F.col("_rank") <= F.col("_before")),
-    ]
-    broken = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in rules]))
-    rows = t.select("plan_id", F.explode(broken).alias("rule"), "role")
-    g = tasks.groupBy("plan_id").agg(F.count(F.lit(1)).alias("n"), F.collect_set("role").alias("r"))
-    size = g.filter(~F.col("n").between(2, len(roles))).select("plan_id", F.lit("size").alias("rule"), F.lit(None).cast("string").alias("role"))
-    absent = g.select("plan_id", F.lit("mandatory").alias("rule"), F.explode(F.array_except(F.array(F.lit(first), F.lit(second)), "r")).alias("role"))
-    return rows.unionByName(size).unionByName(absent)
+    rank = lambda r: F.array_position(F.array(*map(F.lit, roles)), r)
+    plans = tasks.groupBy("plan_id").agg(F.sort_array(F.collect_list(F.struct("position", "role", "objective", "depends_on"))).alias("s"))
+
+    def broken(s: Column, x: Column, i: Column) -> Column:
+        r, d = x["role"], x["depends_on"]
+        place = lambda of: F.filter(s, lambda k: k["role"] == of)
+        bad = lambda of: (of == r) | (F.size(place(of)) == 0)
+        late = lambda of: F.exists(place(of), lambda k: k["position"] >= x["position"])
+        before = F.array_max(F.transform(F.slice(s, F.lit(1), i), lambda k: rank(k["role"])))
+        rules = [
+            ("unknown_role", rank(r) == 0), ("duplicate_role", F.size(F.filter(s, lambda k: k["role"].eqNullSafe(r))) > 1), ("objective", (F.trim(x["objective"]) == "") | (F.length(x["objective"]) > 300)),
+            ("dependency_count", F.size(d) > 4), ("dependency", F.exists(d, bad) | (F.size(F.array_distinct(d)) < F.size(d))), ("dependency_order", F.exists(d, late)),
+            ("first_has_dependency", (r == first) & (F.size(d) > 0)), ("second_dependency", (r == second) & (F.array_join(d, ",") != first)),
+            ("later_dependency", ~r.isin(first, second) & ~F.array_contains(d, second)), ("role_order", rank(r) <= before),
+        ]
+        return F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.struct(F.lit(n).alias("rule"), r.alias("role"))) for n, c in rules]))
+
+    n, had = F.size("s"), F.transform("s", lambda x: x["role"])
+    size = F.when(~n.between(2, len(roles)), F.struct(F.lit("size").alias("rule"), F.lit(None).cast("string").alias("role")))
+    absent = F.transform(F.array_except(F.array(F.lit(first), F.lit(second)), had), lambda r: F.struct(F.lit("mandatory").alias("rule"), r.alias("role")))
+    steps = F.flatten(F.transform("s", lambda x, i: broken(F.col("s"), x, i)))
+    return plans.select("plan_id", F.explode(F.concat(steps, F.array_compact(F.array(size)), absent)).alias("v")).select("plan_id", "v.rule", "v.role")
 
 
 def over_rows(df: DataFrame, most: int) -> DataFrame:
