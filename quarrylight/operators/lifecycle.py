@@ -100,22 +100,27 @@ def invalidate_semantics(files: DataFrame, symbols: DataFrame, relations: DataFr
     symbols; a symbol that is active no longer its own state and relations; a relation or import its edge.
     """
     changed = (F.col("old_hash") != F.col("new_hash")) | (F.col("was_active") & ~F.col("is_active"))
-    start = files.filter(changed).select(F.lit("file").alias("kind"), F.col("file_id").alias("id"))
-    start = start.unionByName(symbols.filter("was_active AND NOT is_active").select(F.lit("symbol").alias("kind"), F.col("symbol_id").alias("id")))
-    end = lambda kind, c: F.struct(F.lit(kind).alias("kind"), F.col(c).alias("id"))
-
-    def link(df: DataFrame, to: tuple[str, str], *froms: tuple[str, str]) -> DataFrame:
-        each = F.explode(F.array(*[end(k, c) for k, c in froms])).alias("f")
-        rows = df.select(each, F.lit(to[0]).alias("to_kind"), F.col(to[1]).alias("to_id"))
-        return rows.select(F.col("f.kind").alias("from_kind"), F.col("f.id").alias("from_id"), "to_kind", "to_id").dropna(subset=["from_id", "to_id"])
-
-    links = [
-        link(relations, ("relation", "relation_id"), ("file", "occurrence_file"), ("file", "target_file"), ("symbol", "subject"), ("symbol", "container"), ("symbol", "target")),
-        link(imports, ("import", "import_id"), ("file", "source_file"), ("file", "target_file")),
-        link(symbols, ("state", "symbol_id"), ("file", "file_id"), ("symbol", "symbol_id")),
-        link(relations, ("edge", "edge_id"), ("relation", "relation_id")), link(imports, ("edge", "edge_id"), ("import", "import_id")),
+    stale = {
+        "file": settle(files.filter(changed).select(F.col("file_id").alias("_from")).dropna().distinct(), "files"),
+        "symbol": settle(symbols.filter("was_active AND NOT is_active").select(F.col("symbol_id").alias("_from")).dropna().distinct(), "symbols"),
+    }
+
+    def touched(df: DataFrame, kind: str, key: str, **ends: list[str]) -> DataFrame:
+        """Ids of df one of whose ends is stale; only an id and one end of it go to a join."""
+        each = lambda columns: df.select(F.col(key).alias("id"), F.explode(F.array(*columns)).alias("_from")).dropna()
+        hit = [each(columns).join(stale[of], "_from", "left_semi").select("id") for of, columns in ends.items()]
+        return settle(reduce(DataFrame.unionByName, hit).distinct().select(F.lit(kind).alias("kind"), "id", F.lit(1).alias("round")), kind)
+
+    def edges(df: DataFrame, key: str, hit: DataFrame) -> DataFrame:
+        return df.select(F.col(key).alias("id"), "edge_id").dropna().join(hit.select("id"), "id", "left_semi").select(F.col("edge_id").alias("id"))
+
+    hit = [
+        touched(relations, "relation", "relation_id", file=["occurrence_file", "target_file"], symbol=["subject", "container", "target"]),
+        touched(imports, "import", "import_id", file=["source_file", "target_file"]),
+        touched(symbols, "state", "symbol_id", file=["file_id"], symbol=["symbol_id"]),
     ]
-    return cascade(start, settle(reduce(DataFrame.unionByName, links), "links")).filter("round > 0")
+    of_hit = edges(relations, "relation_id", hit[0]).unionByName(edges(imports, "import_id", hit[1])).distinct()
+    return reduce(DataFrame.unionByName, [*hit, of_hit.select(F.lit("edge").alias("kind"), "id", F.lit(2).alias("round"))])
 
 
 def orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str) -> DataFrame:

@@ -27,6 +27,20 @@ def test_what_a_new_index_makes_stale(spark):
     assert got == {("relation", 100), ("edge", 500), ("relation", 101), ("import", 200), ("edge", 503), ("state", 10), ("state", 11)}
 
 
+def test_only_what_is_stale_is_written(spark, monkeypatch):
+    """Relations and imports are not written as links; ids that repeat, and null ends, ids and edges, give each stale row once."""
+    written, settle = [], L.settle
+    monkeypatch.setattr(L, "settle", lambda df, *more: written.append(settle(df, *more)) or written[-1])
+    files = spark.createDataFrame([(1, "a", "b", True, True), (1, "a", "b", True, True), (2, "a", "a", True, True)], "file_id long, old_hash string, new_hash string, was_active boolean, is_active boolean")
+    symbols = spark.createDataFrame([(10, 2, True, True), (None, 1, True, False)], "symbol_id long, file_id long, was_active boolean, is_active boolean")
+    rows = [(i, 10, None, None, 2, 2, i) for i in range(100, 400)] + [(7, 10, None, None, 1, 1, None), (7, None, None, None, 2, 2, 900), (None, 10, None, None, 1, 2, 901)]
+    relations = spark.createDataFrame(rows, "relation_id long, subject long, container long, target long, occurrence_file long, target_file long, edge_id long")
+    imports = spark.createDataFrame([(8, 1, 1, 900)], "import_id long, source_file long, target_file long, edge_id long")
+    got = sorted((r["kind"], r["id"], r["round"]) for r in L.invalidate_semantics(files, symbols, relations, imports).collect())
+    assert got == [("edge", 900, 2), ("import", 8, 1), ("relation", 7, 1)]
+    assert max(t.count() for t in written) < 10
+
+
 def test_digest_trees_find_every_change_and_little_else(spark):
     r = random.Random(4)
     old = {(b, k): "x" for b in "pq" for k in r.sample(range(5000), 2000)}
