@@ -8,16 +8,19 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrylight.session import workers_find_us
+from quarrylight.operators.intervals import dealt
+from quarrylight.session import settle, workers_find_us
 
 # fixed values: elements whose content is text up to their closing tag, script types that run, names of protection fields
 RAW_TEXT = ("script", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "noscript", "template", "plaintext")
 SCRIPT_TYPES = ("", "module", "text/javascript", "application/javascript")
+FORM_TAGS = ("form", "input", "select", "option", "textarea")
 CSRF_NAMES = ("csrf", "xsrf", "requestverificationtoken", "authenticity_token")
 STATE_CHANGING = ("POST", "PUT", "PATCH", "DELETE")
 CALL_METHODS = ("GET", "POST", "PUT", "PATCH", "DELETE", "HEAD", "OPTIONS")
@@ -81,26 +84,31 @@ def tokenize(html: str) -> Iterator[tuple[str, str, list, int, int]]:
 _TOKENS = "place int, kind string, tag string, attributes map<string,string>, start int, stop int, text string"
 
 
-def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _tokens(batches: Iterator[pa.RecordBatch], tags: tuple[str, ...] | None = None) -> Iterator[pa.RecordBatch]:
     kinds = [pa.int32(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.int32(), pa.int32(), pa.string()]
     for b in batches:
         for i, page in enumerate(b.column("html")):
             html = page.as_py() or ""
-            rows = [(n, k, t, a, x, y, html[x:y] if k in ("text", "raw") else None) for n, (k, t, a, x, y) in enumerate(tokenize(html))]
+            rows, before = [], ""
+            for n, (k, t, a, x, y) in enumerate(tokenize(html)):
+                if tags is None or t in tags or (k == "text" and before in tags):
+                    rows.append((n, k, t, a, x, y, html[x:y] if k in ("text", "raw") else None))
+                before = t
             for r in range(0, len(rows), 1 << 14):
                 part = rows[r : r + (1 << 14)]
                 ids = pa.repeat(b.column("id")[i], len(part))
                 yield pa.record_batch([ids, *[pa.array(c, t) for c, t in zip(zip(*part, strict=True), kinds, strict=True)]], names=["id", "place", "kind", "tag", "attributes", "start", "stop", "text"])
 
 
-def tokens(pages: DataFrame) -> DataFrame:
+def tokens(pages: DataFrame, tags: tuple[str, ...] | None = None) -> DataFrame:
     """Tokens of pages(id, html): id, place, kind, tag (lower case), attributes, start, stop (characters), text of text and raw tokens.
 
-    Null or empty html has none. Ids must be unique where tokens are put together by id.
+    Null or empty html has none. Ids must be unique where tokens are put together by id. With tags, only tokens of these and texts
+    right behind one are given; places stay those of all tokens.
     """
     workers_find_us(pages.sparkSession)
     rows = pages.select("id", "html")
-    return rows.mapInArrow(_tokens, f"id {rows.schema['id'].dataType.simpleString()}, {_TOKENS}")
+    return rows.mapInArrow(partial(_tokens, tags=tags), f"id {rows.schema['id'].dataType.simpleString()}, {_TOKENS}")
 
 
 # ------------------------------------------------------------------ forms
@@ -123,8 +131,11 @@ def forms(found: DataFrame) -> DataFrame:
     controls, buttons, and names that are empty or very long are left out. Hidden, file, checkbox and radio fields and multiple
     selects are protected. Defaults: an input's value (of a checkbox or radio only if it is checked, else "on"), a select's selected or
     first enabled option, a textarea's text; of controls with one name the last of inputs, then selects, then textareas counts.
-    action is as written, null if there is none; method is in upper case, GET if there is none.
+    action is as written, null if there is none; method is in upper case, GET if there is none. Of tokens, those of FORM_TAGS with
+    the texts behind them suffice. They are written once and dealt by page over as many tasks as they need.
     """
+    found = settle(found.filter(F.col("tag").isin(*FORM_TAGS) | (F.col("kind") == "text")), "tokens")
+    found = dealt(found, ["id"], found)
     w = Window.partitionBy("id").orderBy("place")
     far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rest = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
@@ -143,7 +154,8 @@ def forms(found: DataFrame) -> DataFrame:
         return event.withColumn(name, F.when(open_, F.col("_from"))).drop("_e", "_was", "_from", "_end", "_next")
 
     # only what forms are made of goes on: their marks, controls, options, and a text right behind an option
-    wanted = F.col("tag").isin("form", "input", "select", "option", "textarea") | ((F.col("kind") == "text") & (F.lag("tag").over(w) == "option"))
+    behind = (F.lag("tag").over(w) == "option") & (F.lag("place").over(w) == F.col("place") - 1)
+    wanted = F.col("tag").isin(*FORM_TAGS) | ((F.col("kind") == "text") & behind)
     kept = found.withColumn("_w", wanted).filter(F.coalesce("_w", F.lit(False))).drop("_w")
     placed = inside(inside(kept, "form", "form"), "select", "_select").filter(F.col("form").isNotNull())
     # a textarea's or option's text is the token behind its opening tag

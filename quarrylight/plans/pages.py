@@ -35,7 +35,7 @@ SELECT page_id, action, method, array_to_string(list_sort(list_filter([h, 'q', '
 array_to_string(list_sort(list_filter([CASE WHEN h <> '' THEN h || '=' || page_id END, 'q=1 > ' || page_id, CASE WHEN page_id % 2 = 0 THEN 'c=on' END, CASE WHEN page_id % 2 = 0 THEN 's=b' || page_id ELSE 's=a' || page_id END, 'note=hi ' || page_id], lambda x: x IS NOT NULL)), ',') AS defaults FROM f""")
 def forms_found(spark, sf_dir):
     """Forms with their defaults, past comments, scripts, quoted attributes and a form without an end."""
-    f = P.forms(P.tokens(_with(spark, sf_dir, _FORM)))
+    f = P.forms(P.tokens(_with(spark, sf_dir, _FORM), P.FORM_TAGS))
     pairs = F.array_sort(F.transform(F.map_entries("defaults"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
     return f.select(F.col("id").alias("page_id"), "action", "method", F.array_join("parameters", ",").alias("parameters"), F.array_join("hidden", ",").alias("hidden"), F.array_join(pairs, ",").alias("defaults"))
 
@@ -43,7 +43,7 @@ def forms_found(spark, sf_dir):
 @register("forms_without_token", "SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'POST' ELSE 'PUT' END AS method FROM pages WHERE page_id % 3 <> 1 AND page_id % 5 NOT IN (0, 2)")
 def forms_without_token(spark, sf_dir):
     """State-changing forms without a known protection: a page_token or nonce is none."""
-    return P.unprotected_forms(P.forms(P.tokens(_with(spark, sf_dir, _FORM)))).select(F.col("id").alias("page_id"), "method")
+    return P.unprotected_forms(P.forms(P.tokens(_with(spark, sf_dir, _FORM), P.FORM_TAGS))).select(F.col("id").alias("page_id"), "method")
 
 
 _SCRIPTS = r"""concat('<script>// fetch("/c")\nfetch("/api/', page_id, '"); const s = "axios.get(1)"; /* fetch("/d") */ axios.', CASE WHEN page_id % 2 = 0 THEN 'post' ELSE 'put' END, '("', regexp_extract(url, '^[a-z]+://[^/]+(/[^?#]*)', 1),

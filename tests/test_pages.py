@@ -81,3 +81,13 @@ def test_reflection_contexts(spark):
 def test_marker_that_opens_a_tag(spark):
     df = spark.createDataFrame([(1, "a<M>", "<M"), (2, "<p><!--M", "<!--M")], "id long, html string, marker string")
     assert {r["context"] for r in P.reflection_contexts(df).collect()} == {"markup"}
+
+
+def test_forms_need_only_their_tokens(spark):
+    """What is left out before tokens are written and ordered changes no form; a text that follows no option's mark is none of it."""
+    html = FORM + "<p>far</p><form action=/z><select name=s><option>a<b>x</b>y</option> z<option selected>k</select><textarea name=t> n </textarea></form>"
+    pages = spark.createDataFrame([(1, html), (2, None)], "id long, html string")
+    few = P.tokens(pages, P.FORM_TAGS)
+    assert {r["tag"] for r in few.collect()} <= {"", *P.FORM_TAGS} and few.count() < P.tokens(pages).count()
+    rows = lambda t: sorted(map(str, P.forms(t).collect()))
+    assert rows(few) == rows(P.tokens(pages))
