@@ -41,9 +41,15 @@ def _classed(spans: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     return s.withColumn("_b", F.explode(F.sequence(at("lo"), at("hi")))), s.select(*keys, "_k").distinct()
 
 
+#: up to so many classes in all, points go to each of them and need not be joined with those of their key
+FEW_CLASSES = 2
+
+
 def _placed(points: DataFrame, classes: DataFrame, keys: list[str], column: str) -> DataFrame:
-    """points once for every class of their key, with the bucket of `column` there."""
-    return points.join(classes, keys).withColumn("_b", F.floor(F.col(column) / F.pow(F.lit(2.0), F.col("_k"))).cast("long"))
+    """points once for every class of their key, with the bucket of `column` there; where there are few classes in all, once for each of those."""
+    few = [x["_k"] for x in classes.select("_k").distinct().limit(FEW_CLASSES + 1).collect()]
+    of_class = points.join(classes, keys) if len(few) > FEW_CLASSES else points.withColumn("_k", F.explode(F.array(*[F.lit(k) for k in few]).cast("array<int>")))
+    return of_class.withColumn("_b", F.floor(F.col(column) / F.pow(F.lit(2.0), F.col("_k"))).cast("long"))
 
 
 def narrowest_container(points: DataFrame, spans: DataFrame, keys: list[str], point_id: str, span_id: str) -> DataFrame:
@@ -55,9 +61,12 @@ def narrowest_container(points: DataFrame, spans: DataFrame, keys: list[str], po
     """
     s, classes = _classed(spans, keys)
     hit = _placed(points, classes, keys, "start").join(s, [*keys, "_k", "_b"]).filter((F.col("lo") <= F.col("start")) & (F.col("stop") <= F.col("hi")))
-    by_width = hit.withColumn("w", F.col("hi") - F.col("lo")).groupBy(*keys, point_id, "w").agg(F.min(F.struct((-F.col("lo")).alias("l"), F.col(span_id).alias("id"))).alias("b"), (F.min(span_id) == F.max(span_id)).alias("n"))
-    best = by_width.groupBy(*keys, point_id).agg(F.min(F.struct("w", "b", "n")).alias("m"))
-    return best.select(*keys, point_id, F.col("m.b.id").alias(span_id), F.col("m.w").alias("width"), F.col("m.n").alias("unique"))
+    w, span = F.col("hi") - F.col("lo"), F.col(span_id)
+    # of the narrowest: the best, the smallest id and the largest, in one aggregate
+    best = hit.groupBy(*keys, point_id).agg(
+        F.min(F.struct(w.alias("w"), (-F.col("lo")).alias("l"), span.alias("id"))).alias("m"), F.min(F.struct(w.alias("w"), span.alias("id"))).alias("a"), F.max(F.struct((-w).alias("w"), span.alias("id"))).alias("z")
+    )
+    return best.select(*keys, point_id, F.col("m.id").alias(span_id), F.col("m.w").alias("width"), (F.col("a.id") == F.col("z.id")).alias("unique"))
 
 
 def overlaps(spans: DataFrame, keys: list[str], span_id: str, width: int = 64) -> DataFrame:
