@@ -204,6 +204,18 @@ def shortest_paths(edges: DataFrame, start: DataFrame, max_depth: int = 64) -> D
     raise RuntimeError(f"paths of more than {max_depth} edges")
 
 
+def _reachable(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """(node): what settled edges(source, target) lead to from start(node), itself included, whatever the depth."""
+    seen = settle(start.select("node").distinct(), "reached")
+    frontier = seen
+    while True:
+        step = edges.join(frontier.withColumnRenamed("node", "source"), "source").select(F.col("target").alias("node")).distinct()
+        frontier = settle(step.join(seen, "node", "left_anti"), "reached")
+        if frontier.isEmpty():
+            return seen
+        seen = seen.unionByName(frontier)
+
+
 def all_shortest_paths(edges: DataFrame, start: DataFrame, most: int = 50) -> DataFrame:
     """(node, depth, paths, place, path): how many shortest paths lead from start(node) over edges(source, target), and the first `most` of each node in order.
 
@@ -230,11 +242,12 @@ def all_shortest_paths(edges: DataFrame, start: DataFrame, most: int = 50) -> Da
 
 def inference(nodes: DataFrame, edges: DataFrame, position: int) -> DataFrame:
     """(relation, node, path) around one node: ancestors and descendants with their shortest paths, orphans (not reachable from any root), cyclic nodes."""
+    nodes, edges = settle(nodes, "nodes"), settle(edges, "edges")  # every round reads them
     start = nodes.filter(F.col("node") == position)
     down = shortest_paths(edges, start).filter("depth > 0").select(F.lit("descendant").alias("relation"), "node", "path")
     up = shortest_paths(edges.select(F.col("target").alias("source"), F.col("source").alias("target")), start).filter("depth > 0").select(F.lit("ancestor").alias("relation"), "node", "path")
     roots = nodes.join(edges.select(F.col("target").alias("node")).distinct(), "node", "left_anti")
     none = F.lit(None).cast(f"array<{nodes.schema['node'].dataType.simpleString()}>").alias("path")
-    orphan = nodes.join(shortest_paths(edges, roots).select("node"), "node", "left_anti").select(F.lit("orphan").alias("relation"), "node", none)
+    orphan = nodes.join(_reachable(edges, roots), "node", "left_anti").select(F.lit("orphan").alias("relation"), "node", none)
     cyclic = strongly_connected(edges).select(F.lit("cyclic").alias("relation"), "node", none)
     return down.unionByName(up).unionByName(orphan).unionByName(cyclic)

@@ -54,3 +54,11 @@ def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
     ring = line.unionByName(spark.createDataFrame([(0, n - 1), (n + 5, 7)], "source long, target long"))
     got = G.strongly_connected(ring)
     assert got.filter("component = 0").count() == n == got.count() and len(tables) < 60
+
+
+def test_inference_reaches_what_lies_deep(spark):
+    """Nodes over 64 edges behind a root are no orphans; a circle that no root leads to is."""
+    edges = [(i, i + 1) for i in range(66)] + [(200, 201), (201, 200)]
+    nodes = [(i,) for i in [*range(67), 100, 200, 201]]
+    got = G.inference(spark.createDataFrame(nodes, "node long").coalesce(1), spark.createDataFrame(edges, "source long, target long").coalesce(1), 100)
+    assert sorted((r["relation"], r["node"]) for r in got.collect()) == [("cyclic", 200), ("cyclic", 201), ("orphan", 200), ("orphan", 201)]
