@@ -230,14 +230,12 @@ def catalog_route(spark, sf_dir):
 def advisory_directory(spark, sf_dir):
     """Records of a directory of JSON files that concern wanted packages (parts of small sizes); a broken file makes the source incomplete."""
     from quarrylight.operators.advisories import read_advisories
-    from quarrylight.plans.text import _inventory, _order_advisories
+    from quarrylight.plans.text import _advisory_texts, _inventory
     from quarrylight.session import scratch
 
     path = scratch(spark, "osv")
-    event = lambda e: F.map_from_arrays(F.array(e["kind"]), F.array(e["value"]))
-    affected = F.transform("affected", lambda a: F.struct(a["package"].alias("package"), a["versions"].alias("versions"), F.transform(a["ranges"], lambda r: F.struct(r["type"].alias("type"), F.transform(r["events"], event).alias("events"))).alias("ranges")))
-    records = _order_advisories(spark, sf_dir).select(F.to_json(F.struct("id", "withdrawn", affected.alias("affected"))).alias("value"))
-    records.unionByName(spark.range(1).select(F.lit("{broken").alias("value"))).write.text(path)
+    records = _advisory_texts(spark, sf_dir).unionByName(spark.range(1).select(F.lit("{broken").alias("value")))
+    records.write.option("compression", "lz4").option("maxRecordsPerFile", 16384).text(path)  # small files, since a compressed one is read by one task
     wanted = _inventory(spark, sf_dir).join(table(spark, sf_dir, "part").filter("p_size < 5").select("p_partkey"), "p_partkey").select("ecosystem", "name").distinct()
     return read_advisories(spark, path, wanted).select("id", "complete")
 
